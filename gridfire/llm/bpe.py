@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from itertools import chain
+from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from .common import fresh, map_batches, text_of
 
 #: Fixed value: how the byte-level pre-tokenizer splits text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space other than the space and the line end.
+RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def byte_letters() -> dict[str, int]:
@@ -30,23 +34,28 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
-        raw = lambda token: bytes(letters[c] for c in token)
         ids = model["vocab"]
-        self.tokens: dict[int, bytes] = {i: raw(t) for t, i in ids.items()}
         self.bytes: list[int | None] = [None] * 256
         for letter, b in letters.items():
             self.bytes[b] = ids.get(letter)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: Rank of a pair of ids (first << 32 | second), and the id that a rank's merge makes.
+        self.ranks: dict[int, int] = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made: list[int] = [ids[a + b] for a, b in merges]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
-        self.tokens |= {i: t.encode() for t, i in self.special.items()}
+        tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        whole = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        #: The bytes of all tokens in a row; where each begins, and its length.
+        self.blob = np.frombuffer(b"".join(whole), np.uint8)
+        self.sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
-def merge(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     """Merges adjacent ids, the leftmost pair of the lowest rank first, until no pair can be merged.
 
     Leaf i of the segment tree holds rank * n + i of the pair that starts at position i, or ``none``; the root is the
-    leftmost lowest-rank pair. A merge changes two leaves, each with a logarithmic update.
+    leftmost lowest-rank pair. A merge changes three leaves at most, each with a logarithmic update.
     """
     n = len(ids)
     if n < 2:
@@ -54,74 +63,98 @@ def merge(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> lis
     none = 1 << 60
     width = 1 << (n - 2).bit_length() if n > 2 else 1
     tree = [none] * (2 * width)
+    get = ranks.get
     for i in range(n - 1):
-        if got := merges.get((ids[i], ids[i + 1])):
-            tree[width + i] = got[0] * n + i
+        if (rank := get(ids[i] << 32 | ids[i + 1])) is not None:
+            tree[width + i] = rank * n + i
     for k in range(width - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-
-    def put(i: int) -> None:
-        j = after[i]
-        got = merges.get((ids[i], ids[j])) if j >= 0 else None
-        k = width + i
-        tree[k] = got[0] * n + i if got else none
-        while k > 1:
-            k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
-
     while (root := tree[1]) != none:
-        i = root % n
+        rank, i = divmod(root, n)
         j = after[i]
-        ids[i] = merges[ids[i], ids[j]][1]
-        ids[j] = -1
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        if j < n - 1:
-            after[j] = -1
-            put(j)
-        put(i)
-        if before[i] >= 0:
-            put(before[i])
+        ids[i], ids[j] = made[rank], -1
+        after[i] = e = after[j]
+        after[j] = -1
+        if e >= 0:
+            before[e] = i
+        for at in (j, i, before[i]):
+            if at < 0 or at == n - 1:
+                continue
+            e = after[at]
+            rank = get(ids[at] << 32 | ids[e]) if e >= 0 else None
+            k = width + at
+            new = none if rank is None else rank * n + at
+            if tree[k] == new:
+                continue
+            tree[k] = new
+            while k > 1:
+                a, b = tree[k], tree[k ^ 1]
+                k >>= 1
+                if b < a:
+                    a = b
+                if tree[k] == a:
+                    break
+                tree[k] = a
     return [x for x in ids if x >= 0]
 
 
 class Encoder:
-    """Encodes texts; words met before come from a table that is emptied when it has ``table`` entries."""
+    """Encodes texts to packed 32-bit ids.
+
+    Words met before come from two tables, of words after a space and of others, which are emptied at ``table`` entries.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, table: int = 200_000):
-        self.v, self.table, self.known = vocabulary, table, {}
+    def __init__(self, vocabulary: Vocabulary, table: int = 400_000):
+        self.v, self.table = vocabulary, table
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def word(self, word: str) -> list[int]:
-        if (got := self.known.get(word)) is None:
-            got = merge([i for b in word.encode() if (i := self.v.bytes[b]) is not None], self.v.merges)
-            if len(word) <= 64:
-                if len(self.known) >= self.table:
-                    self.known.clear()
-                self.known[word] = got
+    def word(self, word: str) -> bytes:
+        """A piece of the pre-tokenizer."""
+        known, key = (self.spaced, word[1:]) if word[0] == " " and len(word) > 1 else (self.bare, word)
+        if (got := known.get(key)) is None:
+            got = array("i", merge([i for b in word.encode() if (i := self.v.bytes[b]) is not None], self.v.ranks, self.v.made)).tobytes()
+            self.keep(known, key, got)
         return got
 
-    def plain(self, text: str) -> list[int]:
-        words = self.split(text)
-        try:
-            return list(chain.from_iterable(map(self.known.__getitem__, words)))
-        except KeyError:
-            return list(chain.from_iterable(map(self.word, words)))
+    def keep(self, known: dict[str, bytes], key: str, got: bytes) -> None:
+        if len(key) <= 64:
+            if len(known) >= self.table:
+                known.clear()
+            known[key] = got
+
+    def after_space(self, chunk: str) -> bytes:
+        """What follows one space, up to the next one."""
+        words = self.split(" " + chunk)
+        if len(words) == 1:
+            return self.word(words[0])
+        got = b"".join(map(self.word, words))
+        if "\n" not in chunk:
+            self.keep(self.spaced, chunk, got)
+        return got
+
+    def plain(self, text: str) -> bytes:
+        """A text without special tokens.
+
+        Where single spaces and line ends are the only white space, and no line end or space follows a space, what
+        lies between two spaces splits alike in any text; so such a chunk can be known as a whole.
+        """
+        if "  " in text or " \n" in text or text[-1:] == " " or text[:1] == " " or any(c in text for c in RARE_SPACE):
+            return b"".join(map(self.word, self.split(text)))
+        first, *chunks = text.split(" ")
+        get, miss = self.spaced.get, self.after_space
+        return b"".join([*map(self.word, self.split(first)), *[get(c) or miss(c) for c in chunks]])
 
-    def __call__(self, text: str) -> list[int]:
-        if self.special is None or not self.special.search(text):
+    def __call__(self, text: str) -> bytes:
+        if self.special is None or not any(s in text for s in self.v.special):
             return self.plain(text)
-        out: list[int] = []
-        for i, piece in enumerate(self.special.split(text)):
-            out += [self.v.special[piece]] if i % 2 else self.plain(piece)
-        return out
+        pack = lambda i: array("i", [i]).tobytes()
+        return b"".join(pack(self.v.special[p]) if i % 2 else self.plain(p) for i, p in enumerate(self.special.split(text)))
 
 
 def _shared(spark: SparkSession, path: str):
@@ -129,24 +162,25 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 200_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 400_000) -> DataFrame:
     """``docs`` with the token ids of the whole text in array column ``name``.
 
     The ids are those of the vocabulary's own library without added special tokens; a special token's string within
     a text is that token. Null text counts as empty and has no ids. No shuffle; a task's memory holds a slice of
-    texts and a bounded table of known words.
+    texts and bounded tables of known words.
     """
     shared = _shared(docs.sparkSession, vocabulary)
     (text,) = fresh(docs, "text_")
     keep = docs.columns if keep is None else keep
     rows = docs.withColumn(text, text_of(text_col)).select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
-
     made: list[Encoder] = []  # of this Python worker
 
     def run(texts: list[str]) -> dict:
         if not made:
             made.append(Encoder(shared.value, table))
-        return {name: [made[0](t) for t in texts]}
+        ids = [made[0](t) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return {name: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))}
 
     return map_batches(rows, text, run, T.StructType().add(name, T.ArrayType(T.IntegerType())), keep=keep, rows=128)
 
@@ -158,8 +192,16 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", name: str
     """
     shared = _shared(rows.sparkSession, vocabulary)
 
-    def run(lists: list) -> dict:
-        token = shared.value.tokens.get
-        return {name: [b"".join([token(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in lists]}
-
-    return map_batches(rows, ids_col, run, T.StructType().add(name, "string"), keep=keep, rows=128)
+    def run(lists: pa.ListArray) -> dict:
+        v = shared.value
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = (ids >= 0) & (ids < len(v.sizes))
+        ids = np.where(known, ids, 0)
+        sizes = np.where(known, v.sizes[ids], 0)
+        ends = np.cumsum(sizes)
+        text = v.blob[np.arange(sizes.sum()) + np.repeat(v.starts[ids] - (ends - sizes), sizes)].tobytes()
+        cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return {name: [text[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]}
+
+    return map_batches(rows, ids_col, run, T.StructType().add(name, "string"), keep=keep, rows=128, arrow_in=True)

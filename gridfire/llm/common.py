@@ -64,8 +64,11 @@ def map_batches(
     schema: T.StructType,
     keep: list[str] | None = None,
     rows: int = 256,
+    arrow_in: bool = False,
 ) -> DataFrame:
-    """Adds the columns of ``schema``: ``fn`` gets up to ``rows`` values of column ``read`` and returns a list for each new column.
+    """Adds the columns of ``schema``: ``fn`` gets up to ``rows`` values of column ``read`` and returns a list or Arrow array for each new column.
+
+    ``arrow_in``: it gets them as an Arrow array, not as a list.
 
     The columns in ``keep`` (all by default) pass through as Arrow data. Small slices bound the Python worker's
     memory, whatever the size of Spark's own Arrow batches.
@@ -79,9 +82,9 @@ def map_batches(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                new = fn(part.column(read).to_pylist())
+                new = fn(part.column(read) if arrow_in else part.column(read).to_pylist())
                 cols = [part.column(c) for c in keep] + [
-                    pa.array(new[n], type=arrow.field(n).type) for n in names
+                    new[n] if isinstance(new[n], pa.Array) else pa.array(new[n], type=arrow.field(n).type) for n in names
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow

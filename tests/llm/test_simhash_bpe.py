@@ -92,12 +92,12 @@ def library():
     return got
 
 
-HARD = ["", " ", "  a  b \n\n c\t", "I'll we've 'S it's", "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "héé ß 日本語 🙂🙂  x​", "a" * 5000, "ab" * 3001, " " * 999 + "x", "123 4567 1,000.5", "!!!??? ###", "\x00\x01\x7f", "é" * 1000, "don't\r\nstop "]
+HARD = ["", " ", "  a  b \n\n c\t", "I'll we've 'S it's", "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "héé ß 日本語 🙂🙂  x​", "a" * 5000, "ab" * 3001, " " * 999 + "x", "123 4567 1,000.5", "!!!??? ###", "\x00\x01\x7f", "é" * 1000, "don't\r\nstop ", "a\n b", "a \nb", "a\n \nb", "a\n\n b\n", "don't stop, I'll go!\nNow 12 to 3rd x-y", "\na b", " a b", "a b ", "a\u00a0b c", "a\x1cb c d", "a\x85b c", "x\n\ny z\n", "\u3000a \u2003b c"]
 
 
 def test_bpe_matches_the_library(spark, library):
     rnd = random.Random(3)
-    texts = HARD + ["".join(rnd.choice("abcdeé .,'\n12!<|>endoftx") for _ in range(rnd.randrange(400))) for _ in range(200)]
+    texts = HARD + ["".join(rnd.choice("abcdeé   .,'\n12!<|>endoftx") for _ in range(rnd.randrange(400))) for _ in range(200)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, None)], "doc_id long, text string, ids string")
     out = bpe.bpe_encode(docs, queries.vocabulary_path(), name="tokens", table=50)
     rows = bpe.bpe_decode(out, queries.vocabulary_path(), "tokens").collect()
