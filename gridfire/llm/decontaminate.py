@@ -67,11 +67,11 @@ class Items:
                 yield k, at, code[at]
 
     def choose(self, documents: dict[tuple[int, int], int], total: int, rare: float) -> None:
-        """Keeps the seeds: of each item the rarer half of its grams, and all that at most ``rare`` of the documents have."""
+        """Keeps the seeds, of the grams that occur at all: the rarer half of each item's, and all in at most a share ``rare`` of the documents."""
         of: dict[int, list[tuple[int, int, int]]] = {}
-        for (k, g), places in self.places.items():
-            for i in {i for i, _ in places}:
-                of.setdefault(i, []).append((documents.get((k, g), 0), k, g))
+        for (k, g), d in documents.items():
+            for i in {i for i, _ in self.places[k, g]}:
+                of.setdefault(i, []).append((d, k, g))
         keep = {(k, g) for found in of.values() for j, (d, k, g) in enumerate(sorted(found)) if 2 * j < len(found) or d <= rare * total}
         self.seeds = {k: np.array(sorted(g for kk, g in keep if kk == k), np.int64) for k in self.sizes}
 
@@ -165,11 +165,11 @@ def seeded(docs: DataFrame, items: Items, text: str, rare: float) -> object:
     return context.broadcast(items)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 1e-4, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.01, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
     """One row per document and item that it holds a copy of: id, item id, ``score``, ``first_word``, ``end_word``.
 
-    Seeds are word n-grams of an item: the rarer half of them by the number of documents that have them, and all that
-    at most a share ``rare`` of the documents have. Texts with a seed are aligned with the item around it; the score is that of the best
+    Seeds are word n-grams of an item that occur in the documents: the rarer half of them by the number of documents
+    that have them, and all that at most a share ``rare`` of the documents have. Texts with a seed are aligned with the item around it; the score is that of the best
     alignment (match 2, mismatch -1, gap -1) divided by that of a full copy. Nothing is shuffled but counts of grams:
     items go to the tasks in blocks of bounded size, and each block passes over all texts. Null and empty texts and
     items match nothing; repeated rows are reported as often as they come; empty tables give no rows.
@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return docs.sparkSession.createDataFrame([], out) if found is None else found
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 1e-4, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.01, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
     """``docs``, in the columns it has, without the documents in which ``find_leaks`` finds an item."""
     (text,) = fresh(docs, "text_")
     out = docs

@@ -67,8 +67,8 @@ class Page:
         #: (node, text) in page order; None ends a block.
         self.pieces: list[tuple[int, str | None]] = []
         self.stack = [0]
-        at = 0
-        while (m := TOKEN.search(source, at)) is not None:
+        at, end = 0, source.rfind(">")  # no tag ends after it
+        while at <= end and (m := TOKEN.search(source, at)) is not None:
             if m.start() > at:
                 self.text(source[at : m.start()])
             at = m.end()
@@ -80,8 +80,8 @@ class Page:
                 continue
             self.open(tag, m[3])
             if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                at = closing.end() if closing else len(source)
                 self.stack.pop()
         if at < len(source):
             self.text(source[at:])
@@ -142,7 +142,7 @@ def densities(page: Page) -> list[float]:
     """Composite text density of each node left in: characters per tag, adjusted for those in links.
 
     With C characters and T tags in a node, LC and LT of them in links, and LCb / Cb the share of link characters on
-    the page: C/T * log(C/LC * T/LT), to the base ln(C/(C-LC) * LC + LCb/Cb * C + e). Counts of 0 below a line count as 1.
+    the page: C/T * log(C/LC * T/LT + e - 1), to the base ln(C/(C-LC) * LC + LCb/Cb * C + e). Counts of 0 below a line count as 1.
     """
     n = len(page.parent)
     c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
@@ -165,7 +165,7 @@ def densities(page: Page) -> list[float]:
         if c[node] and not page.out[node]:
             base = math.log(c[node] / max(1, c[node] - lc[node]) * max(1, lc[node]) + share * c[node] + math.e)
             inner = max(1.0, c[node] / max(1, lc[node]) * max(1, t[node]) / max(1, lt[node]))
-            out[node] = c[node] / max(1, t[node]) * math.log(inner) / math.log(base)
+            out[node] = c[node] / max(1, t[node]) * math.log(inner + math.e - 1) / math.log(base)
     return out
 
 

@@ -39,13 +39,15 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> D
     return spark.createDataFrame(rows, "license string, text string")
 
 
-def shingles(text: Column, width: int = 5) -> Column:
-    """Hashes of the text's shingles of ``width`` words, repeats included; a text of fewer words has none.
+def shingles(rows: DataFrame, text: Column, name: str, width: int = 5) -> DataFrame:
+    """``rows`` with an array column of hashes of the text's shingles of ``width`` words, repeats included.
 
-    Words are runs of letters and digits, in lower case.
+    Words are runs of letters and digits, in lower case; a text of fewer words has null. The words are a column of
+    their own first, so that they are split once and not for every shingle.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("words_") - width), lambda i: F.xxhash64(*[F.get(F.col("words_"), i + k) for k in range(width)]))
+    return rows.withColumn("words_", words).withColumn(name, F.when(F.size("words_") >= width, hashes)).drop("words_")
 
 
 def bins_for(size: int, miss: float = 0.001) -> int:
@@ -68,23 +70,25 @@ def license_scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     those of under ``width`` words, have no match, as have such templates. Repeated rows count as one document, and
     rows with a null id as one. Columns beyond id and text don't matter; empty tables give no rows.
     """
-    known = templates.select("license", F.array_sort(F.array_distinct(shingles(text_of("text"), width))).alias("t")).where("t IS NOT NULL").withColumn("m", F.size("t"))
+    known = shingles(templates.select("license", text_of("text").alias("text")), F.col("text"), "t", width)
+    known = known.select("license", F.array_sort(F.array_distinct("t")).alias("t")).where("t IS NOT NULL").withColumn("m", F.size("t"))
     steps = F.greatest(F.lit(0), F.ceil(F.log2("m") / 3 - F.lit(2 / 3))).cast("int")  # window classes of 4, 32, 256, ... shingles
     known = known.withColumn("c", F.pow(F.lit(8), steps).cast("int") * 4)
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("c").alias("classes")).first()
-    hashes = docs.select(F.col(f"`{id_col}`"), shingles(text_of(text_col), width).alias("s")).where("s IS NOT NULL")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+    hashes = shingles(texts, F.col("text"), "s", width).select("id", "s").where("s IS NOT NULL")
     found = None
     for c in sorted(sizes.classes):
         size, bins = 2 * c, bins_for(2 * c, miss)
         n = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(c)).cast("int") - 1)
-        windows = hashes.select(f"`{id_col}`", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col("s"), k * c + 1, size))).alias("k", "w"))  # noqa: B023
-        windows = windows.select(f"`{id_col}`", (F.col("k") * c).alias("at"), F.sort_array(F.array_distinct("w")).alias("w"))
-        bands = windows.select(f"`{id_col}`", "at", "w", F.explode(sketch(F.col("w"), bins)).alias("band"))
+        windows = hashes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col("s"), k * c + 1, size))).alias("k", "w"))  # noqa: B023
+        windows = windows.select("id", (F.col("k") * c).alias("at"), F.sort_array(F.array_distinct("w")).alias("w"))
+        bands = windows.select("id", "at", "w", F.explode(sketch(F.col("w"), bins)).alias("band"))
         ours = known.where(F.col("c") == c).select("license", "t", "m", F.explode(sketch(F.col("t"), bins)).alias("band"))
         pairs = bands.join(F.broadcast(ours) if sizes.n <= BROADCAST_ROWS else ours, "band")
         share = F.size(F.array_intersect("w", "t")) / F.col("m")
-        match = pairs.select(f"`{id_col}`", "license", share.alias("containment"), "at").where(F.col("containment") >= least)
+        match = pairs.select("id", "license", share.alias("containment"), "at").where(F.col("containment") >= least)
         found = match if found is None else found.union(match)
     if found is None:
-        found = hashes.select(f"`{id_col}`", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("at")).where(F.lit(False))
-    return found.groupBy(id_col, "license").agg(F.max("containment").alias("containment"), F.min("at").alias("first_shingle"))
+        found = hashes.select("id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("at")).where(F.lit(False))
+    return found.groupBy(F.col("id").alias(id_col), "license").agg(F.max("containment").alias("containment"), F.min("at").alias("first_shingle"))
