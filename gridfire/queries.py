@@ -1,4 +1,647 @@
-"""The registered queries of the grid operators, and SQL that states the same."""
+"""The registered queries of the grid operators over the sample tables, and SQL that states the same by other means."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import grid as G
+from .operators import cleaning as C
+from .operators import density as D
+from .operators import incidents as I
+from .operators import profile as P
+from .operators import raster as R
+from .operators import series as S
+from .operators import vector as V
+from .plans import pipeline as L
+from .views import FCLASSES, SPLITS, TRAIN, grid_of, source_grid_of, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+YEARS = list(range(1995, 2002))
+
+
+class Data:
+    """The views of a folder, with the grid and land of its cells."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.dir, name)
+
+    @property
+    def grid(self) -> G.Grid:
+        return grid_of(self.grid_cells)
+
+    @property
+    def land(self) -> DataFrame:
+        return self.grid_cells.where("elevation IS NOT NULL").select("row", "col")
+
+    @property
+    def edges(self) -> DataFrame:
+        return V.edges_of(self.boundary_vertices)
+
+    @property
+    def activity(self) -> DataFrame:
+        return V.box_edges(self.landuse_boxes.where(F.col("fclass").isin(FCLASSES)), ("feature_id",))
+
+
+def query(sql: str | None = None, *views: str, name: str | None = None):
+    """Registers ``f(Data)`` under its name, with SQL after a WITH clause of the views."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[key] = with_views(*views) + ("\n" if sql.lstrip().startswith("SELECT") else ", ") + sql.strip()
+        return f
+
+    return add
+
+
+SEASON = "CASE WHEN month(call_date) IN (12, 1, 2) THEN 'WINTER' WHEN month(call_date) IN (3, 4, 5) THEN 'SPRING' WHEN month(call_date) IN (6, 7, 8) THEN 'SUMMER' ELSE 'FALL' END"
+SPLIT = "CASE WHEN year(call_date) < 1995 THEN NULL WHEN year(call_date) < 2000 THEN 'train' WHEN year(call_date) < 2001 THEN 'val' ELSE 'test' END"
+OBS_SEASON = SEASON.replace("call_date", "obs_date")
+LAND = "land AS (SELECT row, col FROM grid_cells WHERE elevation IS NOT NULL)"
+HEIGHT = "(SELECT max(row) + 1 FROM grid_cells)"
+
+
+def inside_sql(points: str, x: str, y: str, out: str) -> str:
+    """CTEs: ``out`` has the points of a table strictly inside the boundary (each point against every edge)."""
+    return f"""edges AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM boundary_vertices a JOIN boundary_vertices b ON b.seq = (a.seq + 1) % 5),
+        {out} AS (SELECT p.* FROM {points} p WHERE (SELECT count(*) FROM edges WHERE ((y1 <= {y} AND {y} < y2) OR (y2 <= {y} AND {y} < y1)) AND x1 + ({y} - y1) / (y2 - y1) * (x2 - x1) > {x}) % 2 = 1)"""
+
+
+# --- incidents ---
+
+
+@query("SELECT incident_id, year(call_date) AS year, month(call_date) AS month, day(call_date) AS day FROM incidents", "incidents")
+def date_parts(d):
+    return I.date_parts(d.incidents).select("incident_id", "year", "month", "day")
+
+
+@query("SELECT incident_id, call_date FROM incidents", "incidents")
+def parse_call_date(d):
+    text = d.incidents.select("incident_id", F.date_format("call_date", "dd/MM/yyyy").alias("call_date"))
+    return I.parse_call_date(text, "call_date")
+
+
+@query("SELECT incident_id, call_date FROM incidents WHERE month(call_date) IN (3, 4, 5)", "incidents")
+def season_filter(d):
+    return I.season_filter(d.incidents, "SPRING").select("incident_id", "call_date")
+
+
+@query(f"SELECT incident_id, {SEASON} AS season FROM incidents", "incidents")
+def season_of_month(d):
+    return d.incidents.select("incident_id", G.season_of_month(F.month("call_date")).alias("season"))
+
+
+@query(f"SELECT incident_id, {SPLIT} AS split FROM incidents", "incidents")
+def split_by_year(d):
+    return I.split_by_year(d.incidents, SPLITS).select("incident_id", "split")
+
+
+@query(f"SELECT var, count(*) AS n, sum(value) AS total, {OBS_SEASON} AS season FROM climate_obs WHERE year(obs_date) BETWEEN 1995 AND 1999 AND month(obs_date) BETWEEN 3 AND 11 GROUP BY ALL", "climate_obs")
+def training_window_filter(d):
+    kept = I.training_window(d.climate_obs, TRAIN, ["SPRING", "SUMMER", "FALL"])
+    return kept.groupBy("season", "var").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT min(year(call_date)) AS first_year, max(year(call_date)) AS last_year FROM incidents", "incidents")
+def year_range(d):
+    return I.year_range(d.incidents)
+
+
+@query(f"SELECT {SEASON} AS season, count(*) / (SELECT count(*) FROM incidents) AS share FROM incidents GROUP BY 1", "incidents")
+def season_share(d):
+    return I.season_share(d.incidents)
+
+
+@query(f"SELECT {SEASON} AS season, " + ", ".join(f"count(*) FILTER (year(call_date) = {y}) AS y{y}" for y in YEARS) + " FROM incidents GROUP BY 1", "incidents")
+def season_year_counts(d):
+    return I.season_year_counts(d.incidents, YEARS)
+
+
+PCT = f"""s AS (SELECT {SEASON} AS season, year(call_date) AS year FROM incidents), names(season) AS (VALUES ('WINTER'), ('SPRING'), ('SUMMER'), ('FALL')),
+    years AS (SELECT year, count(*) AS total FROM s GROUP BY 1), n AS (SELECT season, year, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT season, year, 100.0 * coalesce(n, 0) / total AS pct FROM names CROSS JOIN years LEFT JOIN n USING (season, year)"""
+
+
+@query(PCT, "incidents")
+def season_year_pct(d):
+    return I.season_year_pct(d.incidents)
+
+
+@query(PCT.replace("pct FROM", "percent FROM").replace("SELECT season, year, 100.0", "SELECT season, CAST(year AS VARCHAR) AS year, 100.0"), "incidents")
+def season_year_long(d):
+    wide = I.season_year_pct(d.incidents).groupBy("season").pivot("year", YEARS).agg(F.first("pct"))
+    return wide.unpivot("season", [f"`{y}`" for y in YEARS], "year", "percent").where("percent IS NOT NULL")
+
+
+SPLITS_SQL = inside_sql("incidents", "easting", "northing", "hit") + f" SELECT incident_id, {SEASON} AS season, {SPLIT} AS split FROM hit"
+
+
+@query(SPLITS_SQL, "incidents", "boundary_vertices")
+def incident_splits(d):
+    return I.incident_splits(d.incidents, d.edges, SPLITS).select("incident_id", "season", "split")
+
+
+@query(inside_sql("incidents", "easting", "northing", "hit") + " SELECT incident_id, 'Essex' AS name FROM hit", "incidents", "boundary_vertices")
+def points_within_polygon(d):
+    return V.points_within_polygon(d.incidents, d.edges).select("incident_id", "name")
+
+
+# --- cells and vectors ---
+
+
+@query("SELECT seq, x, y FROM boundary_vertices WHERE name = 'Essex'", "boundary_vertices")
+def boundary_select(d):
+    return V.boundary_select(d.boundary_vertices, "Essex").select("seq", "x", "y")
+
+
+@query("SELECT feature_id, fclass FROM landuse_boxes WHERE fclass IN ('household', 'machinery')", "landuse_boxes")
+def fclass_filter(d):
+    return d.landuse_boxes.where(F.col("fclass").isin(FCLASSES)).select("feature_id", "fclass")
+
+
+@query("SELECT feature_id FROM landuse_boxes WHERE feature_id % 100 <> 0", "landuse_boxes")
+def drop_empty_geometry(d):
+    geom = d.landuse_boxes.withColumn("geom", F.when(F.col("feature_id") % 100 != 0, F.array("xmin", "ymin")))
+    return V.drop_empty_geometry(geom).select("feature_id")
+
+
+@query("SELECT row, col, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells", "grid_cells")
+def cell_center(d):
+    x, y = G.cell_center(d.grid, F.col("row"), F.col("col"))
+    return d.grid_cells.select("row", "col", x.alias("x"), y.alias("y"))
+
+
+CELL = f"""c AS (SELECT *, CAST(floor((220000.0 - northing) / 30) AS INT) AS row, CAST(floor((easting - 550000.0) / 30) AS INT) AS col FROM incidents),
+    on_grid AS (SELECT * FROM c WHERE row BETWEEN 0 AND {HEIGHT} - 1 AND col BETWEEN 0 AND 49)"""
+
+
+@query(CELL + " SELECT incident_id, row, col FROM on_grid", "grid_cells", "incidents")
+def point_to_cell(d):
+    return G.point_to_cell(d.incidents, d.grid).select("incident_id", "row", "col")
+
+
+@query(CELL + " SELECT row, col, count(*) AS n FROM on_grid GROUP BY 1, 2", "grid_cells", "incidents")
+def fire_counts(d):
+    return D.fire_counts(d.incidents, d.grid)
+
+
+@query(CELL + " SELECT DISTINCT row, col FROM on_grid", "grid_cells", "incidents")
+def rasterize_points(d):
+    return V.rasterize_points(d.incidents, d.grid)
+
+
+@query(f"SELECT 550000.0 AS left, 220000.0 - 30.0 * {HEIGHT} AS bottom, 551500.0 AS right, 220000.0 AS top", "grid_cells")
+def grid_bounds(d):
+    return R.grid_bounds(d.grid_cells, d.grid)
+
+
+@query("c AS (SELECT row, col, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells), " + inside_sql("c", "x", "y", "hit") + " SELECT row, col FROM hit", "grid_cells", "boundary_vertices")
+def clip_cells_to_boundary(d):
+    return V.clip_cells_to_boundary(d.grid_cells.select("row", "col"), d.grid, d.edges)
+
+
+@query("SELECT row, col, elevation FROM grid_cells WHERE elevation IS NOT NULL", "grid_cells")
+def land_mask(d):
+    return R.land_mask(d.grid_cells, d.land)
+
+
+def touched_sql(segments: str, out: str) -> str:
+    """A CTE: cells whose box a segment touches, by separating axes, every cell against every segment."""
+    side = lambda x, y: f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))"
+    corners = [side(f"(550000.0 + (col + {a}) * 30)", f"(220000.0 - (row + {b}) * 30)") for a in (0, 1) for b in (0, 1)]
+    return f"""{out} AS (SELECT DISTINCT row, col FROM grid_cells JOIN {segments} ON greatest(x1, x2) >= 550000.0 + col * 30 AND least(x1, x2) < 550000.0 + (col + 1) * 30
+        AND greatest(y1, y2) >= 220000.0 - (row + 1) * 30 AND least(y1, y2) < 220000.0 - row * 30 AND abs({" + ".join(corners)}) < 4)"""
+
+
+ROADS = touched_sql("road_segments", "roads")
+
+
+@query(ROADS + " SELECT * FROM roads", "grid_cells", "road_segments")
+def rasterize_lines(d):
+    return V.rasterize_lines(d.road_segments, d.grid)
+
+
+ACTIVITY = """activity AS (SELECT DISTINCT row, col FROM grid_cells JOIN landuse_boxes ON fclass IN ('household', 'machinery')
+    AND xmax >= 550000.0 + col * 30 AND xmin < 550000.0 + (col + 1) * 30 AND ymax >= 220000.0 - (row + 1) * 30 AND ymin < 220000.0 - row * 30)"""
+
+
+@query(ACTIVITY + " SELECT * FROM activity", "grid_cells", "landuse_boxes")
+def rasterize_polygons(d):
+    return V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id")
+
+
+@query(ACTIVITY.replace("fclass IN ('household', 'machinery')", "fclass IN ('household', 'machinery', 'building')") + " SELECT * FROM activity", "grid_cells", "landuse_boxes")
+def human_activity_layer(d):
+    buildings = V.box_edges(d.landuse_boxes.where("fclass = 'building'"), ("feature_id",))
+    return V.human_activity_layer(d.activity, buildings, d.grid, d.grid_cells)
+
+
+def distance_sql(layer: str) -> str:
+    """Every land cell against every presence cell."""
+    return f"SELECT '{layer}' AS layer, l.row, l.col, round(min(sqrt((l.row - p.row) * (l.row - p.row) + (l.col - p.col) * (l.col - p.col))) * 0.03, 6) AS km FROM land l LEFT JOIN {{0}} p ON true GROUP BY l.row, l.col"
+
+
+def rounded(df: DataFrame, col: str = "km", digits: int = 6) -> DataFrame:
+    return df.withColumn(col, F.round(col, digits))
+
+
+@query(f"{ROADS}, {LAND} " + distance_sql("d_roads").format("roads"), "grid_cells", "road_segments")
+def d_roads(d):
+    return rounded(R.distance_to_features(V.rasterize_lines(d.road_segments, d.grid).withColumn("layer", F.lit("d_roads")), d.grid, d.land, ["d_roads"]))
+
+
+@query(f"{ACTIVITY}, {LAND} " + distance_sql("d_activity").format("activity"), "grid_cells", "landuse_boxes")
+def d_activity(d):
+    cells = V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id")
+    return rounded(R.distance_to_features(cells.withColumn("layer", F.lit("d_activity")), d.grid, d.land, ["d_activity"]))
+
+
+@query(f"{CELL}, {LAND}, fires AS (SELECT DISTINCT row, col FROM on_grid WHERE month(call_date) IN (3, 4, 5) AND year(call_date) BETWEEN 1995 AND 1999) " + distance_sql("SPRING").format("fires"), "grid_cells", "incidents")
+def d_fires(d):
+    train = I.split_by_year(I.season_filter(d.incidents, "SPRING"), SPLITS).where("split = 'train'")
+    marks = V.rasterize_points(train, d.grid).withColumn("layer", F.lit("SPRING"))
+    return rounded(R.distance_to_features(marks, d.grid, d.land, ["SPRING"]))
+
+
+@query(f"{ROADS}, {ACTIVITY}, {LAND} {distance_sql('d_activity').format('activity')} UNION ALL {distance_sql('d_roads').format('roads')}", "grid_cells", "road_segments", "landuse_boxes")
+def distance_to_features(d):
+    mark = lambda df, name: df.select(F.lit(name).alias("layer"), "row", "col")
+    both = mark(V.rasterize_lines(d.road_segments, d.grid), "d_roads").union(mark(V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id"), "d_activity"))
+    return rounded(R.distance_to_features(both, d.grid, d.land, ["d_roads", "d_activity"]))
+
+
+# --- terrain, alignment, series ---
+
+TERRAIN = f"""n AS (SELECT g.row, g.col, g.elevation AS z, e.elevation AS e, w.elevation AS w, s.elevation AS s, u.elevation AS u, {HEIGHT} AS h FROM grid_cells g
+    LEFT JOIN grid_cells e ON e.row = g.row AND e.col = g.col + 1 LEFT JOIN grid_cells w ON w.row = g.row AND w.col = g.col - 1
+    LEFT JOIN grid_cells s ON s.row = g.row + 1 AND s.col = g.col LEFT JOIN grid_cells u ON u.row = g.row - 1 AND u.col = g.col),
+    t AS (SELECT row, col, z, CASE col WHEN 0 THEN (e - z) / 30 WHEN 49 THEN (z - w) / 30 ELSE (e - w) / 60 END AS dx,
+        CASE WHEN row = 0 THEN (s - z) / 30 WHEN row = h - 1 THEN (z - u) / 30 ELSE (s - u) / 60 END AS dy FROM n)"""
+SLOPE = "CASE WHEN z IS NOT NULL THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) END AS slope"
+ASPECT = "CASE WHEN z IS NOT NULL THEN round((degrees(atan2(-dy, dx)) + 360) % 360, 4) END AS aspect"
+
+
+@query(TERRAIN + " SELECT row, col, round(dx, 6) AS dx, round(dy, 6) AS dy FROM t", "grid_cells")
+def terrain_gradient(d):
+    return R.terrain(d.grid_cells, d.grid).select("row", "col", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query(f"{TERRAIN} SELECT row, col, {SLOPE}, {ASPECT} FROM t", "grid_cells")
+def slope_aspect(d):
+    return R.terrain(d.grid_cells, d.grid).select("row", "col", F.round("slope", 4).alias("slope"), F.round("aspect", 4).alias("aspect"))
+
+
+TILES = "tiles AS (SELECT row, col, CAST(col % 3 AS INT) AS tile_order, CASE WHEN (row + col) % 4 > 0 THEN elevation END AS value FROM grid_cells UNION ALL SELECT row, col, 5, elevation + 100 FROM grid_cells)"
+
+
+@query(TILES + " SELECT row, col, arg_min(value, tile_order) AS value FROM tiles WHERE value IS NOT NULL GROUP BY 1, 2", "grid_cells")
+def mosaic_tiles(d):
+    c = d.grid_cells
+    one = c.select("row", "col", (F.col("col") % 3).cast("int").alias("tile_order"), F.when((F.col("row") + F.col("col")) % 4 > 0, F.col("elevation")).alias("value"))
+    return R.mosaic_tiles(one.union(c.select("row", "col", F.lit(5), F.col("elevation") + 100)))
+
+
+CLIMATE = f"mean AS (SELECT {OBS_SEASON} AS season, var, row, col, avg(value) AS value FROM climate_obs WHERE year(obs_date) BETWEEN 1995 AND 1999 AND month(obs_date) BETWEEN 3 AND 11 GROUP BY ALL)"
+ALL3 = ["SPRING", "SUMMER", "FALL"]
+
+
+@query(CLIMATE + " SELECT season, var, row, col, round(value, 6) AS value FROM mean", "climate_obs")
+def seasonal_climate_mean(d):
+    return rounded(S.seasonal_climate_mean(d.climate_obs, TRAIN, ALL3), "value")
+
+
+def bilinear_sql(source: str, keys: str, out: str, land: str = "land") -> str:
+    """CTEs: four lookups of the source's neighbours for each land cell."""
+    cells = f"tgt AS (SELECT row, col, (col + 0.5) / 5 - 0.5 AS fx, (row + 0.5) / 5 - 0.5 AS fy FROM {land} WHERE (row + 0.5) / 5 < (SELECT max(row) + 1 FROM {source}) AND (col + 0.5) / 5 < 10)"
+    near = """near AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc, abs(1 - a - (fy - floor(fy))) * abs(1 - b - (fx - floor(fx))) AS w
+        FROM tgt, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))"""
+    return f"""{cells}, {near}, {out} AS (SELECT {keys}, n.row, n.col, sum(w * value) / sum(w) AS value FROM near n JOIN {source} s ON s.row = sr AND s.col = sc WHERE value IS NOT NULL AND w > 0 GROUP BY ALL)"""
+
+
+@query(f"{CLIMATE}, {LAND}, {bilinear_sql('mean', 'season, var', 'aligned')} SELECT season, var, row, col, round(value, 6) AS value FROM aligned", "grid_cells", "climate_obs")
+def align_to_reference(d):
+    mean = S.seasonal_climate_mean(d.climate_obs, TRAIN, ALL3)
+    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), d.land, d.grid, ("season", "var")), "value")
+
+
+@query(f"""{CLIMATE}, c AS (SELECT row, col, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells WHERE elevation IS NOT NULL), {inside_sql("c", "x", "y", "hit")},
+    {bilinear_sql("mean", "season, var", "aligned", "hit")} SELECT season, var, row, col, round(value, 6) AS value FROM aligned""", "grid_cells", "climate_obs", "boundary_vertices")
+def to_reference(d):
+    """Climate features on the land inside the boundary."""
+    inside = V.clip_cells_to_boundary(d.land, d.grid, d.edges)
+    mean = S.seasonal_climate_mean(d.climate_obs, TRAIN, ALL3)
+    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), inside, d.grid, ("season", "var")), "value")
+
+
+NDVI_DATED = """dated AS (SELECT *, CAST(make_date(CAST(regexp_extract(file, 'doy(\\d{4})', 1) AS INT), 1, 1) + CAST(regexp_extract(file, 'doy\\d{4}(\\d{3})', 1) AS INT) - 1 AS DATE) AS obs_date FROM ndvi_obs)"""
+
+
+@query(NDVI_DATED + " SELECT file, count(*) AS n FROM dated WHERE month(obs_date) IN (6, 7, 8) AND year(obs_date) BETWEEN 1995 AND 1999 GROUP BY 1", "ndvi_obs")
+def select_files_by_date(d):
+    return S.select_files_by_date(d.ndvi_obs, TRAIN, ["SUMMER"]).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT file, count(*) AS n FROM ndvi_obs WHERE file LIKE '%1996%' OR file LIKE '%1997%' GROUP BY 1", "ndvi_obs")
+def select_files_by_year(d):
+    return S.select_files_by_year(d.ndvi_obs, [1996, 1997]).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+NDVI = "CASE WHEN dn BETWEEN -2000 AND 10000 THEN dn * 0.0001 END"
+
+
+@query(f"SELECT dn, round(CAST({NDVI} AS DOUBLE), 6) AS value, count(*) AS n FROM ndvi_obs GROUP BY 1, 2", "ndvi_obs")
+def ndvi_scale_mask(d):
+    return d.ndvi_obs.groupBy("dn", F.round(G.ndvi_scale_mask(F.col("dn")), 6).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT row, col, round(avg(CAST({NDVI} AS DOUBLE)), 6) AS value FROM ndvi_obs GROUP BY 1, 2", "ndvi_obs")
+def mean_ndvi(d):
+    return rounded(S.mean_ndvi(d.ndvi_obs), "value")
+
+
+@query(f"""{NDVI_DATED}, mean AS (SELECT row, col, avg(CAST({NDVI} AS DOUBLE)) AS value FROM dated WHERE month(obs_date) IN (6, 7, 8) AND year(obs_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2), {LAND},
+    {bilinear_sql("mean", "0 AS z", "aligned").replace("GROUP BY ALL", "GROUP BY n.row, n.col")} SELECT row, col, round(value, 6) AS value FROM aligned""", "grid_cells", "ndvi_obs")
+def ndvi_feature(d):
+    mean = S.mean_ndvi(S.select_files_by_date(d.ndvi_obs, TRAIN, ["SUMMER"]))
+    return rounded(R.align_to_reference(mean, source_grid_of(d.ndvi_obs), d.land, d.grid), "value")
+
+
+@query("SELECT DISTINCT row, col, 550000.0 + col * 150.0 AS easting, 220000.0 - row * 150.0 AS northing, 550000.0 AS x0, 220000.0 AS y0 FROM climate_obs", "climate_obs")
+def orient_north_up(d):
+    at = d.climate_obs.select((550000.0 + F.col("col") * 150.0).alias("easting"), (220000.0 - F.col("row") * 150.0).alias("northing")).distinct()
+    return R.orient_north_up(at, 150.0)
+
+
+@query()
+def to_bng(d):
+    """National grid coordinates of degrees spread by the incidents; tested against published points."""
+    degrees = d.incidents.select("incident_id", (F.col("easting") / 550000.0 - 0.5).alias("lon"), (F.lit(51.0) + F.col("northing") / 440000.0).alias("lat"))
+    return G.to_bng(degrees).select("incident_id", F.round("easting", 2).alias("east"), F.round("northing", 2).alias("north"))
+
+
+@query(f"""h AS (SELECT {HEIGHT} // 2 AS h), t AS (SELECT r AS row, c AS col, (c + 0.5) * 2 - 0.5 AS fx, (r + 0.5) * 2 - 0.5 AS fy FROM h, range(0, h) a(r), range(0, 25) b(c)),
+    near AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))
+    SELECT CAST(near.row AS INT) AS row, CAST(near.col AS INT) AS col, round(avg(elevation), 6) AS elevation FROM near JOIN grid_cells g ON g.row = sr AND g.col = sc WHERE elevation IS NOT NULL GROUP BY 1, 2""", "grid_cells")
+def reproject_resample(d):
+    """Half the resolution in the same system: each new cell lies between four old ones."""
+    g = d.grid
+    half = G.Grid(g.x0, g.y0, 60.0, g.height // 2, 25)
+    return rounded(R.reproject_resample(d.grid_cells, g, half, lambda x, y: (x, y), "elevation"), "elevation")
+
+
+# --- density and labels ---
+
+
+def weights_sql() -> str:
+    return "k(o, w) AS (VALUES " + ", ".join(f"({o}, CAST({w!r} AS DOUBLE))" for o, w in D.kernel(3.0)) + ")"
+
+
+#: Each grid cell gathers from 25 x 25 cells, mirrored at the border.
+SMOOTH = f"""{CELL}, {LAND}, n AS (SELECT row, col, count(*) AS n FROM on_grid WHERE month(call_date) IN (3, 4, 5) AND year(call_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2), {weights_sql()},
+    fold AS (SELECT row, col, a.w * b.w AS w, {HEIGHT} AS h, ((row + a.o) % (2 * {HEIGHT}) + 2 * {HEIGHT}) % (2 * {HEIGHT}) AS u, ((col + b.o) % 100 + 100) % 100 AS v FROM grid_cells, k a, k b),
+    density AS (SELECT f.row, f.col, round(sum(w * n), 6) AS density FROM fold f JOIN n ON n.row = CASE WHEN u < h THEN u ELSE 2 * h - 1 - u END AND n.col = CASE WHEN v < 50 THEN v ELSE 99 - v END GROUP BY 1, 2),
+    on_land AS (SELECT * FROM density SEMI JOIN land USING (row, col))"""
+CUTS = "cuts AS (SELECT quantile_cont(density, 0.6) AS p60, quantile_cont(density, 0.75) AS p75, quantile_cont(density, 0.9) AS p90 FROM on_land WHERE density > 0)"
+LABELS = f"{SMOOTH}, {CUTS}, labels AS (SELECT row, col, density, CASE WHEN density >= p90 THEN 3 WHEN density >= p75 THEN 2 WHEN density >= p60 THEN 1 WHEN density > 0 THEN 0 END AS label FROM on_land, cuts)"
+BOTH = ("grid_cells", "incidents")
+
+
+def spring_train(d: Data) -> DataFrame:
+    return I.split_by_year(I.season_filter(d.incidents, "SPRING"), SPLITS).where("split = 'train'")
+
+
+def spring_density(d: Data) -> DataFrame:
+    return rounded(D.compute_density(spring_train(d), d.land, d.grid), "density")
+
+
+@query(SMOOTH + " SELECT row, col, density FROM density WHERE density > 0", *BOTH)
+def gaussian_smooth(d):
+    return rounded(D.gaussian_smooth(D.fire_counts(spring_train(d), d.grid), d.grid), "density").where("density > 0")
+
+
+@query(SMOOTH + " SELECT row, col, density FROM on_land", *BOTH)
+def compute_density(d):
+    return spring_density(d)
+
+
+@query(f"""{LAND}, p AS (SELECT easting, northing FROM incidents WHERE month(call_date) IN (3, 4, 5) AND year(call_date) BETWEEN 1995 AND 1999),
+    d AS (SELECT row, col, sum(exp(-((550000.0 + (col + 0.5) * 30 - easting) ** 2 + (220000.0 - (row + 0.5) * 30 - northing) ** 2) / 800.0)) / ((SELECT count(*) FROM p) * {2 * math.pi * 400!r}) AS density FROM land, p GROUP BY 1, 2)
+    SELECT row, col, round(density * 1e9, 4) AS density FROM d WHERE density > 1e-12""", *BOTH)
+def kde_density(d):
+    dense = D.compute_density(spring_train(d), d.land, d.grid, "kde", bandwidth=20.0).where("density > 1e-12")
+    return dense.withColumn("density", F.round(F.col("density") * 1e9, 4))
+
+
+@query(f"{SMOOTH}, {CUTS} SELECT round(p60, 6) AS p60, round(p75, 6) AS p75, round(p90, 6) AS p90 FROM cuts", *BOTH)
+def density_percentiles(d):
+    cuts = D.density_percentiles(spring_density(d))
+    return cuts.select(*[F.round(c, 6).alias(c) for c in cuts.columns])
+
+
+@query(LABELS + " SELECT row, col, density, label FROM labels", *BOTH)
+def classify_density(d):
+    return D.classify_density(spring_density(d))
+
+
+@query(f"""{LABELS}, j AS (SELECT label FROM land LEFT JOIN labels USING (row, col)), names(class) AS (VALUES ('0'), ('1'), ('2'), ('3'), ('unlabelled'), ('outside'))
+    SELECT class, CASE class WHEN 'outside' THEN (SELECT 50 * {HEIGHT} - count(*) FROM j) WHEN 'unlabelled' THEN (SELECT count(*) FROM j WHERE label IS NULL) ELSE (SELECT count(*) FROM j WHERE CAST(label AS VARCHAR) = class) END AS n FROM names""", *BOTH)
+def class_counts(d):
+    return D.class_counts(D.classify_density(spring_density(d)), d.land, d.grid)
+
+
+@query(f"""{SMOOTH}, e AS (SELECT min(density) AS a, max(density) AS b FROM on_land WHERE density > 0)
+    SELECT CAST(CASE WHEN a = b THEN 0 ELSE least(floor((density - a) / ((b - a) / 80)), 79) END AS INT) AS bin, count(*) AS n FROM on_land, e WHERE density > 0 GROUP BY 1""", *BOTH)
+def density_histogram(d):
+    return D.density_histogram(spring_density(d))
+
+
+def feature_table(d: Data) -> DataFrame:
+    """Labelled cells with three features, two of them with missing values."""
+    labels = D.classify_density(spring_density(d)).select("row", "col", "label")
+    return d.grid_cells.join(labels, ["row", "col"], "left").withColumn("a", F.col("elevation") * 2.0 + F.col("col")).withColumn("b", F.when(F.col("col") % 7 != 0, F.col("row") * 0.5))
+
+
+FEATURES = f"{LABELS}, f AS (SELECT g.row, g.col, elevation, label, elevation * 2.0 + g.col AS a, CASE WHEN g.col % 7 <> 0 THEN g.row * CAST(0.5 AS DOUBLE) END AS b FROM grid_cells g LEFT JOIN labels l ON g.row = l.row AND g.col = l.col)"
+
+
+@query(FEATURES + " SELECT label, least(count(*), 100) AS n FROM f WHERE label IS NOT NULL GROUP BY 1", *BOTH)
+def sample_per_class(d):
+    return C.sample_per_class(feature_table(d), 100).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(FEATURES + """ SELECT row, col, round((elevation - avg(elevation) OVER ()) / stddev_pop(elevation) OVER (), 6) AS elevation, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS a FROM f""", *BOTH)
+def standardize(d):
+    z = C.standardize(feature_table(d), ["elevation", "a"])
+    return z.select("row", "col", F.round("elevation", 6).alias("elevation"), F.round("a", 6).alias("a"))
+
+
+NEAREST = FEATURES + ", cl AS (SELECT *, CASE WHEN elevation * elevation + a * a <= (elevation - 30.0) * (elevation - 30.0) + (a - 80.0) * (a - 80.0) THEN 0 ELSE 1 END AS cluster FROM f WHERE elevation IS NOT NULL AND label IS NOT NULL)"
+
+
+def clustered(d: Data) -> DataFrame:
+    return C.assign_clusters(feature_table(d).where("elevation IS NOT NULL AND label IS NOT NULL"), ["elevation", "a"], [[0.0, 0.0], [30.0, 80.0]])
+
+
+@query(NEAREST + " SELECT row, col, cluster FROM cl", *BOTH)
+def assign_clusters(d):
+    return clustered(d).select("row", "col", "cluster")
+
+
+@query(NEAREST + " SELECT cluster FROM cl WHERE label = 3 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1", *BOTH)
+def majority_cluster(d):
+    return C.majority_cluster(clustered(d), 3)
+
+
+FLAGGED = NEAREST + ", m AS (SELECT cluster FROM cl WHERE label = 3 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@query(FLAGGED + " SELECT row, col FROM cl WHERE label = 0 AND cluster IN (SELECT cluster FROM m)", *BOTH)
+def flag_low_in_high_cluster(d):
+    return C.flag_low_in_high_cluster(clustered(d), 3)
+
+
+@query(FLAGGED + " SELECT f.row, f.col, CASE WHEN f.label = 0 AND cl.cluster IN (SELECT cluster FROM m) THEN NULL ELSE f.label END AS label FROM f LEFT JOIN cl USING (row, col)", *BOTH)
+def drop_labels(d):
+    return C.drop_labels(feature_table(d), C.flag_low_in_high_cluster(clustered(d), 3)).select("row", "col", "label")
+
+
+@query()
+def kmeans_two(d):
+    return C.kmeans_two(feature_table(d).where("label IN (0, 3)"), ["elevation", "a"], n_init=3).select("row", "col", "cluster")
+
+
+@query()
+def clean_labels(d):
+    return C.clean_labels(feature_table(d), ["elevation", "a"], n_init=2).select("row", "col", "label")
+
+
+# --- datasets, profiles, checks ---
+
+
+@query(f"{LABELS} SELECT l.row, l.col, CAST(elevation AS FLOAT) AS elevation, CAST(density AS FLOAT) AS density FROM land l LEFT JOIN grid_cells g ON g.row = l.row AND g.col = l.col LEFT JOIN on_land o ON o.row = l.row AND o.col = l.col", *BOTH)
+def stack_layers(d):
+    layer = lambda df, name: df.select(F.lit(name).alias("layer"), "row", "col", F.col(name).alias("value"))
+    return R.stack_layers(layer(d.grid_cells, "elevation").union(layer(spring_density(d), "density")), d.land, ["elevation", "density"])
+
+
+@query(f"{LABELS} SELECT row, col, elevation, label FROM grid_cells JOIN labels USING (row, col) WHERE elevation IS NOT NULL", *BOTH)
+def layers_to_arrays(d):
+    """Named layers side by side for the cells that have a label."""
+    return d.grid_cells.where("elevation IS NOT NULL").join(D.classify_density(spring_density(d)).select("row", "col", "label"), ["row", "col"])
+
+
+def describe_sql(source: str, names: list[str]) -> str:
+    one = lambda c: f"""SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS least, round(quantile_cont({c}, 0.25), 6) AS q25,
+        round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS largest, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 6) AS missing_pct FROM {source}"""
+    return " UNION ALL ".join(map(one, names))
+
+
+NAMES = ["elevation", "a", "b"]
+
+
+@query(FEATURES + " " + describe_sql("f", NAMES), *BOTH)
+def describe_features(d):
+    out = P.describe_features(feature_table(d), NAMES)
+    return out.select("feature", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("feature", "n")])
+
+
+SEASONED = FEATURES + ", s AS (SELECT *, CASE WHEN row % 2 = 0 THEN 'SPRING' ELSE 'FALL' END AS season FROM f)"
+
+
+@query(SEASONED + ", m AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, " + ", ".join(f"round(100.0 * count(*) FILTER (season = '{s}' AND {c} IS NULL) / count(*) FILTER (season = '{s}'), 3) AS \"{s}\"" for s in ("SPRING", "FALL")) + " FROM s" for c in NAMES
+) + ') SELECT *, greatest("SPRING", "FALL") AS largest FROM m', *BOTH)
+def nan_pct_by_feature(d):
+    df = feature_table(d).withColumn("season", F.when(F.col("row") % 2 == 0, "SPRING").otherwise("FALL"))
+    return P.nan_pct_by_feature(df, NAMES, ["SPRING", "FALL"])
+
+
+MISSING = "(elevation IS NULL OR a IS NULL OR b IS NULL)"
+
+
+@query(f"{FEATURES} SELECT count(*) FILTER {MISSING} AS n, 100.0 * count(*) FILTER {MISSING} / count(*) AS pct FROM f", *BOTH)
+def rows_with_missing(d):
+    return P.rows_with_missing(feature_table(d), NAMES)
+
+
+@query(FEATURES + " " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS pct FROM f WHERE {MISSING}" for c in NAMES), *BOTH)
+def nan_contributors(d):
+    return P.nan_contributors(feature_table(d), NAMES)
+
+
+@query(f"{FEATURES} SELECT row, col, CASE WHEN elevation IS NULL THEN -1 WHEN b IS NULL THEN 1 ELSE 0 END AS flag FROM f", *BOTH)
+def nan_coverage_grid(d):
+    return P.nan_coverage_grid(feature_table(d).where("elevation IS NOT NULL"), d.grid, NAMES)
+
+
+@query("SELECT count(elevation) > 0 AS ok, CASE WHEN count(*) = 0 THEN 'no cells' WHEN count(elevation) = 0 THEN 'all cells are missing' ELSE 'ok' END AS message, 100.0 * count(elevation) / count(*) AS valid_pct FROM grid_cells", "grid_cells")
+def validate_raster(d):
+    return P.validate_raster(d.grid_cells, "elevation")
+
+
+@query("SELECT false AS ok, CASE WHEN count(*) = 0 THEN 'no features' ELSE 'no coordinate system' END AS message FROM landuse_boxes", "landuse_boxes")
+def validate_vector(d):
+    return P.validate_vector(d.landuse_boxes)
+
+
+@query("SELECT false AS ok, 'missing columns: label' AS message FROM (SELECT 1 FROM incidents LIMIT 1)", "incidents")
+def validate_csv(d):
+    return P.validate_table(d.incidents, ["incident_id", "label"])
+
+
+@query(f"{LABELS} SELECT (SELECT count(*) FROM labels) AS rows, (SELECT count(*) FROM land) AS cells, (SELECT count(*) FROM labels) = (SELECT count(*) FROM land) AS ok", *BOTH)
+def check_row_count(d):
+    return P.check_row_count(D.classify_density(spring_density(d)), d.land)
+
+
+def sources(d: Data) -> tuple[L.Sources, L.Config]:
+    s = L.Sources(d.grid_cells, d.grid, d.edges, d.incidents, d.road_segments, d.activity, d.climate_obs, d.ndvi_obs, source_grid_of(d.climate_obs))
+    return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"])
+
+
+@query(f"""{TERRAIN}, r AS (SELECT row, col, z AS elevation, {SLOPE}, {ASPECT} FROM t WHERE z IS NOT NULL)
+    SELECT 'elevation' AS layer, row, col, elevation AS value FROM r UNION ALL SELECT 'slope', row, col, slope FROM r UNION ALL SELECT 'aspect', row, col, aspect FROM r""", "grid_cells")
+def topography_features(d):
+    return rounded(L.topography_features(sources(d)[0]), "value", 4)
+
+
+@query()
+def static_features(d):
+    return L.static_features(sources(d)[0])
+
+
+@query()
+def seasonal_features(d):
+    return L.seasonal_features(*sources(d))
+
+
+#: As SMOOTH, for incidents inside the boundary and each season at once.
+SEASONAL = f"""{inside_sql("incidents", "easting", "northing", "hit")}, {CELL.replace("FROM incidents", "FROM hit")}, {LAND},
+    n AS (SELECT {SEASON} AS season, row, col, count(*) AS n FROM on_grid WHERE month(call_date) BETWEEN 3 AND 11 AND year(call_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2, 3), {weights_sql()},
+    fold AS (SELECT row, col, a.w * b.w AS w, {HEIGHT} AS h, ((row + a.o) % (2 * {HEIGHT}) + 2 * {HEIGHT}) % (2 * {HEIGHT}) AS u, ((col + b.o) % 100 + 100) % 100 AS v FROM grid_cells SEMI JOIN land USING (row, col), k a, k b)
+    SELECT season, f.row, f.col, round(sum(w * n), 6) AS density FROM fold f JOIN n ON n.row = CASE WHEN u < h THEN u ELSE 2 * h - 1 - u END AND n.col = CASE WHEN v < 50 THEN v ELSE 99 - v END GROUP BY 1, 2, 3"""
+
+
+@query(SEASONAL, "grid_cells", "incidents", "boundary_vertices")
+def seasonal_labels(d):
+    return rounded(L.seasonal_labels(*sources(d)), "density").select("season", "row", "col", "density")
+
+
+@query(f"{LAND} SELECT season, count(*) AS rows, round(sum(CAST(elevation AS DOUBLE)), 3) AS elevation FROM land JOIN grid_cells USING (row, col), (VALUES ('SPRING'), ('SUMMER'), ('FALL')) s(season) GROUP BY 1", "grid_cells")
+def assemble_dataset(d):
+    """Rows by season of the assembled dataset, and the sum of a layer that all seasons share."""
+    return L.assemble_dataset(*sources(d)).groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("elevation").cast("double")), 3).alias("elevation"))
+
+
+@query()
+def full_pipeline(d):
+    return L.full_pipeline(*sources(d))

@@ -1,0 +1 @@
+"""Nothing here: all jobs are batch jobs over finished files."""
