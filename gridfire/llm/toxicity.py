@@ -181,7 +181,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.repeat([s / n for s, n, *_ in pools], 2)
 
 
-def learn_lexicon(sample: DataFrame, stems: int = 64, least: int = 8, z: float = 6.0, odds: float = 3.0, sizes: tuple[int, int] = (3, 10)) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, stems: int = 64, least: int = 4, z: float = 5.0, odds: float = 1.5, sizes: tuple[int, int] = (3, 10)) -> dict[str, float]:
     """Stems in the sample (``y``, ``text``) that mark toxic documents, with log odds; ``stems`` of them at most.
 
     Beginnings of words are counted once for a document, by label: tasks add up their slices, Spark adds up the rest,
