@@ -16,14 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    Only where neither that setting nor a checkpoint folder is there (tests on one machine) a temporary one stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
