@@ -77,18 +77,21 @@ def license_scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("c").alias("classes")).first()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     hashes = shingles(texts, F.col("text"), "s", width).select("id", "s").where("s IS NOT NULL")
-    found = None
-    for c in sorted(sizes.classes):
-        size, bins = 2 * c, bins_for(2 * c, miss)
+    classes = sorted(sizes.classes)
+    if not classes:
+        return hashes.select(F.col("id").alias(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_shingle")).where(F.lit(False))
+    bins = bins_for(2 * classes[-1], miss)
+
+    def windows_of(c: int) -> Column:
         n = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(c)).cast("int") - 1)
-        windows = hashes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col("s"), k * c + 1, size))).alias("k", "w"))  # noqa: B023
-        windows = windows.select("id", (F.col("k") * c).alias("at"), F.sort_array(F.array_distinct("w")).alias("w"))
-        bands = windows.select("id", "at", "w", F.explode(sketch(F.col("w"), bins)).alias("band"))
-        ours = known.where(F.col("c") == c).select("license", "t", "m", F.explode(sketch(F.col("t"), bins)).alias("band"))
-        pairs = bands.join(F.broadcast(ours) if sizes.n <= BROADCAST_ROWS else ours, "band")
-        share = F.size(F.array_intersect("w", "t")) / F.col("m")
-        match = pairs.select("id", "license", share.alias("containment"), "at").where(F.col("containment") >= least)
-        found = match if found is None else found.union(match)
-    if found is None:
-        found = hashes.select("id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("at")).where(F.lit(False))
+        window = lambda k: F.struct(F.lit(c).alias("c"), (k * c).alias("at"), F.slice(F.col("s"), k * c + 1, 2 * c).alias("w"))
+        return F.transform(F.sequence(F.lit(0), n - 1), window)
+
+    # all window classes come from one reading of the hashes
+    windows = hashes.select("id", F.explode(F.concat(*map(windows_of, classes))).alias("x")).select("id", "x.c", "x.at", F.sort_array(F.array_distinct("x.w")).alias("w"))
+    bands = windows.select("id", "c", "at", "w", F.explode(sketch(F.col("w"), bins)).alias("band"))
+    ours = known.select("license", "c", "t", "m", F.explode(sketch(F.col("t"), bins)).alias("band"))
+    pairs = bands.join(F.broadcast(ours) if sizes.n <= BROADCAST_ROWS else ours, ["band", "c"])
+    share = F.size(F.array_intersect("w", "t")) / F.col("m")
+    found = pairs.select("id", "license", share.alias("containment"), "at").where(F.col("containment") >= least)
     return found.groupBy(F.col("id").alias(id_col), "license").agg(F.max("containment").alias("containment"), F.min("at").alias("first_shingle"))
