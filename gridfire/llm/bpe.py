@@ -106,7 +106,7 @@ class Encoder:
     Words met before come from two tables, of words after a space and of others, which are emptied at ``table`` entries.
     """
 
-    def __init__(self, vocabulary: Vocabulary, table: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, table: int = 800_000):
         self.v, self.table = vocabulary, table
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -162,7 +162,7 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 400_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 800_000) -> DataFrame:
     """``docs`` with the token ids of the whole text in array column ``name``.
 
     The ids are those of the vocabulary's own library without added special tokens; a special token's string within
