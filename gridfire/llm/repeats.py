@@ -208,7 +208,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts, found, left = packed(docs, id_col, text_col), None, None
     for h in rounds:
         source = plain if left is None else with_lists(texts, left, "ranges", "inner")
-        spans, left = one_round(units(source, Scanner(length, first, h), left is not None), h == length)
+        rows = units(source, Scanner(length, first, h), left is not None)
+        if left is not None:  # few rows by now, and they come from a join with the texts, which is run once so
+            rows = release(written(rows, "units"))
+        spans, left = one_round(rows, h == length)
         spans = release(written(spans, "spans"))
         found = spans if found is None else found.union(spans)
     return texts, found
