@@ -188,7 +188,7 @@ def one_round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
     if last:
         return spans, None
     single = (F.col("c") == 1) & ~F.col("rep")
-    open_ranks = classes.where(single).select("r").distinct()
+    open_ranks = written(classes.where(single).select("r").distinct(), "open")
     left = classes.join(open_ranks, "r", "left_semi").select("one.id", "one.h", "one.lo", "n", (~single).alias("rep"))
     return spans, release(written(left, "windows"))
 
