@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from gridfire.llm import decontaminate, html_text, licenses, queries
@@ -128,3 +129,13 @@ def test_extract_query(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "", "t")], "page_id long, html string, html_ string")
     assert [r.text for r in html_text.extract_text(docs).collect()] == ["", "", ""]
     assert html_text.extract_text(docs.limit(0)).count() == 0
+
+
+def test_license_query_matches_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op2_license_scan"])
+    cols = [c[0] for c in want.description]
+    got = queries.op2_license_scan(spark, sf_dir).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 20
