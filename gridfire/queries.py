@@ -608,15 +608,19 @@ def sources(d: Data) -> tuple[L.Sources, L.Config]:
     return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"])
 
 
-@query(f"""{TERRAIN}, r AS (SELECT row, col, z AS elevation, {SLOPE}, {ASPECT} FROM t WHERE z IS NOT NULL)
-    SELECT 'elevation' AS layer, row, col, elevation AS value FROM r UNION ALL SELECT 'slope', row, col, slope FROM r UNION ALL SELECT 'aspect', row, col, aspect FROM r""", "grid_cells")
+RELIEF = f"{TERRAIN}, r AS (SELECT row, col, z AS elevation, {SLOPE}, {ASPECT} FROM t WHERE z IS NOT NULL)"
+RELIEF_LAYERS = "SELECT 'elevation' AS layer, row, col, elevation AS value FROM r UNION ALL SELECT 'slope', row, col, slope FROM r UNION ALL SELECT 'aspect', row, col, aspect FROM r"
+
+
+@query(f"{RELIEF} {RELIEF_LAYERS}", "grid_cells")
 def topography_features(d):
     return rounded(L.topography_features(sources(d)[0]), "value", 4)
 
 
-@query()
+@query(f"{RELIEF}, {ROADS}, {ACTIVITY}, {LAND} {RELIEF_LAYERS} UNION ALL {distance_sql('d_activity').format('activity')} UNION ALL {distance_sql('d_roads').format('roads')}", "grid_cells", "road_segments", "landuse_boxes")
 def static_features(d):
-    return L.static_features(sources(d)[0])
+    far = F.col("layer").startswith("d_")
+    return L.static_features(sources(d)[0]).withColumn("value", F.when(far, F.round("value", 6)).otherwise(F.round("value", 4)))
 
 
 @query()
