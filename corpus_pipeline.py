@@ -20,7 +20,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one of the smallest id stays."""
+    """Of documents whose fingerprints link or whose shingles of five words are similar, the one of the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 

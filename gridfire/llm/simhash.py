@@ -10,6 +10,7 @@ from xxhash import xxh64_intdigest
 
 from .common import checkpointed, fresh, map_batches, text_of
 from .components import connected_components
+from .jaccard import similar_links
 
 HALF = 0xFFFFFFFF
 
@@ -103,9 +104,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, (F.col("fingerprint") == F.col("fp")) & F.col(f"`{id_col}`").isNotNull(), "left").select(F.col(f"`{id_col}`"), "fingerprint", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; rows with a null id all stay."""
-    groups = simhash_groups(docs, id_col, text_col, width)
-    gone = groups.where(F.col("component_id") != F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias("gone_")).distinct()
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one of the smallest id; rows with a null id all stay.
+
+    Two documents are near copies if their fingerprints link as in ``simhash_groups``, or if their shingles of
+    ``words`` words have a Jaccard similarity of ``least`` or more, at whatever distance their fingerprints are.
+    """
+    groups = simhash_groups(docs, id_col, text_col, width).select(F.col("component_id").alias("a"), F.col(f"`{id_col}`").alias("b"))
+    roots = connected_components(groups.union(similar_links(docs, id_col, text_col, words, least)))
+    gone = roots.where("component <> node").select(F.col("node").alias("gone_"))
     kept = docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
     return kept.select(*[f"`{c}`" for c in docs.columns])
