@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -57,24 +57,15 @@ class Items:
         get = self.vocab.get
         return np.array([get(w, 0) for w in WORDS.findall(text.lower())], np.int64)
 
-    def hits(self, x: np.ndarray, grams: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, positions, grams) of the sorted grams that occur in a text."""
-        for k, known in grams.items():
+    def hits(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, positions, grams) of the grams that occur in a text."""
+        for k, known in self.grams.items():
             code = self.codes(x, k)
-            at = np.flatnonzero(code) if len(known) else np.zeros(0, np.int64)
+            at = np.flatnonzero(code)
             at = at[known[np.minimum(np.searchsorted(known, code[at]), len(known) - 1)] == code[at]] if len(at) else at
             if len(at):
                 yield k, at, code[at]
 
-    def choose(self, documents: dict[tuple[int, int], int], total: int, rare: float) -> None:
-        """Keeps the seeds, of the grams that occur at all: the rarer half of each item's, and all in at most a share ``rare`` of the documents."""
-        of: dict[int, list[tuple[int, int, int]]] = {}
-        for (k, g), d in documents.items():
-            for i in {i for i, _ in self.places[k, g]}:
-                of.setdefault(i, []).append((d, k, g))
-        keep = {(k, g) for found in of.values() for j, (d, k, g) in enumerate(sorted(found)) if 2 * j < len(found) or d <= rare * total}
-        self.seeds = {k: np.array(sorted(g for kk, g in keep if kk == k), np.int64) for k in self.sizes}
-
 
 def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[int, int, int]:
     """The best local alignment of two number sequences: score, and first and last position (exclusive) in the text.
@@ -101,17 +92,25 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
     return best
 
 
+def shared_words(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words of the item the text has, each as often as in both."""
+    words, n = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == text], minlength=len(words)), n).sum())
+
+
 def align(items: Items, x: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
     """By item number: score (1 for a full copy), first and last word (exclusive) of its best alignment in a text.
 
-    The seeds of an item in the text give the stretches to align; stretches that touch are one.
+    Each gram of an item in the text gives a stretch to align, however common it is; stretches that touch are one. A
+    stretch holds every alignment of score ``least`` through its gram: more words put in would cost more than that leaves.
     """
     around: dict[int, list[tuple[int, int]]] = {}
-    for k, positions, codes in items.hits(x, items.seeds):
+    for k, positions, codes in items.hits(x):
         for at, code in zip(positions.tolist(), codes.tolist(), strict=True):
             for i, place in items.places[k, code]:
                 m = len(items.items[i])
-                slack = m // 4 + 5
+                slack = int(2 * m * (1 - least)) + 1
                 around.setdefault(i, []).append((max(0, at - place - slack), min(len(x), at - place + m + slack)))
     out = {}
     for i, spans in around.items():
@@ -125,7 +124,7 @@ def align(items: Items, x: np.ndarray, least: float) -> dict[int, tuple[float, i
                 merged.append([a, b])
         for a, b in merged:
             part = x[a:b]
-            if 2 * len(item) * least > 2 * np.isin(part, item).sum():  # too few shared words for that score
+            if len(item) * least > shared_words(item, part):  # too few for that score
                 continue
             score, first, end = smith_waterman(item, part)
             best = max(best, (score / (2 * len(item)), -(a + first), a + end))
@@ -142,36 +141,13 @@ def blocks(items: DataFrame, id_col: str, text_col: str, n: int, block_chars: in
         yield Items([(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == b).collect()], n)
 
 
-def seeded(docs: DataFrame, items: Items, text: str, rare: float) -> object:
-    """``items`` with their seeds chosen by the documents that have each gram, counted over all of ``docs``; broadcast."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(items)
-    schema = T.StructType().add("k", "integer").add("gram", "long").add("n", "long")
-
-    def count(batches):
-        block, found, total = shared.value, {}, 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total += 1
-                for k, _, codes in block.hits(block.numbers(t), block.grams):
-                    for g in np.unique(codes).tolist():
-                        found[k, g] = found.get((k, g), 0) + 1
-        rows = [(0, 0, total), *((k, g, c) for (k, g), c in found.items())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
-
-    counts = docs.select(F.col(f"`{text}`")).mapInArrow(count, schema).groupBy("k", "gram").agg(F.sum("n").alias("n")).collect()
-    by = {(r.k, r.gram): r.n for r in counts}
-    items.choose(by, by.pop((0, 0), 0), rare)
-    return context.broadcast(items)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.01, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
     """One row per document and item that it holds a copy of: id, item id, ``score``, ``first_word``, ``end_word``.
 
-    Seeds are word n-grams of an item that occur in the documents: the rarer half of them by the number of documents
-    that have them, and all that at most a share ``rare`` of the documents have. Texts with a seed are aligned with the item around it; the score is that of the best
-    alignment (match 2, mismatch -1, gap -1) divided by that of a full copy. Nothing is shuffled but counts of grams:
-    items go to the tasks in blocks of bounded size, and each block passes over all texts. Null and empty texts and
+    Seeds are all word n-grams of an item: a common one may be all that a partial copy shares with it. Texts with a
+    seed are aligned with the item around it; the score is that of the best alignment (match 2, mismatch -1, gap -1)
+    divided by that of a full copy. Nothing is shuffled: items go to the tasks in blocks of bounded size, and each
+    block passes over all texts. Null and empty texts and
     items match nothing; repeated rows are reported as often as they come; empty tables give no rows.
     """
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_id, items.schema[item_id].dataType)]).add("score", "double").add("first_word", "long").add("end_word", "long")
@@ -179,7 +155,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(f"`{id_col}`", text_of(text_col).alias("text_"))
     found = None
     for block in blocks(items, item_id, item_text, n, block_chars):
-        shared = seeded(rows, block, "text_", rare)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             held = shared.value
@@ -195,13 +171,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return docs.sparkSession.createDataFrame([], out) if found is None else found
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.01, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
     """``docs``, in the columns it has, without the documents in which ``find_leaks`` finds an item."""
     (text,) = fresh(docs, "text_")
     out = docs
     for block in blocks(items, item_id, item_text, n, block_chars):
         rows = out.withColumn(text, text_of(text_col))
-        shared = seeded(docs.withColumn(text, text_of(text_col)), block, text, rare)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             held = shared.value
