@@ -14,7 +14,8 @@ from .common import fresh, map_batches, text_of
 
 #: Comments, declarations and tags. Possessive repeats keep a page without a closing bracket linear.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
-HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another: name and value.
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 
 #: Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,14 +43,21 @@ NO_CONTENT = frozenset(
 )
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Name and value, in lower case, of a tag's attributes; of equal names the first one counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), (a or b or c).lower())
+    return out
+
+
 def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether the element and all in it are no article text, by its tag or by what it calls itself."""
     if tag in NO_TEXT or (tag == "header" and not in_article):
         return True
     if tag in WHOLE and tag != "article" or not attrs:
         return False
-    for name, a, b, c in HINT.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
+    for name, value in attributes(attrs).items():
         if (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true"):
             return True
         if name in ("class", "id", "role"):
