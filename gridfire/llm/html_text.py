@@ -41,6 +41,24 @@ NO_CONTENT = frozenset(
     "comment comments disqus respond reply replies discussion reader readers share sharing social follow subscribe subscription newsletter signup signin login register search searchbox "
     "related recommended recommendations recirculation trending popular tags taglist contentinfo complementary".split()
 )
+#: What may stand beside such a word in one name (site-footer, nav-bar, comment-list) without making it a name of something else.
+NEUTRAL = frozenset(
+    "site page main global primary secondary top bottom left right upper lower bar box block list item items link links wrap wrapper container section inner outer area panel row col js "
+    "posts stories articles news form button buttons icon icons title slot unit policy media tools message messages thread fixed sticky mobile desktop".split()
+)
+
+
+def names_no_content(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class, id or role says that it is no content: all its words do, or are neutral beside them.
+
+    So has-sidebar, tag-search and header-and-content say nothing. An article's header and tags are its own.
+    """
+    own = NO_CONTENT - {"header", "tags"} if in_article else NO_CONTENT
+    for name in value.split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if words & own and words <= NO_CONTENT | NEUTRAL:
+            return True
+    return False
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -51,8 +69,11 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether the element and all in it are no article text, by its tag or by what it calls itself."""
+def is_boilerplate(tag: str, attrs: str, in_article: bool, nested: bool) -> bool:
+    """Whether the element and all in it are no article text, by its tag or by what it calls itself.
+
+    An article is never left out by its names, unless it is ``nested`` in another one: such a one may be a comment.
+    """
     if tag in NO_TEXT or (tag == "header" and not in_article):
         return True
     if tag in WHOLE and tag != "article" or not attrs:
@@ -61,8 +82,7 @@ def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         if (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true"):
             return True
         if name in ("class", "id", "role"):
-            found = NO_CONTENT.intersection(re.split(r"[^a-z]+", value))
-            if found and not (in_article and found <= {"header", "tags"}):
+            if (tag != "article" or nested) and names_no_content(value, in_article):
                 return True
     return False
 
@@ -71,7 +91,7 @@ class Page:
     """The DOM in preorder: for each node its parent, tag, last descendant, and whether it is left out."""
 
     def __init__(self, source: str):
-        self.parent, self.tags, self.last, self.out, self.link, self.article = [-1], ["#root"], [0], [False], [False], [False]
+        self.parent, self.tags, self.last, self.out, self.link, self.article, self.nested = [-1], ["#root"], [0], [False], [False], [False], [False]
         #: (node, text) in page order; None ends a block.
         self.pieces: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -129,9 +149,10 @@ class Page:
         self.parent.append(up)
         self.tags.append(tag)
         self.last.append(node)
-        self.out.append(self.out[up] or is_boilerplate(tag, attrs, inside))
+        self.out.append(self.out[up] or is_boilerplate(tag, attrs, inside, self.nested[up]))
         self.link.append(self.link[up] or tag == "a")
         self.article.append(inside or tag in ("article", "main"))
+        self.nested.append(self.nested[up] or tag == "article")
         if tag in BLOCK:
             self.pieces.append((node, None))
         if tag not in VOID:
