@@ -1,10 +1,10 @@
-"""Removal of byte strings that occur twice in a corpus, by prefix doubling over sampled suffixes.
+"""Removal of byte strings that occur twice in a corpus, by grouping fingerprints of sampled suffixes.
 
 A suffix array of every byte would move some hundred bytes for each byte of text. This is the same search on the
 suffixes that matter. Of each window of ``length`` bytes, the position of its smallest prefix fingerprint of h bytes
 stands for the window (its anchor); equal windows have equal anchors at equal offsets, and one anchor stands for a run
 of neighbouring windows. Ranks of h bytes are fingerprints; those of a longer prefix come from the pair of ranks at a
-position and at an offset, as in prefix doubling. Rounds with growing h sort the anchors by rank in Spark:
+position and at an offset, as in prefix doubling. Rounds with growing h group the anchors by rank in Spark:
 
 * a rank that occurs once is unique, and all windows of that anchor drop out;
 * a run whose whole string (and place of the anchor) occurs again repeats as a whole, and is past the threshold;
