@@ -58,16 +58,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import bpe_decode, bpe_encode
-
-    vocabulary = vocabulary_path()
-    ids = bpe_encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    return bpe_decode(ids, vocabulary).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    from .bpe import DIGESTS, bpe_round_trip, digests
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary_path(), digests, DIGESTS, keep=["doc_id"])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
