@@ -1,23 +1,25 @@
-"""Removal of byte strings that occur twice in a corpus, by grouping fingerprints of sampled suffixes.
+"""Removal of byte strings that occur twice in a corpus, by ranking sampled suffixes at growing lengths.
 
 A suffix array of every byte would move some hundred bytes for each byte of text. This is the same search on the
-suffixes that matter. Of each window of ``length`` bytes, the position of its smallest prefix fingerprint of h bytes
-stands for the window (its anchor); equal windows have equal anchors at equal offsets, and one anchor stands for a run
-of neighbouring windows. Ranks of h bytes are fingerprints; those of a longer prefix come from the pair of ranks at a
-position and at an offset, as in prefix doubling. Rounds with growing h group the anchors by rank in Spark:
-
-* a rank that occurs once is unique, and all windows of that anchor drop out;
-* a run whose whole string (and place of the anchor) occurs again repeats as a whole, and is past the threshold;
-* what is left goes to the next round, with one run of each repeated string that shares its rank.
-
-In the last round h is ``length``: each window left is its own anchor, and its rank decides. Strings count as equal
-if two independent 64-bit fingerprints and their lengths are.
+suffixes that matter. Of each window of ``length`` bytes, the position of its smallest prefix hash stands for the
+window (its anchor); equal windows have equal anchors at equal offsets, and one anchor stands for a run of
+neighbouring windows. The hash only picks anchors. Three rounds rank the strings around an anchor, each longer than
+those of the round before; the key of a round is the pair of the rank so far and of what was added, and Spark
+groups these pairs and makes the next ranks:
+
+* ``length / 4`` bytes from the anchor on. A rank that occurs once is unique, and all windows of that anchor drop out.
+* The bytes that up to ``step`` neighbouring windows share. Again unique ranks drop out.
+* The whole window: the rank before, and the ``step - 1`` bytes at its sides.
+
+A run of windows whose whole string (and place of the anchor) occurs again is past the threshold and done in the
+first round that shows it; one run of each repeated string goes on for those that share its rank only. Bytes are
+compared as they are in the last round and at the sides in the second; longer strings by BLAKE2b of 128 bits.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,58 +29,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_of, written
+from .common import dropped, text_of, written
 from .rolling import Rolling, U, mix, sliding_min
 
-UNIT = ["r", "k", "off", "n"]
-#: Bytes of a text that are looked at together; longer texts go in overlapping slices.
-SLICE = 1 << 20
 
-
-def release(df: DataFrame) -> DataFrame:
-    """``df``, after the driver was asked to forget finished plans: Spark then deletes their shuffle files."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
 
 class Scanner:
-    """Finds the runs of windows of a buffer in which every window of ``length`` bytes has the same anchor."""
+    """Finds the runs of windows of a buffer in which every window of ``length`` bytes has the same anchor.
 
-    def __init__(self, length: int, first: int, h: int):
-        self.length, self.first, self.h = length, first, h
-        self.rank, self.check = Rolling(11), Rolling(12)
+    Texts over ``slice_bytes`` are looked at in overlapping slices.
+    """
 
-    def ranks(self, sums: np.ndarray) -> np.ndarray:
-        fp, n = self.rank.each(sums, self.first), self.first
-        while n < self.h:
-            to = min(2 * n, self.h)
-            fp, n = self.rank.doubled(fp, n, to), to
-        return fp
+    def __init__(self, length: int, first: int, slice_bytes: int):
+        self.length, self.first, self.slice_bytes = length, first, slice_bytes
+        self.hash = Rolling(11)
 
     def runs(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """(text, first window, windows, offset of the anchor in the first window, rank, check) of every run.
-
-        Positions are within the text. The buffer may be ``SLICE`` plus a few texts long; windows end within a text.
-        """
+        """(text, first window, windows, offset of the anchor in the first window, hash from the anchor on) of every run."""
         sizes = np.array([len(t) for t in texts], np.int64)
         if not (sizes >= self.length).any():
-            return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U), np.zeros(0, U))
+            return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U),)
         buffer = np.concatenate(texts)
         ends = np.repeat(np.cumsum(sizes), sizes)
         m = len(buffer) - self.length + 1
         windows = np.flatnonzero(np.arange(self.length, len(buffer) + 1) <= ends[:m])
-        fp = self.ranks(self.rank.sums(buffer))
+        fp = mix(self.hash.each(self.hash.sums(buffer), self.first))
         low = U((1 << 24) - 1)
-        key = (mix(fp) & ~low) | np.arange(len(fp), dtype=U)
-        anchor = (sliding_min(key, self.length - self.h + 1)[windows] & low).astype(np.int64)
+        key = (fp & ~low) | np.arange(len(fp), dtype=U)
+        anchor = (sliding_min(key, self.length - self.first + 1)[windows] & low).astype(np.int64)
         new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)) + 1
         start, end = np.concatenate(([0], new)), np.concatenate((new, [len(windows)])) - 1
         lo, hi, at = windows[start], windows[end], anchor[start]
-        off, n = at - lo, hi - lo + 1
-        check = self.check.of(self.check.sums(buffer), lo, hi + self.length)
         text = np.searchsorted(np.cumsum(sizes), lo, side="right")
-        return text, lo - (np.cumsum(sizes) - sizes)[text], n, off, fp[at], mix(check + mix((off << 24 | n).astype(U)))
+        return text, lo - (np.cumsum(sizes) - sizes)[text], hi - lo + 1, at - lo, fp[at]
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         """``runs`` of texts of any length, in buffers of bounded size; the text's number is that in ``texts``."""
@@ -90,21 +76,26 @@ class Scanner:
 
         for i, text in enumerate(texts):
             data = np.frombuffer(text, np.uint8)
-            for at in range(0, max(1, len(data) - self.length + 1), SLICE):
-                held.append(data[at : at + SLICE + self.length - 1])
+            for at in range(0, max(1, len(data) - self.length + 1), self.slice_bytes):
+                held.append(data[at : at + self.slice_bytes + self.length - 1])
                 ids.append(i)
                 base.append(at)
                 size += len(held[-1])
-                if size >= 1 << 20:
+                if size >= self.slice_bytes:
                     yield flush()
                     held, ids, base, size = [], [], [], 0
         if held:
             yield flush()
 
 
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``h``, ``text``). Id and hash name a text in all rounds."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``h``, ``z``): id, hash and compressed bytes of each text. The first two name a text in all rounds."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    """(``id``, ``h``, ``z``): the bytes of each text compressed."""
+    rows = plain(docs, id_col, text_col).select("id", "h", "text")
     out = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("z", T.BinaryType())])
     schema = to_arrow_schema(out)
 
@@ -123,113 +114,132 @@ def unpack(z: bytes | None) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
-def units(texts: DataFrame, scanner: Scanner, within: bool) -> DataFrame:
-    """A row for each run of windows: ``id``, ``h``, ``lo``, ``n``, ``off``, ``r``, ``k``, ``rep``.
+def heads(texts: DataFrame, scanner: Scanner) -> DataFrame:
+    """``r`` of every run."""
+    schema = to_arrow_schema(T.StructType().add("r", "long"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for *_, r in scanner.scan([t.encode() for t in batch.column("text").slice(at, 256).to_pylist()]):
+                    yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64))], schema=schema)
+
+    return texts.select("text").mapInArrow(run, T.StructType().add("r", "long"))
 
-    ``texts`` has id, h, z (or text). ``within``: only runs that meet a range of column ``ranges`` (lo, n, rep); a
-    run is a representative if all ranges that it meets are.
-    """
-    id_field = texts.schema["id"]
-    out = T.StructType([id_field]).add("h", "long").add("lo", "long").add("n", "integer").add("off", "integer").add("r", "long").add("k", "long").add("rep", "boolean")
-    schema = to_arrow_schema(out)
-    plain = "text" in texts.columns
-
-    def met(lo: np.ndarray, n: np.ndarray, ranges: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each run (in order, apart from each other) meets a range, and one that isn't a representative."""
-        out = []
-        for part in (ranges, [x for x in ranges if not x["rep"]]):
-            mark = np.zeros(len(lo) + 1, np.int64)
-            if part:
-                a = np.array([x["lo"] for x in part])
-                b = a + np.array([x["n"] for x in part])
-                first = np.searchsorted(lo + n, a, side="right")  # the first run that ends after a
-                last = np.searchsorted(lo, b, side="left")  # the first run from b on
-                np.add.at(mark, first, 1)
-                np.add.at(mark, last, -1)
-            out.append(np.cumsum(mark)[:-1] > 0)
-        return out[0], out[1]
+
+def runs(texts: DataFrame, scanner: Scanner) -> DataFrame:
+    """``id``, ``h``, ``lo``, ``n``, ``off``, ``r``, ``d`` of every run; d is the digest of its whole string."""
+    out = T.StructType([texts.schema["id"]]).add("h", "long").add("lo", "long").add("n", "integer").add("off", "integer").add("r", "long").add("d", "binary")
+    schema, more = to_arrow_schema(out), scanner.length - 1
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts_ = [t.encode() for t in part.column("text").to_pylist()] if plain else [unpack(z) for z in part.column("z").to_pylist()]
-                ranges = part.column("ranges").to_pylist() if within else None
+                held = [t.encode() for t in part.column("text").to_pylist()]
                 ids, hashes = part.column("id"), part.column("h")
-                for t, lo, n, off, r, k in scanner.scan(texts_):
-                    rep = np.zeros(len(t), bool)
-                    if within:
-                        use, own = np.zeros(len(t), bool), np.zeros(len(t), bool)
-                        edges = np.flatnonzero(np.diff(t)) + 1
-                        for a, b in zip([0, *edges], [*edges, len(t)], strict=True):
-                            if b > a:
-                                use[a:b], own[a:b] = met(lo[a:b], n[a:b], ranges[t[a]])
-                        t, lo, n, off, r, k, rep = (x[use] for x in (t, lo, n, off, r, k, ~own))
+                for t, lo, n, off, r in scanner.scan(held):
+                    d = [digest(held[i][a : a + k + more]) for i, a, k in zip(t.tolist(), lo.tolist(), n.tolist(), strict=True)]
                     pick = pa.array(t)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pick).cast(schema.field("id").type), hashes.take(pick), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(k.view(np.int64)), pa.array(rep)],
+                        [ids.take(pick).cast(schema.field("id").type), hashes.take(pick), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(r.view(np.int64)), pa.array(d, pa.binary())],
                         schema=schema,
                     )
 
-    return texts.mapInArrow(run, out)
+    return texts.select("id", "h", "text").mapInArrow(run, out)
 
 
-def one_round(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Spans (id, h, lo, n) that repeat, and the windows (id, h, lo, n, rep) of the next round.
+def pieces(texts: DataFrame, length: int, step: int) -> DataFrame:
+    """The runs in column ``ranges`` (lo, n, off, rep) cut where the offset of the anchor is a multiple of ``step``.
 
-    Counts by rank and by string combine on the map side, and what comes more than once is a table of its own when
-    rows meet it, so that Spark can split hot ranks in the joins.
+    ``node`` is that multiple, ``x`` the offset in the piece's last window, ``core`` the digest of the bytes that all
+    windows of a node share, and ``left`` and ``right`` are the piece's bytes at its sides.
     """
-    often = written(rows.groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r"), "ranks")
-    active = release(written(rows.join(often, "r"), "runs"))
-    classes = active.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.min(F.struct("id", "h", "lo")).alias("one"))
-    classes = release(written(classes, "strings"))
-    spans = active.where("NOT rep").join(classes.where("c > 1").select(*UNIT), UNIT).select("id", "h", "lo", "n")
-    if last:
-        return spans, None
-    single = (F.col("c") == 1) & ~F.col("rep")
-    open_ranks = written(classes.where(single).select("r").distinct(), "open")
-    left = classes.join(open_ranks, "r", "left_semi").select("one.id", "one.h", "one.lo", "n", (~single).alias("rep"))
-    return spans, release(written(left, "windows"))
+    out = T.StructType([texts.schema["id"]]).add("h", "long").add("lo", "long").add("n", "integer").add("node", "integer").add("x", "integer")
+    out = out.add("core", "binary").add("left", "binary").add("right", "binary").add("rep", "boolean")
+    schema = to_arrow_schema(out)
+
+    def cut(text: bytes, ranges: list[dict]) -> Iterator[tuple]:
+        for lo, n, off, rep in {(x["lo"], x["n"], x["off"], x["rep"]) for x in ranges}:
+            a = lo + off
+            for node in range((off - n + 1) // step, off // step + 1):
+                o1, o2 = node * step, node * step + step - 1
+                x1, x2 = max(off - n + 1, o1), min(off, o2)
+                yield a - x2, x2 - x1 + 1, node, x1, digest(text[a - o1 : a - o2 + length]), text[a - x2 : a - o1], text[a - o2 + length : a - x1 + length], rep
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [(i, *p) for i, (z, ranges) in enumerate(zip(part.column("z").to_pylist(), part.column("ranges").to_pylist(), strict=True)) for p in cut(unpack(z), ranges)]
+                if rows:
+                    i, *cols = zip(*rows, strict=True)
+                    pick = pa.array(i)
+                    cols = [pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[2:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pick).cast(schema.field("id").type), part.column("h").take(pick), *cols], schema=schema)
+
+    return texts.select("id", "h", "z", "ranges").mapInArrow(run, out)
 
 
 def with_lists(texts: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
     """``texts`` with the rows of the same text as an array column; a text's rows are bounded by its length."""
     fields = [c for c in rows.columns if c not in ("id", "h")]
-    lists = rows.groupBy(F.col("id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_set(F.struct(*fields)).alias(name))
+    lists = rows.groupBy(F.col("id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_list(F.struct(*fields)).alias(name))
     return texts.join(lists, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), how).drop("id_", "h_")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The packed texts, and (``id``, ``h``, ``lo``, ``n``): n windows from byte ``lo`` on occur elsewhere too."""
-    first = max(1, length // 4)
-    rounds = [*dict.fromkeys([first, max(first, length * 9 // 10), length])]
-    plain = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    texts, found, left = packed(docs, id_col, text_col), None, None
-    for h in rounds:
-        source = plain if left is None else with_lists(texts, left, "ranges", "inner")
-        rows = units(source, Scanner(length, first, h), left is not None)
-        if left is not None:  # few rows by now, and they come from a join with the texts, which is run once so
-            rows = release(written(rows, "units"))
-        spans, left = one_round(rows, h == length)
-        spans = release(written(spans, "spans"))
-        found = spans if found is None else found.union(spans)
-    return texts, found
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, slice_bytes: int = 1 << 20) -> DataFrame:
+    """(``id``, ``h``, ``lo``, ``n``): n windows from byte ``lo`` on occur elsewhere too.
+
+    Counts by rank and by string combine on the map side, and what comes more than once is a table of its own when
+    rows meet it, so that Spark can split hot ranks in the joins. Tables of finished rounds are deleted.
+    """
+    first, step = max(1, length // 4), max(1, min(16, length // 8))
+    texts, scanner = plain(docs, id_col, text_col), Scanner(length, first, slice_bytes)
+    n = F.count(F.lit(1)).alias("c")
+    often = written(heads(texts, scanner).groupBy("r").agg(n).where("c > 1").select("r"), "ranks")
+    active = written(runs(texts, scanner).join(often, "r"), "runs")
+    dropped(often)
+    one = ["r", "off", "n", "d"]
+    strings = written(active.groupBy(*one).agg(n, *[F.first(c).alias(c) for c in ("id", "h", "lo")]), "strings")
+    whole = written(active.join(strings.where("c > 1").select(*one), one).select("id", "h", "lo", "n"), "spans")
+    dropped(active)
+    left = strings.join(strings.where("c = 1").select("r").distinct(), "r", "left_semi").select("id", "h", "lo", "n", "off", (F.col("c") > 1).alias("rep"))
+    cut = pieces(with_lists(packed(docs, id_col, text_col), left, "ranges", "inner"), length, step)
+    cut = written(cut.withColumn("q", F.monotonically_increasing_id()), "pieces")
+    dropped(strings)
+    one = ["node", "core", "x", "n", "left", "right"]
+    strings = written(cut.groupBy(*one).agg(n, F.min("rep").alias("rep"), F.min("q").alias("q"), *[F.first(c).alias(c) for c in ("id", "h", "lo")]), "strings")
+    part = written(cut.where("NOT rep").join(strings.where("c > 1").select(*one), one).select("id", "h", "lo", "n"), "spans")
+    dropped(cut)
+    ranks = strings.groupBy("node", "core").agg(F.min("q").alias("rank"), n, F.count_if((F.col("c") == 1) & ~F.col("rep")).alias("open")).where("c > 1 AND open > 0").drop("c", "open")
+    o1, o2, last = F.col("node") * step, F.col("node") * step + (step - 1), F.col("x") + F.col("n") - 1  # last: the offset in the first window
+    ranked = strings.join(ranks, ["node", "core"]).select(
+        "rank", "id", "h", "lo", "left", "right", ((F.col("c") > 1) | F.col("rep")).alias("rep"), o1.alias("o1"), o2.alias("o2"), last.alias("last"), F.explode(F.sequence("x", last)).alias("off")
+    )
+    sides = F.concat(F.substring("left", F.col("last") - F.col("off") + 1, F.col("off") - F.col("o1")), F.substring("right", F.lit(1), F.col("o2") - F.col("off")))
+    windows = ranked.select("rank", "off", sides.alias("sides"), "rep", "id", "h", (F.col("lo") + F.col("last") - F.col("off")).alias("lo"))
+    again = windows.groupBy("rank", "off", "sides").agg(n).where("c > 1").drop("c")
+    single = windows.where("NOT rep").join(again, ["rank", "off", "sides"]).select("id", "h", "lo", F.lit(1).alias("n"))
+    found = written(whole.union(part).union(single), "spans")
+    for table in (strings, whole, part):
+        dropped(table)
+    return found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: its id, ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same text or in another; strings overlap and are judged on the input, and none crosses two
-    texts. ``n_spans`` counts maximal runs of removed bytes. Texts shorter than ``length`` stay whole. Repeated rows
-    are copies of each other, with an equal id or not; rows with a null id are treated like all others. An empty
-    table gives no rows; other columns of ``docs`` don't matter. Kept bytes may be no valid UTF-8, as a string may
-    begin or end within a character.
+    texts. ``n_spans`` counts maximal runs of removed bytes. Texts shorter than ``length`` stay whole; those over
+    ``slice_bytes`` are searched in overlapping slices, with the same result. Repeated rows are copies of each other,
+    with an equal id or not; rows with a null id are treated like all others. An empty table gives no rows; other
+    columns of ``docs`` don't matter. Kept bytes may be no valid UTF-8, as a string may begin or end within a character.
     """
-    texts, spans = repeated_spans(docs, id_col, text_col, length)
-    joined = with_lists(texts, spans, "spans", "left")
-    out = T.StructType([T.StructField(id_col, texts.schema["id"].dataType)]).add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    spans = repeated_spans(docs, id_col, text_col, length, slice_bytes)
+    joined = with_lists(packed(docs, id_col, text_col), spans, "spans", "left")
+    out = T.StructType([T.StructField(id_col, joined.schema["id"].dataType)]).add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     schema = to_arrow_schema(out)
 
     def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, int]:
@@ -256,5 +266,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def kept_digest(rows: DataFrame) -> DataFrame:
     """``remove_repeats`` rows with ``kept_sha256`` in place of the bytes."""
     return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-

@@ -1,4 +1,4 @@
-"""Fingerprints of the substrings of a byte buffer, and the sampled positions that stand for windows."""
+"""Rolling hashes of a byte buffer, and minima of neighbours, which pick the positions that stand for windows."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial fingerprints modulo 2^64: of T[i:i+n], the sum of letter(T[i+j]) * base^j.
+    """Polynomial hashes modulo 2^64: of T[i:i+n], the sum of letter(T[i+j]) * base^j. Equal strings have equal hashes.
 
-    Fingerprints of equal strings are equal wherever they stand. The pair of the fingerprints at i and i + n gives
-    that of length 2n, as fp(i) + base^n * fp(i+n).
+    They pick positions and sort out strings that can't be equal. Different strings may have equal ones (pairs of
+    Thue-Morse words do, whatever the base), so equality never rests on them.
     """
 
     def __init__(self, seed: int):
@@ -44,25 +44,11 @@ class Rolling:
         np.cumsum(self.letters[buffer] * self.up[: len(buffer)], out=out[1:])
         return out
 
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Fingerprints of the strings from ``start`` to ``end``."""
-        return (sums[end] - sums[start]) * self.down[start]
-
     def each(self, sums: np.ndarray, n: int) -> np.ndarray:
-        """Fingerprints of length n at every position."""
+        """Hashes of length n at every position."""
         m = len(sums) - n
         return (sums[n:] - sums[:m]) * self.down[:m]
 
-    def doubled(self, fp: np.ndarray, n: int, to: int) -> np.ndarray:
-        """Fingerprints of length ``to`` (over n, 2n at most) at every position, from those of length n.
-
-        Length 2n is the pair at (position, position + n) as one number. A length between them is the pair at
-        (position, position + to - n), which overlaps; two strings of that length are equal if both halves are.
-        """
-        off = to - n
-        one, two = fp[: len(fp) - off], fp[off:]
-        return one + two * U(pow(self.base, n, 2**64)) if off == n else mix(one) * U(3) + two
-
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of each w neighbours: prefix and suffix minima within blocks of w."""

@@ -21,30 +21,47 @@ def plain(texts, length):
     return [(len(t), sum(g), len([1 for x in bytes(g).split(b"\0") if x]), bytes(b for b, x in zip(t, g, strict=True) if not x)) for t, g in zip(texts, gone, strict=True)]
 
 
-def run(spark, texts, length, parts=3):
+def run(spark, texts, length, parts=3, **more):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, length=length).collect()}
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, length=length, **more).collect()}
 
 
-def check(spark, texts, length):
+def check(spark, texts, length, **more):
     want = plain([(t or "").encode() for t in texts], length)
-    got = run(spark, texts, length)
+    got = run(spark, texts, length, **more)
     assert len(got) == len(texts)
     assert [i for i in got if got[i] != want[i]] == []
 
 
-def test_rolling_ranks():
+def test_rolling_hashes():
     data = np.frombuffer(b"abcabcabcabdabcabcabc" * 3, np.uint8)
-    for h in (2, 3, 5, 8, 13):
-        scanner = repeats.Scanner(16, 2, h)
-        fp = scanner.ranks(scanner.rank.sums(data))
+    one = Rolling(1)
+    for h in (2, 5, 13):
+        fp = one.each(one.sums(data), h)
         strings = [bytes(data[i : i + h]) for i in range(len(data) - h + 1)]
-        assert len(fp) == len(strings) and len(set(fp.tolist())) == len(set(strings))
-        assert len(set(zip(fp.tolist(), strings, strict=True))) == len(set(strings))
+        assert len(set(zip(fp.tolist(), strings, strict=True))) == len(set(strings)) == len(set(fp.tolist()))
     x = np.random.default_rng(0).integers(0, 99, 57).astype(np.uint64)
     assert sliding_min(x, 7).tolist() == [min(x[i : i + 7]) for i in range(51)]
-    one = Rolling(1)
-    assert len(set(one.of(one.sums(data), np.array([0, 3, 6]), np.array([3, 6, 9])).tolist())) == 1
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") & 1) ^ flip] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64 from some length on; they aren't equal."""
+    rnd = random.Random(4)
+    texts = []
+    for n in (128, 200, 1024):
+        head = "".join(rnd.choice("cdefgh") for _ in range(max(0, 200 - n) + 20))
+        texts += [head + thue_morse(n), head + thue_morse(n, True), "x" + thue_morse(n) + "y" * 90]
+    check(spark, texts, 200)
+    texts = ["z" * 72 + thue_morse(128), "z" * 72 + thue_morse(128, True)]
+    assert all(x[1] == 0 for x in run(spark, texts, 200).values())
+
+
+def test_runs_of_one_byte(spark):
+    check(spark, ["a" * 199, "a" * 200, "b" * 201, "c" * 1500 + "d" + "c" * 300, "ab" * 400, "x" + "e" * 200, "e" * 199 + "x"], 200)
 
 
 def test_small_alphabet_matches_brute_force(spark):
@@ -55,7 +72,7 @@ def test_small_alphabet_matches_brute_force(spark):
     check(spark, texts, 12)
 
 
-def test_edited_copies_and_slices(spark, monkeypatch):
+def test_edited_copies_and_slices(spark):
     rnd = random.Random(8)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
     texts = [base]
@@ -65,8 +82,19 @@ def test_edited_copies_and_slices(spark, monkeypatch):
             at = rnd.randrange(len(t))
             t[at : at + rnd.randrange(3)] = rnd.choice("xyz") * rnd.randrange(3)
         texts.append("".join(t[rnd.randrange(100) :]))
-    monkeypatch.setattr(repeats, "SLICE", 500)
     check(spark, texts, 40)
+    check(spark, texts, 40, slice_bytes=500)
+    check(spark, texts, 41, slice_bytes=64)
+
+
+def test_text_over_a_slice(spark):
+    """A text longer than a slice of the default size, with copies within it, across the slice's edge and in another text."""
+    rnd = random.Random(3)
+    base = "".join(rnd.choices("abcdefgh ", k=1_300_000))
+    edge = 1 << 20
+    texts = [base, "q" + base[edge - 150 : edge + 150] + "r", base[5:300] + "s" + base[1_299_000:]]
+    got = run(spark, texts, 200)
+    assert got[0][:3] == (1_300_000, 300 + 295 + 1000, 3) and got[1][1:3] == (300, 1) and got[2][1:3] == (1295, 2)
 
 
 def test_sample_documents(spark, sf_dir):
