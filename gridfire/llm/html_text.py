@@ -30,8 +30,10 @@ ENDS_P = frozenset(
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS_LIKE = frozenset("ul ol dl menu select table tbody thead tfoot body".split())
 NO_TEXT = frozenset(
-    "head script style noscript template textarea iframe object embed svg math canvas audio video map form button select input label fieldset nav aside footer menu dialog title xmp noembed noframes".split()
+    "head script style noscript template textarea iframe object embed svg math canvas audio video map button select input label nav aside footer menu dialog title xmp noembed noframes".split()
 )
+#: Elements that stand beside the paragraphs of an article on their own.
+TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure figcaption table dl ol ul details time address header".split())
 WHOLE = frozenset("html body article main".split())
 #: Words in a class, id or role that name what is no part of an article.
 NO_CONTENT = frozenset(
@@ -69,29 +71,27 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def is_boilerplate(tag: str, attrs: str, in_article: bool, nested: bool) -> bool:
-    """Whether the element and all in it are no article text, by its tag or by what it calls itself.
-
-    An article is never left out by its names, unless it is ``nested`` in another one: such a one may be a comment.
-    """
+def never_text(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether HTML itself says that the element and all in it are no article text."""
     if tag in NO_TEXT or (tag == "header" and not in_article):
         return True
-    if tag in WHOLE and tag != "article" or not attrs:
+    return tag not in WHOLE and (attrs.get("hidden", "x") in ("", "hidden") or attrs.get("aria-hidden") == "true")
+
+
+def says_no_content(tag: str, attrs: dict[str, str], in_article: bool, nested: bool) -> bool:
+    """Whether the element calls itself no content. An article doesn't by its names, unless it is ``nested`` in another one: such a one may be a comment."""
+    if tag in ("form", "fieldset"):
+        return True
+    if tag in WHOLE and not (tag == "article" and nested):
         return False
-    for name, value in attributes(attrs).items():
-        if (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role"):
-            if (tag != "article" or nested) and names_no_content(value, in_article):
-                return True
-    return False
+    return any(names_no_content(attrs[k], in_article) for k in ("class", "id", "role") if k in attrs)
 
 
 class Page:
-    """The DOM in preorder: for each node its parent, tag, last descendant, and whether it is left out."""
+    """The DOM in preorder: for each node its parent, tag, last descendant, whether it is never text (``out``), and whether it calls itself no content (``named``)."""
 
     def __init__(self, source: str):
-        self.parent, self.tags, self.last, self.out, self.link, self.article, self.nested = [-1], ["#root"], [0], [False], [False], [False], [False]
+        self.parent, self.tags, self.last, self.out, self.named, self.link, self.article, self.nested = [-1], ["#root"], [0], [False], [False], [False], [False], [False]
         #: (node, text) in page order; None ends a block.
         self.pieces: list[tuple[int, str | None]] = []
         self.stack = [0]
@@ -149,7 +149,9 @@ class Page:
         self.parent.append(up)
         self.tags.append(tag)
         self.last.append(node)
-        self.out.append(self.out[up] or is_boilerplate(tag, attrs, inside, self.nested[up]))
+        found = attributes(attrs) if attrs else {}
+        self.out.append(self.out[up] or never_text(tag, found, inside))
+        self.named.append(not self.out[node] and says_no_content(tag, found, inside, self.nested[up]))
         self.link.append(self.link[up] or tag == "a")
         self.article.append(inside or tag in ("article", "main"))
         self.nested.append(self.nested[up] or tag == "article")
@@ -167,86 +169,136 @@ class Page:
             self.pieces.append((self.stack[-1], None))
 
 
-def densities(page: Page) -> list[float]:
-    """Composite text density of each node left in: characters per tag, adjusted for those in links.
+def letters(text: str | None) -> int:
+    """Characters other than spaces; none in a text of white space only."""
+    return len(text) - text.count(" ") if text and text.strip() else 0
+
 
-    With C characters and T tags in a node, LC and LT of them in links, and LCb / Cb the share of link characters on
-    the page: C/T * log(C/LC * T/LT + e - 1), to the base ln(C/(C-LC) * LC + LCb/Cb * C + e). Counts of 0 below a line count as 1.
+def densities(page: Page, out: list[bool]) -> tuple[list[float], list[float]]:
+    """Composite text density of each node that isn't ``out``, and the sum of its children's.
+
+    The density is characters per tag, adjusted for those in links. With C characters and T tags in a node, LC and LT
+    of them in links, and LCb / Cb the share of link characters on the page: C/T * log(C/LC * T/LT + e - 1), to the
+    base ln(C/(C-LC) * LC + LCb/Cb * C + e). Counts of 0 below a line count as 1. In the sums, text straight in a
+    block counts as a child with one tag.
     """
     n = len(page.parent)
-    c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
+    c, t, lc, lt, sums = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
     for node, text in page.pieces:
-        if text is not None and not page.out[node]:
-            size = len(text) - text.count(" ") if text.strip() else 0
+        if text is not None and not out[node] and (size := letters(text)):
             c[node] += size
             if page.link[node]:
                 lc[node] += size
+            elif page.tags[node] in BLOCK:
+                sums[node] += size
     for node in range(n - 1, 0, -1):
         p = page.parent[node]
-        if not page.out[node]:
+        if not out[node]:
             c[p] += c[node]
             lc[p] += lc[node]
             t[p] += t[node] + 1
             lt[p] += lt[node] + (page.tags[node] == "a")
     share = lc[0] / max(1, c[0])
-    out = [0.0] * n
+    density = [0.0] * n
     for node in range(n):
-        if c[node] and not page.out[node]:
+        if c[node] and not out[node]:
             base = math.log(c[node] / max(1, c[node] - lc[node]) * max(1, lc[node]) + share * c[node] + math.e)
             inner = max(1.0, c[node] / max(1, lc[node]) * max(1, t[node]) / max(1, lt[node]))
-            out[node] = c[node] / max(1, t[node]) * math.log(inner + math.e - 1) / math.log(base)
+            density[node] = c[node] / max(1, t[node]) * math.log(inner + math.e - 1) / math.log(base)
+            if node:
+                sums[page.parent[node]] += density[node]
+    return density, sums
+
+
+def path_up(page: Page, node: int) -> list[int]:
+    """The node and its ancestors, up to the body; without one, up to the root."""
+    path = [node]
+    while page.tags[path[-1]] != "body" and page.parent[path[-1]] >= 0:
+        path.append(page.parent[path[-1]])
+    return path
+
+
+def left_out(page: Page) -> list[bool]:
+    """Nodes that are no content: those that HTML says so of, and those that say so themselves where densities agree.
+
+    They agree if a fifth of the page's unlinked characters or more is elsewhere. If not, the names of the nodes around
+    the largest density sum of the whole page don't count.
+    """
+    named, most = list(page.named), len(page.parent)
+    inside = list(page.named)
+    for node in range(1, most):
+        inside[node] = inside[node] or inside[page.parent[node]]
+    total = elsewhere = 0
+    for node, text in page.pieces:
+        if text is not None and not page.out[node] and not page.link[node]:
+            size = letters(text)
+            total += size
+            elsewhere += 0 if inside[node] else size
+    if 5 * elsewhere < total:
+        _, sums = densities(page, page.out)
+        for node in path_up(page, max(range(most), key=lambda k: (sums[k], -k))):
+            named[node] = False
+    out = [a or b for a, b in zip(page.out, named, strict=True)]
+    for node in range(1, most):
+        out[node] = out[node] or out[page.parent[node]]
     return out
 
 
-def main_node(page: Page) -> int:
-    """The node whose subtree is the article, or -1.
+def main_nodes(page: Page, out: list[bool]) -> list[int]:
+    """The nodes whose subtrees are the article, in page order.
 
-    Of all nodes (those in an article or main element if any of these has text), the one with the largest sum of its
-    children's densities leads. The smallest density on its path from the body is the threshold. The article is the
-    outermost article or main element around it; without one, the highest node under the body on that path, as long
-    as the densities there reach the threshold and the node above adds no denser text.
+    The first is the node of the largest density sum. The smallest density on its path up to the body is the threshold
+    for what joins it from the levels above: text-level elements that aren't mostly links, and other elements that reach
+    the threshold, outside an article or main element only with a quarter of the largest sum (at the body's level half).
+    The levels end at an article or main element; from an article in a main one, only text-level elements join.
     """
-    density = densities(page)
+    density, sums = densities(page, out)
     n = len(density)
-    sums = [0.0] * n
-    for node in range(1, n):
-        sums[page.parent[node]] += density[node]
-    for node, text in page.pieces:  # text straight in a node is a child of one tag
-        if text is not None and not page.out[node] and not page.link[node] and (size := len(text.strip())):
-            sums[node] += size if page.tags[node] in BLOCK else 0.0
-    inside = [k for k in range(1, n) if page.article[k] and not page.out[k] and density[k] > 0]
-    nodes = inside or [k for k in range(n) if not page.out[k] and density[k] > 0]
+    nodes = [k for k in range(n) if not out[k] and density[k] > 0]
     if not nodes:
-        return -1
+        return []
     best = max(nodes, key=lambda k: (sums[k], -k))
-    path = [best]
-    while (up := page.parent[path[-1]]) >= 0:
-        path.append(up)
-    outer = [k for k in path if page.tags[k] in ("article", "main")]
-    if outer:
-        return outer[-1]
-    bodies = [j for j, k in enumerate(path) if page.tags[k] == "body"]
-    end = bodies[0] if bodies else len(path) - 1
-    threshold = min(density[k] for k in path[: end + 1])
-    top = best
-    for k in path[1:end]:
-        if density[k] < threshold or sums[k] < density[top]:
+    path = path_up(page, best)
+    threshold = min(density[k] for k in path)
+    unlinked, linked, children = [0] * n, [0] * n, [[] for _ in range(n)]
+    for node, text in page.pieces:
+        if text is not None and not out[node]:
+            (linked if page.link[node] else unlinked)[node] += letters(text)
+    for node in range(n - 1, 0, -1):
+        unlinked[page.parent[node]] += unlinked[node]
+        linked[page.parent[node]] += linked[node]
+        children[page.parent[node]].append(node)
+    chosen, whole = [best], page.tags[best] == "article"
+    if page.tags[best] == "main":
+        return chosen
+    for below, up in zip(path, path[1:], strict=False):
+        if whole and page.tags[up] != "main":
+            break
+        share = 0.0 if page.article[up] else 0.5 if page.tags[up] in ("body", "html", "#root") else 0.25
+        for k in children[up]:
+            if k == below or out[k] or not unlinked[k]:
+                continue
+            plain = page.tags[k] in TEXT_LEVEL and unlinked[k] >= linked[k]
+            if plain or (not whole and density[k] >= threshold and sums[k] >= share * sums[best]):
+                chosen.append(k)
+        if page.tags[up] == "main":
             break
-        top = k
-    return top
+        whole = whole or page.tags[up] == "article"
+    return sorted(chosen)
 
 
 def extract(source: str) -> str:
     """The text of the page's article: blocks in page order, white space as single spaces, references decoded."""
     page = Page(source)
-    top = main_node(page)
-    if top < 0:
-        return ""
-    blocks, held, last = [], [], page.last[top]
+    out = left_out(page)
+    kept = bytearray(len(page.parent))
+    for k in main_nodes(page, out):
+        kept[k : page.last[k] + 1] = b"\1" * (page.last[k] + 1 - k)
+    held, blocks = [], []
     for node, text in page.pieces:
-        if not top <= node <= last or page.out[node]:
+        if kept[node] and out[node]:
             continue
-        if text is not None:
+        if kept[node] and text is not None:
             held.append(text)
         elif held:
             blocks.append("".join(held))
@@ -257,7 +309,7 @@ def extract(source: str) -> str:
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", name: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``pages`` with the article text of the whole HTML in column ``name``.
+    """``pages`` with the article text of the whole HTML in column ``name`` (``_name`` if the column is there already).
 
     Null or empty HTML, and pages without an article, give an empty text. Unclosed and stray tags are read as
     browsers do; a page without any tag is all text. Repeated rows get equal texts; the columns in ``keep`` (all by
@@ -270,5 +322,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", name: str = "text", k
 
 
 def with_length(rows: DataFrame, text_col: str = "text", name: str = "n_chars") -> DataFrame:
-    """Adds the number of code points."""
-    return rows.withColumn(name, F.length(text_col).cast("long"))
+    """Adds the number of code points, in ``_name`` if the column is there already."""
+    return rows.withColumn(fresh(rows, name)[0], F.length(text_col).cast("long"))
