@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licenses import TEMPLATES
+from .licenses import CLASSES, TEMPLATES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,14 +99,18 @@ def words_sql(text: str) -> str:
     return f"[x FOR x IN regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
 
 
+def quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def shingles_sql(words: str) -> str:
     return f"[array_to_string({words}[i + 1:i + 5], ' ') FOR i IN range(len({words}) - 4)]"
 
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": f"""
-        WITH known AS (SELECT license, t, list_distinct({shingles_sql("w")}) AS s FROM (SELECT license, t, {words_sql("t")} AS w FROM (VALUES {", ".join(f"('{name}', '{notice}')" for name, notice in TEMPLATES)}) AS v(license, t))),
-        sized AS (SELECT license, t, len(s) AS m, 4 * 8 ** CAST(greatest(0, ceil(log2(len(s)) / 3 - 2 / 3)) AS INT) AS c, unnest(s) AS g FROM known),
+        WITH known AS (SELECT license, t, list_distinct({shingles_sql("w")}) AS s FROM (SELECT license, t, {words_sql("t")} AS w FROM (VALUES {", ".join(f"('{name}', '{quoted(text)}')" for name, text in TEMPLATES)}) AS v(license, t))),
+        sized AS (SELECT license, t, len(s) AS m, CASE {" ".join(f"WHEN len(s) <= {c} THEN {c}" for c in CLASSES)} END AS c, unnest(s) AS g FROM known),
         texts AS (SELECT doc_id, {shingles_sql("w")} AS s FROM (SELECT doc_id, {words_sql("coalesce(text, '')")} AS w FROM documents)),
         places AS (SELECT doc_id, len(s) AS n, unnest(s) AS g, unnest(range(len(s))) AS p FROM texts),
         hits AS (SELECT doc_id, license, t, m, c, g, greatest(1, ceil(n / c) - 1) AS windows, floor(p / c) AS at_ FROM places JOIN sized USING (g)),
