@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,11 @@ class Grid:
     height: int
     width: int
 
+    @property
+    def bounds(self) -> tuple[float, float, float, float]:
+        """Left, bottom, right, top."""
+        return self.x0, self.y0 - self.height * self.res, self.x0 + self.width * self.res, self.y0
+
     def cells(self, spark: SparkSession) -> DataFrame:
         """(``row``, ``col``) of every cell."""
         return spark.range(self.height * self.width).select(F.floor(F.col("id") / self.width).cast("int").alias("row"), (F.col("id") % self.width).cast("int").alias("col"))
@@ -84,26 +90,78 @@ def to_bng(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     df = df.withColumns({"phi_": F.radians(lat), "lam_": F.radians(lon)})
     df = df.withColumn("nu_", F.lit(a) / F.sqrt(1 - e2 * F.sin("phi_") ** 2))
     df = df.withColumns({"u_": c("nu_") * F.cos("phi_") * F.cos("lam_"), "v_": c("nu_") * F.cos("phi_") * F.sin("lam_"), "w_": (1 - e2) * c("nu_") * F.sin("phi_")})
-    tx, ty, tz, s, rx, ry, rz = SHIFT
-    rx, ry, rz = (math.radians(r / 3600) for r in (rx, ry, rz))
-    df = df.withColumns({
-        "x_": tx + (1 + s) * c("u_") - rz * c("v_") + ry * c("w_"), "y_": ty + rz * c("u_") + (1 + s) * c("v_") - rx * c("w_"), "z_": tz - ry * c("u_") + rx * c("v_") + (1 + s) * c("w_"),
-    })
+    shift, turn = _rotation()
+    df = df.withColumns({k: float(t) + float(r[0]) * c("u_") + float(r[1]) * c("v_") + float(r[2]) * c("w_") for k, t, r in zip(("x_", "y_", "z_"), shift, turn, strict=True)})
     a, b = AIRY
     e2 = 1 - b * b / (a * a)
     df = df.withColumn("p_", F.sqrt(c("x_") ** 2 + c("y_") ** 2)).withColumn("phi_", F.atan2(c("z_"), c("p_") * (1 - e2)))
     for _ in range(3):
         df = df.withColumn("phi_", F.atan2(c("z_") + e2 * (F.lit(a) / F.sqrt(1 - e2 * F.sin("phi_") ** 2)) * F.sin("phi_"), c("p_")))
     f0, phi0, lam0, e0, n0 = PROJECTION
-    n = (a - b) / (a + b)
     df = df.withColumns({"sin_": F.sin("phi_"), "cos_": F.cos("phi_"), "tan_": F.tan("phi_"), "d_": c("phi_") - phi0, "t_": c("phi_") + phi0, "l_": F.atan2("y_", "x_") - lam0})
     df = df.withColumns({"nu_": F.lit(a * f0) / F.sqrt(1 - e2 * c("sin_") ** 2), "rho_": F.lit(a * f0 * (1 - e2)) / (1 - e2 * c("sin_") ** 2) ** 1.5})
     df = df.withColumn("eta_", c("nu_") / c("rho_") - 1)
     nu, sin, cos, tan, eta, dl = (c(x) for x in ("nu_", "sin_", "cos_", "tan_", "eta_", "l_"))
-    m = b * f0 * (
-        (1 + n + 1.25 * n**2 + 1.25 * n**3) * c("d_") - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin("d_") * F.cos("t_")
-        + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * c("d_")) * F.cos(2 * c("t_")) - 35 / 24 * n**3 * F.sin(3 * c("d_")) * F.cos(3 * c("t_"))
-    )
-    north = m + n0 + nu / 2 * sin * cos * dl**2 + nu / 24 * sin * cos**3 * (5 - tan**2 + 9 * eta) * dl**4 + nu / 720 * sin * cos**5 * (61 - 58 * tan**2 + tan**4) * dl**6
+    north = meridian_arc(c("d_"), c("t_")) + n0 + nu / 2 * sin * cos * dl**2 + nu / 24 * sin * cos**3 * (5 - tan**2 + 9 * eta) * dl**4 + nu / 720 * sin * cos**5 * (61 - 58 * tan**2 + tan**4) * dl**6
     east = e0 + nu * cos * dl + nu / 6 * cos**3 * (nu / c("rho_") - tan**2) * dl**3 + nu / 120 * cos**5 * (5 - 18 * tan**2 + tan**4 + 14 * eta - 58 * tan**2 * eta) * dl**5
     return df.select(*[x for x in kept if x not in ("easting", "northing")], east.alias("easting"), north.alias("northing"))
+
+
+def _rotation() -> tuple[np.ndarray, np.ndarray]:
+    """Shift and matrix of the datum change from WGS84."""
+    tx, ty, tz, s, rx, ry, rz = SHIFT
+    rx, ry, rz = (math.radians(r / 3600) for r in (rx, ry, rz))
+    return np.array([tx, ty, tz]), np.array([[1 + s, -rz, ry], [rz, 1 + s, -rx], [-ry, rx, 1 + s]])
+
+
+def meridian_arc(d: Column, t: Column) -> Column:
+    """Distance along the meridian from the projection's origin; d and t are the latitude less and plus the origin's."""
+    a, b = AIRY
+    n, f0 = (a - b) / (a + b), PROJECTION[0]
+    return b * f0 * (
+        (1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(d) * F.cos(t)
+        + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * d) * F.cos(2 * t) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * t)
+    )
+
+
+def from_bng(df: DataFrame, easting: str = "easting", northing: str = "northing", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Sets ``lon`` and ``lat``, WGS84 degrees, of national grid coordinates: the way back of ``to_bng``, to some centimetres."""
+    c, kept = F.col, [x for x in df.columns if x not in (lon, lat)]
+    a, b = AIRY
+    e2 = 1 - b * b / (a * a)
+    f0, phi0, lam0, e0, n0 = PROJECTION
+    df = df.withColumns({"n_": c(northing) - n0, "e_": c(easting) - e0}).withColumn("phi_", c("n_") / (a * f0) + phi0)
+    for _ in range(5):
+        df = df.withColumn("phi_", c("phi_") + (c("n_") - meridian_arc(c("phi_") - phi0, c("phi_") + phi0)) / (a * f0))
+    df = df.withColumns({"sin_": F.sin("phi_"), "cos_": F.cos("phi_"), "tan_": F.tan("phi_")})
+    df = df.withColumns({"nu_": F.lit(a * f0) / F.sqrt(1 - e2 * c("sin_") ** 2), "rho_": F.lit(a * f0 * (1 - e2)) / (1 - e2 * c("sin_") ** 2) ** 1.5})
+    nu, rho, tan, cos, x = c("nu_"), c("rho_"), c("tan_"), c("cos_"), c("e_")
+    eta = nu / rho - 1
+    phi = c("phi_") - tan * x**2 / (2 * rho * nu) + tan * x**4 / (24 * rho * nu**3) * (5 + 3 * tan**2 + eta - 9 * tan**2 * eta) - tan * x**6 / (720 * rho * nu**5) * (61 + 90 * tan**2 + 45 * tan**4)
+    lam = lam0 + (x / nu - x**3 / (6 * nu**3) * (nu / rho + 2 * tan**2) + x**5 / (120 * nu**5) * (5 + 28 * tan**2 + 24 * tan**4) - x**7 / (5040 * nu**7) * (61 + 662 * tan**2 + 1320 * tan**4 + 720 * tan**6)) / cos
+    df = df.withColumns({"p_": phi, "l_": lam}).withColumn("nu_", F.lit(a) / F.sqrt(1 - e2 * F.sin("p_") ** 2))
+    shift, turn = _rotation()
+    back = np.linalg.inv(turn)
+    df = df.withColumns({"u_": c("nu_") * F.cos("p_") * F.cos("l_") - float(shift[0]), "v_": c("nu_") * F.cos("p_") * F.sin("l_") - float(shift[1]), "w_": (1 - e2) * c("nu_") * F.sin("p_") - float(shift[2])})
+    df = df.withColumns({k: float(r[0]) * c("u_") + float(r[1]) * c("v_") + float(r[2]) * c("w_") for k, r in zip(("x_g", "y_g", "z_g"), back, strict=True)})
+    a, b = WGS84
+    e2 = 1 - b * b / (a * a)
+    df = df.withColumn("d_", F.sqrt(c("x_g") ** 2 + c("y_g") ** 2)).withColumn("phi_", F.atan2(c("z_g"), c("d_") * (1 - e2)))
+    for _ in range(4):
+        df = df.withColumn("phi_", F.atan2(c("z_g") + e2 * (F.lit(a) / F.sqrt(1 - e2 * F.sin("phi_") ** 2)) * F.sin("phi_"), c("d_")))
+    return df.select(*kept, F.degrees(F.atan2("y_g", "x_g")).alias(lon), F.degrees("phi_").alias(lat))
+
+
+def reprojected_grid(spark: SparkSession, grid: Grid, res: float, points: int = 21) -> Grid:
+    """The national grid of cell size ``res`` over a grid of degrees: its border, at ``points`` places a side, projected."""
+    left, bottom, right, top = grid.bounds
+    steps = [k / (points - 1) for k in range(points)]
+    border = [p for t in steps for p in ((left + t * (right - left), bottom), (left + t * (right - left), top), (left, bottom + t * (top - bottom)), (right, bottom + t * (top - bottom)))]
+    placed = to_bng(spark.createDataFrame(border, "lon double, lat double"))
+    e = placed.agg(F.min("easting").alias("l"), F.max("easting").alias("r"), F.min("northing").alias("b"), F.max("northing").alias("t")).first()
+    return Grid(e.l, e.t, res, math.ceil((e.t - e.b) / res), math.ceil((e.r - e.l) / res))
+
+
+def seasonal_name(base: Column, season: Column | None = None) -> Column:
+    """``base_season``, or the base alone without a season."""
+    return base if season is None else F.concat_ws("_", base, season)

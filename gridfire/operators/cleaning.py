@@ -9,11 +9,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def sample_per_class(df: DataFrame, cap: int = 200_000) -> DataFrame:
-    """At most ``cap`` rows of each label, those with the smallest hash of the cell; the same in every run."""
+    """At most ``cap`` rows of each label, those with the smallest hash (MD5) of the cell; the same in every run."""
     classes = [r.label for r in df.where("label IS NOT NULL").select("label").distinct().collect()]
-    parts = [df.where(F.col("label") == k).orderBy(F.xxhash64("row", "col"), "row", "col").limit(cap) for k in sorted(classes)]
+    parts = [df.where(F.col("label") == k).orderBy(F.md5(F.concat_ws(",", "row", "col").cast("binary")), "row", "col").limit(cap) for k in sorted(classes)]
     return reduce(DataFrame.union, parts) if parts else df.where(F.lit(False))
 
 
@@ -26,12 +28,15 @@ def standardize(df: DataFrame, features: list[str]) -> DataFrame:
 
 def kmeans_two(df: DataFrame, features: list[str], k: int = 2, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> DataFrame:
     """Adds ``cluster``: of ``n_init`` runs, the one of the least cost. Rows with a missing feature are left out."""
-    ready = VectorAssembler(inputCols=features, outputCol="v_").transform(df.dropna(subset=features)).cache()
-    if ready.limit(k).count() < k:
-        return ready.withColumn("cluster", F.lit(0)).drop("v_")
+    rows = written(df.dropna(subset=features), "clustered")  # the runs read it again and again
+    if rows.limit(k).count() < k:
+        return rows.withColumn("cluster", F.lit(0))
+    assemble = VectorAssembler(inputCols=features, outputCol="v_")
+    ready = assemble.transform(rows).persist()
     models = [KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="v_", predictionCol="cluster").fit(ready) for i in range(n_init)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(ready).drop("v_")
+    ready.unpersist()
+    return best.transform(assemble.transform(rows)).drop("v_")
 
 
 def assign_clusters(df: DataFrame, features: list[str], centers: list[list[float]]) -> DataFrame:

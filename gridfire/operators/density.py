@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, cell_center, point_to_cell
+from .profile import exact_percentiles
 from .raster import land_mask
 
 QUANTILES = (0.6, 0.75, 0.9)
@@ -74,8 +75,7 @@ def compute_density(points: DataFrame, land: DataFrame, grid: Grid, method: str
 
 def density_percentiles(density: DataFrame, quantiles: tuple[float, ...] = QUANTILES, threshold: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Percentiles by linear interpolation of the densities above the threshold, as ``p60`` and so on."""
-    pick = lambda q: F.percentile("density", F.lit(q)).alias(f"p{round(100 * q)}")
-    return density.where(F.col("density") > threshold).groupBy(*by).agg(*[pick(q) for q in quantiles])
+    return exact_percentiles(density.where(F.col("density") > threshold), "density", {f"p{round(100 * q)}": q for q in quantiles}, by)
 
 
 def classify_density(density: DataFrame, threshold: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
@@ -12,14 +12,43 @@ def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(keys, features, "feature", "value")
 
 
-def describe_features(df: DataFrame, features: list[str]) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, quantiles: dict[str, float], by: tuple[str, ...] = (), accuracy: int = 10_000) -> DataFrame:
+    """(``by``, a column for each name in ``quantiles``): percentiles by linear interpolation; missing values are left out.
+
+    No task holds the values of a group. Approximate percentiles, right to n / ``accuracy`` ranks, give a range of
+    values around each quantile; the values in the range are counted by value, and running sums over these, from the
+    number of values below on, find the two neighbours of the quantile. Groups up to ``accuracy`` values are one range.
+    """
+    keys = [F.col(c) for c in by]
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v_"))
+    names, at = list(quantiles), list(quantiles.values())
+    wide = [min(1.0, max(0.0, q + d)) for q in at for d in (-3 / accuracy, 3 / accuracy)]
+    stats = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx("v_", wide, accuracy).alias("a_"))
+    ranges = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(F.col("n_") > accuracy, F.get("a_", F.lit(2 * i))).alias("lo"), F.when(F.col("n_") > accuracy, F.get("a_", F.lit(2 * i + 1))).alias("hi"), (F.lit(float(q)) * (F.col("n_") - 1)).alias("at"))
+        for i, q in enumerate(at)
+    ])
+    stats = stats.select(*keys, F.explode(ranges).alias("r_")).select(*keys, "r_.*")
+    joined = known.join(F.broadcast(stats), list(by)) if by else known.join(F.broadcast(stats))  # a few rows for each group
+    kept = joined.where(F.col("hi").isNull() | (F.col("v_") <= F.col("hi")))
+    counts = kept.groupBy(*keys, "i", "at", F.when(F.col("lo").isNull() | (F.col("v_") >= F.col("lo")), F.col("v_")).alias("v_")).agg(F.count(F.lit(1)).alias("c_"))
+    w = Window.partitionBy(*by, "i").orderBy(F.col("v_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("end_", F.sum("c_").over(w))  # the value has ranks end - c to end - 1
+    rank = lambda r: F.max(F.when((F.col("end_") - F.col("c_") <= r) & (r < F.col("end_")), F.col("v_")))
+    down, up = rank(F.floor("at")), rank(F.ceil("at"))
+    one = placed.groupBy(*keys, "i").agg(down.alias("d_"), up.alias("u_"), F.first("at").alias("at")).withColumn("x_", F.col("d_") + (F.col("u_") - F.col("d_")) * (F.col("at") - F.floor("at")))
+    return one.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("x_"))).alias(name) for i, name in enumerate(names)])
+
+
+def describe_features(df: DataFrame, features: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """By feature: count, mean, sample deviation, least, quartiles, largest, and the percentage missing."""
-    v = F.col("value")
-    q = lambda p, n: F.percentile("value", F.lit(p)).alias(n)
-    return _long(df, [], features).groupBy("feature").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), q(0.25, "q25"), q(0.5, "q50"), q(0.75, "q75"),
+    v, long, keys = F.col("value"), _long(df, list(by), features), [*by, "feature"]
+    sums = long.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"),
         F.max("value").alias("largest"), (100 * F.count_if(v.isNull()) / F.count(F.lit(1))).alias("missing_pct"),
     )
+    quartiles = exact_percentiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, tuple(keys))
+    return sums.join(F.broadcast(quartiles), keys, "left").select(*keys, "n", "mean", "std", "least", "q25", "q50", "q75", "largest", "missing_pct")
 
 
 def nan_pct_by_feature(df: DataFrame, features: list[str], seasons: list[str]) -> DataFrame:
@@ -37,10 +66,10 @@ def rows_with_missing(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(n.alias("n"), (100 * F.try_divide(n, F.count(F.lit(1)))).alias("pct"))
 
 
-def nan_contributors(df: DataFrame, features: list[str]) -> DataFrame:
+def nan_contributors(df: DataFrame, features: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Of rows with something missing, the percentage that lacks each feature, to one digit, largest first."""
-    long = _long(df.where(any_missing(features) == 1), [], features).groupBy("feature").agg(F.round(100 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 1).alias("pct"))
-    return long.orderBy(F.desc("pct"), "feature")
+    long = _long(df.where(any_missing(features) == 1), list(by), features).groupBy(*by, "feature").agg(F.round(100 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 1).alias("pct"))
+    return long.orderBy(*by, F.desc("pct"), "feature")
 
 
 def nan_coverage_grid(df: DataFrame, grid: Grid, features: list[str]) -> DataFrame:
@@ -81,3 +110,11 @@ def require(df: DataFrame, least: int, what: str) -> DataFrame:
     if (n := df.limit(least).count()) < least:
         raise ValueError(f"{what}: {n} rows, {least} needed")
     return df
+
+
+def require_each(df: DataFrame, by: str, wanted: list, least: int, what: str) -> DataFrame:
+    """``df``, or an error if one of the ``wanted`` values of ``by`` has fewer than ``least`` rows."""
+    counts = dict.fromkeys(wanted, 0) | {r[0]: r[1] for r in df.where(F.col(by).isin(wanted)).groupBy(by).count().collect()}
+    if short := {k: n for k, n in counts.items() if n < least}:
+        raise ValueError(f"{what}: {least} needed, but there are {', '.join(f'{n} in {k}' for k, n in short.items())}")
+    return df

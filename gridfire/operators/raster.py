@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, cell_center
+from ..functions.grid import Grid, cell_center, from_bng
+from ..sources.tables import written
 
 
 def land_mask(cells: DataFrame, land: DataFrame) -> DataFrame:
@@ -58,10 +61,14 @@ def align_to_reference(source: DataFrame, source_grid: Grid, land: DataFrame, gr
     return _bilinear(land.select("row", "col"), x, y, source, source_grid, by, value)
 
 
-def reproject_resample(source: DataFrame, source_grid: Grid, grid: Grid, inverse, value: str = "value") -> DataFrame:
-    """The source on a new grid. ``inverse`` takes x, y columns of the new grid's system to those of the source."""
-    x, y = inverse(*cell_center(grid, F.col("row"), F.col("col")))
-    return _bilinear(grid.cells(source.sparkSession), x, y, source, source_grid, (), value)
+def reproject_resample(source: DataFrame, source_grid: Grid, grid: Grid, inverse=from_bng, value: str = "value") -> DataFrame:
+    """The source on a new grid, bilinear. ``inverse`` sets the columns ``lon``, ``lat`` of a table with ``easting``,
+    ``northing`` of the new grid's system to coordinates of the source's; by default degrees of the national grid.
+    They are written to a table first: a filter on them would else be pushed down with all their steps written out.
+    """
+    x, y = cell_center(grid, F.col("row"), F.col("col"))
+    cells = written(inverse(grid.cells(source.sparkSession).withColumns({"easting": x, "northing": y})).select("row", "col", "lon", "lat"), "coordinates")
+    return _bilinear(cells, F.col("lon"), F.col("lat"), source, source_grid, (), value)
 
 
 def mosaic_tiles(tiles: DataFrame, order: str = "tile_order", value: str = "value") -> DataFrame:
@@ -91,33 +98,42 @@ def terrain(cells: DataFrame, grid: Grid, value: str = "elevation") -> DataFrame
     return out.withColumns({"slope": F.when(known, slope), "aspect": F.when(known, aspect)})
 
 
-def envelope(g: np.ndarray) -> np.ndarray:
-    """min over k of (i - k)^2 + g[k] for every i, by the lower envelope of parabolas; infinite g takes no part."""
-    at = np.flatnonzero(np.isfinite(g))
-    if not len(at):
-        return np.full(len(g), np.inf)
-    hull, ends = [], []
-    for q in at:
-        while hull:
-            p = hull[-1]
-            s = ((g[q] + q * q) - (g[p] + p * p)) / (2 * (q - p))
-            if not ends or s > ends[-1]:
-                break
-            hull.pop()
-            ends.pop()
-        ends.append(s if hull else -np.inf)
-        hull.append(q)
-    i = np.arange(len(g))
-    k = np.array(hull)[np.searchsorted(ends, i, side="right") - 1]
-    return (i - k) ** 2.0 + g[k]
+def nearest(g: np.ndarray) -> np.ndarray:
+    """min over k of (i - k)^2 + g[k] for every i of each line (row of ``g``, whole numbers).
+
+    The best k never falls as i grows, so those of every other i bound the ones between. Each halving is one pass over
+    all lines: about ``width`` sums a line and level.
+    """
+    lines, width = g.shape
+    best = np.zeros((lines, width), np.int64)
+    out = np.zeros((lines, width), np.int64)
+    shift = max(1, (width - 1).bit_length())
+    step = 1 << shift
+    while step >= 1:
+        i = np.arange(step - 1, width, 2 * step)
+        if len(i):
+            low = np.where(i - step >= 0, best[:, np.maximum(i - step, 0)], 0).ravel()
+            high = np.where(i + step < width, best[:, np.minimum(i + step, width - 1)], width - 1).ravel()
+            n = high - low + 1
+            starts = np.cumsum(n) - n
+            k = np.arange(n.sum()) + np.repeat(low - starts, n)
+            at, line = np.repeat(np.tile(i, lines), n), np.repeat(np.repeat(np.arange(lines), len(i)), n)
+            least = np.minimum.reduceat(((at - k) ** 2 + g[line, k]) << shift | k, starts).reshape(lines, len(i))
+            best[:, i], out[:, i] = least & ((1 << shift) - 1), least >> shift
+        step //= 2
+    return out
+
+
+#: A squared distance that no grid has.
+FAR = 1 << 42
 
 
 def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None = None, layers: list[str] | None = None) -> DataFrame:
     """(``layer``, ``row``, ``col``, ``km``): exact distance from each cell to the nearest presence cell of the layer.
 
-    Two passes over lines of the whole grid: rows to the nearest presence in each column by windows, then the lower
-    envelope along each row in numpy. A partition holds one line, so none grows with the layer. Land is masked last.
-    A layer without presence has null distances. ``layers`` names them; without it, those present.
+    Two passes over lines of the whole grid: rows to the nearest presence in each column by windows, then along each
+    row in numpy, some lines at a time. No partition grows with the layer. Land is masked last. A layer without
+    presence has null distances. ``layers`` names them; without it, those present.
     """
     spark = presence.sparkSession
     marks = presence.select("layer", "row", "col").distinct().withColumn("here", F.col("row"))
@@ -128,14 +144,31 @@ def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None
     w = Window.partitionBy("layer", "col").orderBy("row")
     up = F.last("here", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first("here", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = dense.select("layer", "row", "col", F.least(F.col("row") - up, down - F.col("row")).cast("double").alias("g"))
-
-    def along(line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values("col")
-        d = np.sqrt(envelope(line["g"].to_numpy(float) ** 2 if line["g"].notna().any() else np.full(len(line), np.inf)))
-        return pd.DataFrame({"layer": line["layer"], "row": line["row"], "col": line["col"], "km": np.where(np.isfinite(d), d * grid.res / 1000, np.nan)})
-
-    out = near.groupBy("layer", "row").applyInPandas(along, "layer string, row int, col int, km double").withColumn("km", F.when(~F.isnan("km"), F.col("km")))
+    near = dense.select("layer", "row", "col", F.least(F.col("row") - up, down - F.col("row")).alias("g"))
+    width, res = grid.width, grid.res
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # a partition has whole lines, one after the other; a batch may end within one
+
+        def lines_of(table: pa.Table) -> pa.RecordBatch:
+            g = table.column("g").to_numpy()
+            g = np.where(np.isnan(g), FAR, g * g).astype(np.int64) if g.dtype.kind == "f" else g.astype(np.int64) ** 2
+            d = nearest(g.reshape(-1, width)).ravel()
+            km = pa.array(np.sqrt(d) * res / 1000, mask=d >= FAR)
+            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("layer", "row", "col")), km], names=["layer", "row", "col", "km"])
+
+        for batch in batches:
+            held.append(batch)
+            n = sum(b.num_rows for b in held)
+            if n >= max(width, 1 << 15):
+                table = pa.Table.from_batches(held)
+                yield lines_of(table.slice(0, n - n % width))
+                held = table.slice(n - n % width).to_batches()
+        if sum(b.num_rows for b in held):
+            yield lines_of(pa.Table.from_batches(held))
+
+    sorted_ = near.repartition("layer", "row").sortWithinPartitions("layer", "row", "col")
+    out = sorted_.mapInArrow(along, "layer string, row int, col int, km double")
     return land_mask(out, land) if land is not None else out
 
 
@@ -143,3 +176,8 @@ def stack_layers(layers: DataFrame, land: DataFrame, names: list[str]) -> DataFr
     """One row per land cell, a float column for each name; ``layers`` is (layer, row, col, value). One pivot, not a join a layer."""
     wide = layers.where(F.col("layer").isin(names)).groupBy("row", "col").pivot("layer", names).agg(F.first("value", True))
     return land.select("row", "col").join(wide, ["row", "col"], "left").select("row", "col", *[F.col(n).cast("float") for n in names])
+
+
+def layers_to_arrays(layers: DataFrame, land: DataFrame, names: list[str]) -> DataFrame:
+    """Named layers side by side for the land cells that have a value in each of them."""
+    return stack_layers(layers, land, names).dropna(subset=names)

@@ -1,13 +1,13 @@
-"""Vector layers: polygon containment and rasterising, as equi-joins on bands of rows and exploded cells."""
+"""Vector layers: polygon containment and rasterising, as equi-joins on tiles, scan lines and exploded cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, cell_center, point_to_cell
+from ..functions.grid import Grid, point_to_cell
 
-#: Edges up to so many are broadcast; more are joined by a shuffle on their band.
+#: Edges, counted once for each tile that they are sent to, up to which tiles are broadcast; more are joined by a shuffle on the tile.
 BROADCAST_EDGES = 100_000
 
 
@@ -18,6 +18,12 @@ def edges_of(vertices: DataFrame, by: tuple[str, ...] = ("name", "ring")) -> Dat
     return vertices.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), first("x")).alias("x2"), F.coalesce(F.lead("y").over(w), first("y")).alias("y2"))
 
 
+def segments_of(vertices: DataFrame, by: tuple[str, ...] = ("feature_id", "part")) -> DataFrame:
+    """(keys, ``x1``, ``y1``, ``x2``, ``y2``) of open lines; a line of one vertex gives nothing."""
+    w = Window.partitionBy(*by).orderBy("seq")
+    return vertices.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 IS NOT NULL")
+
+
 def boundary_select(vertices: DataFrame, region: str, name: str = "name") -> DataFrame:
     return vertices.where(F.col(name) == region)
 
@@ -26,30 +32,67 @@ def drop_empty_geometry(features: DataFrame, geometry: str = "geom") -> DataFram
     return features.where(F.col(geometry).isNotNull() & (F.size(geometry) > 0))
 
 
-def points_within_polygon(points: DataFrame, edges: DataFrame, x: str = "easting", y: str = "northing", name: str = "name", band: float = 64.0) -> DataFrame:
-    """Points strictly inside a polygon, one row for each polygon that holds them, with its ``name``.
+def points_within_polygon(points: DataFrame, edges: DataFrame, x: str = "easting", y: str = "northing", name: str = "name", band: float = 64.0, reach: float = 4096.0) -> DataFrame:
+    """Points strictly inside a polygon, one row for each point and polygon that holds it, with the polygon's ``name``.
 
     Even-odd rule: the edges that a ray to the right crosses are odd in number, so holes and parts need no care; points
-    on an edge are out. Points meet the edges of their band of northings only. Edges are broadcast below a checked
-    number. Points of equal columns count as one point, so a point table needs an id.
+    on an edge are out. A polygon's edges in a band of northings are one array, which goes to the tiles (``band`` high,
+    ``reach`` wide) that the polygon covers; a point meets the arrays of its tile. Nothing is grouped by point, so rows
+    alike in all columns stay as many as they are. Tiles are broadcast below a checked number of edges. Points with a
+    missing coordinate are in no polygon.
     """
-    reach = F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))
-    banded = edges.select(name, "x1", "y1", "x2", "y2", F.explode(reach).alias("band_"))
-    few = edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
-    joined = points.withColumn("band_", F.floor(F.col(y) / band)).join(F.broadcast(banded) if few else banded, "band_")
+    bands = F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))
+    edge = F.struct("x1", "y1", "x2", "y2")
+    banded = edges.select(name, edge.alias("e"), F.explode(bands).alias("band_")).groupBy(name, "band_").agg(
+        F.collect_list("e").alias("edges_"), F.min(F.least("e.x1", "e.x2")).alias("a_"), F.max(F.greatest("e.x1", "e.x2")).alias("b_")
+    )
+    tiles = banded.select(name, "band_", "edges_", F.explode(F.sequence(F.floor(F.col("a_") / reach), F.floor(F.col("b_") / reach))).alias("tile_"))
+    few = (tiles.agg(F.sum(F.size("edges_"))).first()[0] or 0) <= BROADCAST_EDGES
     px, py = F.col(x), F.col(y)
-    side = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) - (F.col("y2") - F.col("y1")) * (px - F.col("x1"))
-    on_edge = (side == 0) & px.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & ((side > 0) == (F.col("y2") > F.col("y1")))
-    counted = joined.groupBy(*points.columns, name).agg(F.count_if(crosses).alias("n_"), F.max(on_edge).alias("edge_"))
-    return counted.where("n_ % 2 = 1 AND NOT edge_").drop("n_", "edge_")
+    placed = points.withColumns({"band_": F.floor(py / band), "tile_": F.floor(px / reach)})
+
+    def side(e: Column) -> Column:
+        return (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+
+    def on_edge(e: Column) -> Column:
+        return (side(e) == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > py) != (e["y2"] > py)) & ((side(e) > 0) == (e["y2"] > e["y1"]))
 
-def clip_cells_to_boundary(cells: DataFrame, grid: Grid, edges: DataFrame) -> DataFrame:
+    joined = placed.join(F.broadcast(tiles) if few else tiles, ["band_", "tile_"])
+    odd = F.aggregate("edges_", F.lit(False), lambda acc, e: acc != crosses(e))
+    return joined.where(odd & ~F.exists("edges_", on_edge)).select(*[F.col(f"`{c}`") for c in points.columns], name)
+
+
+def cells_inside(edges: DataFrame, grid: Grid, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """(``name``, ``by``, ``row``, ``col``) of the cells whose centre is strictly inside a polygon.
+
+    Scan lines: the edges that cross a row's centre line are sorted by where they do, and the columns between the first
+    and second, third and fourth and so on are listed. So the work is that of the edges' rows and the cells filled.
+    """
+    at = lambda v: (F.lit(grid.y0) - v) / grid.res - 0.5  # the row whose centre is there
+    top = F.greatest(F.lit(0), F.ceil(at(F.greatest("y1", "y2")))).cast("int")
+    bottom = F.least(F.lit(grid.height - 1), F.floor(at(F.least("y1", "y2")))).cast("int")
+    rows = edges.where("y1 <> y2").withColumns({"a_": top, "b_": bottom}).where("a_ <= b_").withColumn("row", F.explode(F.sequence("a_", "b_")))
+    yc = F.lit(grid.y0) - (F.col("row") + 0.5) * grid.res
+    crossing = rows.where((F.col("y1") > yc) != (F.col("y2") > yc)).select(name, *by, "row", (F.col("x1") + (yc - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x_"))
+    lines = crossing.groupBy(name, *by, "row").agg(F.sort_array(F.collect_list("x_")).alias("x_"))
+    col = lambda v: (v - grid.x0) / grid.res - 0.5
+    pair = lambda k: F.struct(
+        F.greatest(F.lit(0), F.floor(col(F.get("x_", 2 * k))) + 1).cast("int").alias("l"), F.least(F.lit(grid.width - 1), F.ceil(col(F.get("x_", 2 * k + 1))) - 1).cast("int").alias("r")
+    )
+    runs = lines.select(name, *by, "row", F.explode(F.filter(F.transform(F.sequence(F.lit(0), (F.size("x_") / 2).cast("int") - 1), pair), lambda p: p["l"] <= p["r"])).alias("p"))
+    inside = runs.select(name, *by, "row", F.explode(F.sequence("p.l", "p.r")).alias("col"))
+    # centres on a level edge are on the outline
+    left, right = F.greatest(F.lit(0), F.ceil(col(F.least("x1", "x2")))).cast("int"), F.least(F.lit(grid.width - 1), F.floor(col(F.greatest("x1", "x2")))).cast("int")
+    level = edges.where((F.col("y1") == F.col("y2")) & (at(F.col("y1")) == F.floor(at(F.col("y1"))))).select(name, *by, at(F.col("y1")).cast("int").alias("row"), left.alias("l_"), right.alias("r_")).where("l_ <= r_")
+    return inside.join(level.select(name, *by, "row", F.explode(F.sequence("l_", "r_")).alias("col")), [name, *by, "row", "col"], "left_anti")
+
+
+def clip_cells_to_boundary(cells: DataFrame, grid: Grid, edges: DataFrame, name: str = "name") -> DataFrame:
     """Cells whose centre is inside the boundary."""
-    x, y = cell_center(grid, F.col("row"), F.col("col"))
-    inside = points_within_polygon(cells.withColumns({"x_": x, "y_": y}), edges, "x_", "y_")
-    return inside.drop("x_", "y_", "name")
+    return cells.join(cells_inside(edges, grid, name).select("row", "col"), ["row", "col"], "left_semi")
 
 
 def rasterize_points(points: DataFrame, grid: Grid, by: tuple[str, ...] = ()) -> DataFrame:
@@ -83,15 +126,12 @@ def box_edges(boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return boxes.select(*by, F.explode(four).alias("e")).select(*by, "e.*")
 
 
-def rasterize_polygons(edges: DataFrame, grid: Grid, land: DataFrame, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+def rasterize_polygons(edges: DataFrame, grid: Grid, name: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
     """Cells touched by a polygon: those that an edge touches, and those with their centre inside."""
-    x, y = cell_center(grid, F.col("row"), F.col("col"))
-    inside = points_within_polygon(land.select("row", "col").withColumns({"x_": x, "y_": y}), edges.withColumnsRenamed({name: "poly_"}), "x_", "y_", "poly_")
-    tagged = inside.join(edges.select(F.col(name).alias("poly_"), *by).distinct(), "poly_") if by else inside
-    return rasterize_lines(edges, grid, by).union(tagged.select(*by, "row", "col")).distinct()
+    return rasterize_lines(edges, grid, by).union(cells_inside(edges, grid, name, by).select(*by, "row", "col")).distinct()
 
 
-def human_activity_layer(landuse_edges: DataFrame, building_edges: DataFrame, grid: Grid, land: DataFrame, name: str = "feature_id") -> DataFrame:
+def human_activity_layer(landuse_edges: DataFrame, building_edges: DataFrame, grid: Grid, name: str = "feature_id") -> DataFrame:
     """Presence of land use or buildings: the touched cells of a union are the union of the touched cells, so nothing is dissolved."""
-    cells = lambda e: rasterize_polygons(e, grid, land, name)
+    cells = lambda e: rasterize_polygons(e, grid, name)
     return cells(landuse_edges).union(cells(building_edges)).distinct()

@@ -1,111 +1,207 @@
-"""Composite jobs: from source tables to one row per land cell and season. Each is one plan for all seasons."""
+"""Composite jobs: from source tables to one row per land cell and season. Each handles all seasons at once.
+
+What several layers need (training incidents, land, means, densities, distances) is written to the shared folder once
+and read from there, so that no plan holds it twice.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid
+from ..functions.grid import Grid, reprojected_grid
+from ..operators import cleaning as C
 from ..operators import density as D
 from ..operators import incidents as I
+from ..operators import profile as P
 from ..operators import raster as R
 from ..operators import series as S
 from ..operators import vector as V
-from ..operators.profile import require
+from ..sources.tables import written
 
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults of the jobs. Training years only reach features and labels."""
+    """Defaults of the jobs. Training years only reach features and labels, but for vegetation that isn't seasonal."""
 
     seasons: list[str] = field(default_factory=lambda: ["SPRING", "SUMMER", "FALL"])
     splits: dict[str, tuple[int, int]] = field(default_factory=lambda: {"train": (2009, 2020), "val": (2020, 2022), "test": (2022, 9999)})
     variables: list[str] = field(default_factory=lambda: ["tas", "tasmax", "tasmin", "rainfall", "sfcWind", "hurs"])
     method: str = "convolution"
     method_options: dict = field(default_factory=dict)
+    #: Vegetation by season, or one layer for all.
+    seasonal_ndvi: bool = True
+    #: Keep the cells inside the boundary only.
+    clip: bool = True
+    #: Take the label from low cells that cluster with high ones.
+    clean: bool = False
+    #: Densities are rounded to so many digits before classes are cut, so that no class hangs on the order of a sum.
+    density_digits: int | None = None
+    #: Fewest training incidents of a season.
+    least_incidents: int = 5
 
 
 @dataclass(frozen=True)
 class Sources:
-    """Input tables of the jobs, and the grids they lie on."""
+    """Input tables of the jobs, and the grids they lie on. ``climate`` has (row, col), or (easting, northing) of samples
+    at the cell size of ``source_grid``."""
 
     cells: DataFrame
     grid: Grid
     boundary: DataFrame
     incidents: DataFrame
     roads: DataFrame
+    rivers: DataFrame
     activity: DataFrame
     climate: DataFrame
     ndvi: DataFrame
     source_grid: Grid
 
 
-def land_of(s: Sources) -> DataFrame:
-    return s.cells.where("elevation IS NOT NULL").select("row", "col")
+def dem_from_tiles(tiles: DataFrame, tile_grid: Grid, res: float = 30.0) -> tuple[DataFrame, Grid]:
+    """Elevation on a national grid of cell size ``res``, and that grid, from tiles (``tile_order``, row, col, value) on a grid of degrees."""
+    spark = tiles.sparkSession
+    grid = reprojected_grid(spark, tile_grid, res)
+    return R.reproject_resample(R.mosaic_tiles(tiles), tile_grid, grid).withColumnRenamed("value", "elevation"), grid
+
+
+def land_of(s: Sources, c: Config | None = None) -> DataFrame:
+    """Cells with an elevation, inside the boundary."""
+    land = s.cells.where("elevation IS NOT NULL").select("row", "col")
+    return V.clip_cells_to_boundary(land, s.grid, s.boundary) if c is None or c.clip else land
 
 
 def melt(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("row", "col", *[F.col(n).cast("double").alias(n) for n in names]).unpivot(["row", "col"], names, "layer", "value").select("layer", "row", "col", "value")
 
 
-def topography_features(s: Sources) -> DataFrame:
-    """Elevation, slope and aspect as layers; slope and aspect come from cells before any clipping."""
-    return melt(R.land_mask(R.terrain(s.cells, s.grid), land_of(s)), ["elevation", "slope", "aspect"])
+def topography(s: Sources, land: DataFrame) -> DataFrame:
+    """(row, col, elevation, slope, aspect); slope and aspect come from cells before any clipping."""
+    return R.land_mask(R.terrain(s.cells, s.grid), land).select("row", "col", "elevation", "slope", "aspect")
+
+
+def topography_features(s: Sources, c: Config | None = None) -> DataFrame:
+    """Elevation, slope and aspect as layers."""
+    return melt(topography(s, land_of(s, c)), ["elevation", "slope", "aspect"])
+
+
+NEAR = ["d_roads", "d_rivers", "d_activity"]
+
+
+def presence(s: Sources) -> DataFrame:
+    """(layer, row, col) of roads, rivers and human activity."""
+    lines = lambda df, name: V.rasterize_lines(df, s.grid).select(F.lit(name).alias("layer"), "row", "col")
+    activity = V.rasterize_polygons(s.activity, s.grid, "feature_id").select(F.lit("d_activity").alias("layer"), "row", "col")
+    return lines(s.roads, "d_roads").union(lines(s.rivers, "d_rivers")).union(activity)
+
+
+def proximity_features(s: Sources, c: Config | None = None) -> DataFrame:
+    """Distances to roads, rivers and human activity, in one pass for all."""
+    far = R.distance_to_features(presence(s), s.grid, land_of(s, c), NEAR)
+    return far.select("layer", "row", "col", F.col("km").alias("value"))
 
 
-def proximity_features(s: Sources) -> DataFrame:
-    """Distances to roads and to human activity, in one pass for both."""
-    roads = V.rasterize_lines(s.roads, s.grid).select(F.lit("d_roads").alias("layer"), "row", "col")
-    activity = V.rasterize_polygons(s.activity, s.grid, s.grid.cells(s.cells.sparkSession), "feature_id").select(F.lit("d_activity").alias("layer"), "row", "col")
-    far = R.distance_to_features(roads.union(activity), s.grid, land_of(s), ["d_roads", "d_activity"])
-    return far.withColumnRenamed("km", "value")
+def static_features(s: Sources, c: Config | None = None) -> DataFrame:
+    out = topography_features(s, c).union(proximity_features(s, c))
+    return out if c is None or c.seasonal_ndvi else out.union(static_ndvi(s, land_of(s, c)))
 
 
-def static_features(s: Sources) -> DataFrame:
-    return topography_features(s).union(proximity_features(s).select("layer", "row", "col", "value"))
+def static_ndvi(s: Sources, land: DataFrame) -> DataFrame:
+    """Vegetation of all files and years."""
+    mean = S.mean_ndvi(S.select_files_by_date(s.ndvi))
+    aligned = R.align_to_reference(mean, s.source_grid, land, s.grid)
+    return aligned.select(F.lit("ndvi").alias("layer"), "row", "col", "value")
 
 
-def seasonal_features(s: Sources, c: Config) -> DataFrame:
-    """(``season``, layer, row, col, value) of climate and vegetation, all seasons in one alignment."""
-    years = c.splits["train"]
-    climate = S.seasonal_climate_mean(s.climate, years, c.seasons).withColumnRenamed("var", "layer")
+def climate_features(s: Sources, c: Config, land: DataFrame | None = None) -> DataFrame:
+    """(season, layer, row, col, value): seasonal means, north up, on the land cells."""
+    climate, grid = s.climate, s.source_grid
+    if "northing" in climate.columns:
+        climate = written(R.orient_north_up(climate.drop("row", "col"), grid.res), "climate")
+        e = climate.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.first("x0").alias("x"), F.first("y0").alias("y")).first()
+        grid = Grid(e.x, e.y, grid.res, e.r + 1, e.c + 1)
+    mean = written(S.seasonal_climate_mean(climate.where(F.col("var").isin(c.variables)), c.splits["train"], c.seasons), "means")
+    wanted = [f"{v} {season}" for v in c.variables for season in c.seasons]
+    P.require_each(mean.select(F.concat_ws(" ", "var", "season").alias("series")), "series", wanted, 1, "climate of the training years")
+    return R.align_to_reference(mean.withColumnRenamed("var", "layer"), grid, land if land is not None else land_of(s, c), s.grid, ("season", "layer"))
+
+
+def seasonal_ndvi(s: Sources, c: Config, land: DataFrame) -> DataFrame:
     dated = s.ndvi.withColumn("obs_date", S.composite_date(F.col("file")))
-    ndvi = S.mean_ndvi(I.training_window(dated, years, c.seasons), ("season", "row", "col")).withColumn("layer", F.lit("ndvi"))
-    both = climate.unionByName(ndvi)
-    return R.align_to_reference(both, s.source_grid, land_of(s), s.grid, ("season", "layer"))
+    mean = written(S.mean_ndvi(I.training_window(dated, c.splits["train"], c.seasons), ("season", "row", "col")), "means")
+    P.require_each(mean, "season", c.seasons, 1, "vegetation files of the training years")
+    P.require_each(mean.where("value IS NOT NULL"), "season", c.seasons, 1, "cells with valid vegetation")
+    return R.align_to_reference(mean.withColumn("layer", F.lit("ndvi")), s.source_grid, land, s.grid, ("season", "layer"))
+
+
+def seasonal_features(s: Sources, c: Config, land: DataFrame | None = None) -> DataFrame:
+    """(``season``, layer, row, col, value) of climate, and of vegetation where it is seasonal."""
+    land = land_of(s, c) if land is None else land
+    climate = climate_features(s, c, land)
+    return climate.unionByName(seasonal_ndvi(s, c, land)) if c.seasonal_ndvi else climate
 
 
 def training_incidents(s: Sources, c: Config) -> DataFrame:
+    """Training incidents of the seasons inside the boundary, as a table; each season needs ``least_incidents``."""
     inside = I.incident_splits(s.incidents, s.boundary, c.splits)
-    return inside.where((F.col("split") == "train") & F.col("season").isin(c.seasons))
+    train = written(inside.where((F.col("split") == "train") & F.col("season").isin(c.seasons)), "incidents")
+    return P.require_each(train, "season", c.seasons, c.least_incidents, "training incidents")
 
 
-def seasonal_labels(s: Sources, c: Config) -> DataFrame:
+def seasonal_labels(s: Sources, c: Config, train: DataFrame | None = None, land: DataFrame | None = None) -> DataFrame:
     """(season, row, col, ``density``, ``label``) from training incidents."""
-    train = require(training_incidents(s, c), 5, "training incidents")
-    density = D.compute_density(train, land_of(s), s.grid, c.method, ("season",), **c.method_options)
-    return D.classify_density(density, 0.0 if c.method == "convolution" else 1e-12, ("season",))
+    train = training_incidents(s, c) if train is None else train
+    density = D.compute_density(train, land_of(s, c) if land is None else land, s.grid, c.method, ("season",), **c.method_options)
+    if c.density_digits is not None:
+        density = density.withColumn("density", F.round("density", c.density_digits))
+    density = written(density, "density")
+    threshold = 0.0 if c.method == "convolution" else 1e-12
+    P.require_each(density.where(F.col("density") > threshold), "season", c.seasons, 1, "cells with a positive density")
+    return D.classify_density(density, threshold, ("season",))
 
 
-def fire_distance(s: Sources, c: Config) -> DataFrame:
-    """(season, layer, row, col, value): distance to the nearest training incident of the season."""
-    marks = V.rasterize_points(training_incidents(s, c), s.grid, ("season",)).withColumnRenamed("season", "layer")
-    return R.distance_to_features(marks, s.grid, land_of(s), c.seasons).select(F.col("layer").alias("season"), F.lit("d_fires").alias("layer"), "row", "col", F.col("km").alias("value"))
+def fire_presence(train: DataFrame, s: Sources) -> DataFrame:
+    """(layer, row, col): one layer for each season."""
+    return V.rasterize_points(train, s.grid, ("season",)).select(F.concat(F.lit("d_fires "), "season").alias("layer"), "row", "col")
 
 
 def assemble_dataset(s: Sources, c: Config) -> DataFrame:
-    """One row per season and land cell: elevation, slope, aspect, distances, climate, ndvi, d_fires, label as floats."""
+    """One row per season and land cell: elevation, slope, aspect, distances, climate, ndvi, d_fires, label as floats.
+
+    Layers of all seasons are pivoted once by cell, seasonal ones by season and cell; both meet the land cells in a join.
+    """
     spark = s.cells.sparkSession
+    land = P.require(written(land_of(s, c), "land"), 1, "reference cells")
+    train = training_incidents(s, c)
+    fires = [f"d_fires {x}" for x in c.seasons]
+    far = written(R.distance_to_features(presence(s).union(fire_presence(train, s)), s.grid, land, [*NEAR, *fires]), "distances")
+    value = F.col("km").alias("value")
+    static = far.where(F.col("layer").isin(NEAR)).select("layer", "row", "col", value)
+    if not c.seasonal_ndvi:
+        static = static.union(static_ndvi(s, land))
+    names = [*NEAR, *([] if c.seasonal_ndvi else ["ndvi"])]
+    static = static.groupBy("row", "col").pivot("layer", names).agg(F.first("value", True))
+    labels = seasonal_labels(s, c, train, land).select("season", F.lit("label").alias("layer"), "row", "col", F.col("label").cast("double").alias("value"))
+    near = far.where(F.col("layer").isin(fires)).select(F.substring_index("layer", " ", -1).alias("season"), F.lit("d_fires").alias("layer"), "row", "col", value)
+    layers = seasonal_features(s, c, land).unionByName(near).unionByName(labels)
+    later = [*c.variables, *(["ndvi"] if c.seasonal_ndvi else []), "d_fires", "label"]
+    wide = layers.groupBy("season", "row", "col").pivot("layer", later).agg(F.first("value", True))
     seasons = spark.createDataFrame([(x,) for x in c.seasons], "season string")
-    each = lambda df: df.join(F.broadcast(seasons))  # a handful of rows
-    static = each(static_features(s)).select("season", "layer", "row", "col", "value")
-    labels = seasonal_labels(s, c).select("season", F.lit("label").alias("layer"), "row", "col", F.col("label").cast("double").alias("value"))
-    layers = static.unionByName(seasonal_features(s, c)).unionByName(fire_distance(s, c)).unionByName(labels)
-    names = ["elevation", "slope", "aspect", "d_roads", "d_activity", *c.variables, "ndvi", "d_fires", "label"]
-    wide = layers.groupBy("season", "row", "col").pivot("layer", names).agg(F.first("value", True))
-    return each(land_of(s)).join(wide, ["season", "row", "col"], "left").select("season", "row", "col", *[F.col(n).cast("float") for n in names])
+    cells = land.join(topography(s, land), ["row", "col"], "left").join(static, ["row", "col"], "left").join(F.broadcast(seasons))  # a handful of rows
+    out = cells.join(wide, ["season", "row", "col"], "left")
+    columns = ["elevation", "slope", "aspect", *names, *later]
+    out = out.select("season", "row", "col", *[F.col(n).cast("float") for n in columns])
+    return clean_seasons(out, c, columns[:-1]) if c.clean else out
+
+
+def clean_seasons(dataset: DataFrame, c: Config, features: list[str]) -> DataFrame:
+    """The dataset with labels cleaned season by season; cells with a missing feature keep theirs."""
+    held = written(dataset, "dataset")
+    parts = [C.clean_labels(held.where(F.col("season") == x), features) for x in c.seasons]
+    return reduce(DataFrame.unionByName, parts).select(*dataset.columns)
 
 
 def full_pipeline(s: Sources, c: Config, path: str | None = None) -> DataFrame:
@@ -113,5 +209,20 @@ def full_pipeline(s: Sources, c: Config, path: str | None = None) -> DataFrame:
     out = assemble_dataset(s, c)
     if path:
         out.write.mode("overwrite").partitionBy("season").parquet(path)
-        return s.cells.sparkSession.read.parquet(path)
+        return s.cells.sparkSession.read.parquet(path).select(*out.columns)
     return out
+
+
+def season_profile(incidents: DataFrame, years: list[int]) -> DataFrame:
+    """(``measure``, ``season``, ``year``, ``value``): the share of each season, and by year its count and percentage of the year."""
+    share = I.season_share(incidents).select(F.lit("share").alias("measure"), "season", F.lit(None).cast("int").alias("year"), F.col("share").alias("value"))
+    counts = I.season_year_counts(incidents, years).unpivot("season", [f"y{y}" for y in years], "year", "n")
+    counts = counts.select(F.lit("count").alias("measure"), "season", F.substring("year", 2, 9).cast("int").alias("year"), F.col("n").cast("double").alias("value"))
+    pct = I.season_year_pct(incidents).where(F.col("year").isin(years)).select(F.lit("percent").alias("measure"), "season", "year", F.col("pct").alias("value"))
+    return share.union(counts).union(pct)
+
+
+def dataset_profile(df: DataFrame, features: list[str]) -> DataFrame:
+    """By season and feature: what ``describe_features`` has, and ``lacking_pct``, the share without it of the rows that lack anything."""
+    described = P.describe_features(df, features, ("season",))
+    return described.join(P.nan_contributors(df, features, ("season",)).withColumnRenamed("pct", "lacking_pct"), ["season", "feature"], "left")

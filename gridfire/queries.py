@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from .operators import raster as R
 from .operators import series as S
 from .operators import vector as V
 from .plans import pipeline as L
-from .views import FCLASSES, SPLITS, TRAIN, grid_of, source_grid_of, view, with_views
+from .sources import tables as T
+from .views import FCLASSES, SPLITS, TRAIN, grid_of, source_grid_of, tile_grid_of, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,8 +75,14 @@ HEIGHT = "(SELECT max(row) + 1 FROM grid_cells)"
 
 def inside_sql(points: str, x: str, y: str, out: str) -> str:
     """CTEs: ``out`` has the points of a table strictly inside the boundary (each point against every edge)."""
-    return f"""edges AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM boundary_vertices a JOIN boundary_vertices b ON b.seq = (a.seq + 1) % 5),
-        {out} AS (SELECT p.* FROM {points} p WHERE (SELECT count(*) FROM edges WHERE ((y1 <= {y} AND {y} < y2) OR (y2 <= {y} AND {y} < y1)) AND x1 + ({y} - y1) / (y2 - y1) * (x2 - x1) > {x}) % 2 = 1)"""
+    return f"""{EDGES}, {within_sql(points, x, y, out)}"""
+
+
+EDGES = "edges AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM boundary_vertices a JOIN boundary_vertices b ON b.seq = (a.seq + 1) % 5)"
+
+
+def within_sql(points: str, x: str, y: str, out: str) -> str:
+    return f"""{out} AS (SELECT p.* FROM {points} p WHERE (SELECT count(*) FROM edges WHERE ((y1 <= {y} AND {y} < y2) OR (y2 <= {y} AND {y} < y1)) AND x1 + ({y} - y1) / (y2 - y1) * (x2 - x1) > {x}) % 2 = 1)"""
 
 
 # --- incidents ---
@@ -142,6 +151,17 @@ def season_year_long(d):
     return wide.unpivot("season", [f"`{y}`" for y in YEARS], "year", "percent").where("percent IS NOT NULL")
 
 
+@query(inside_sql("repeated_incidents", "easting", "northing", "hit") + " SELECT call_date, easting, northing, vehicles, 'Essex' AS name FROM hit", "repeated_incidents", "boundary_vertices")
+def points_within_polygon_repeated(d):
+    """Incidents without an id, up to four of which are alike in every column."""
+    return V.points_within_polygon(d.repeated_incidents, d.edges).select("call_date", "easting", "northing", "vehicles", "name")
+
+
+@query(inside_sql("repeated_incidents", "easting", "northing", "hit") + f" SELECT {SEASON} AS season, {SPLIT} AS split, easting, northing, count(*) AS n FROM hit GROUP BY ALL", "repeated_incidents", "boundary_vertices")
+def incident_splits_repeated(d):
+    return I.incident_splits(d.repeated_incidents, d.edges, SPLITS).groupBy("season", "split", "easting", "northing").agg(F.count(F.lit(1)).alias("n"))
+
+
 SPLITS_SQL = inside_sql("incidents", "easting", "northing", "hit") + f" SELECT incident_id, {SEASON} AS season, {SPLIT} AS split FROM hit"
 
 
@@ -158,9 +178,9 @@ def points_within_polygon(d):
 # --- cells and vectors ---
 
 
-@query("SELECT seq, x, y FROM boundary_vertices WHERE name = 'Essex'", "boundary_vertices")
+@query("SELECT seq, x, y FROM regions WHERE name = 'NATION_7'", "regions")
 def boundary_select(d):
-    return V.boundary_select(d.boundary_vertices, "Essex").select("seq", "x", "y")
+    return V.boundary_select(d.regions, "NATION_7").select("seq", "x", "y")
 
 
 @query("SELECT feature_id, fclass FROM landuse_boxes WHERE fclass IN ('household', 'machinery')", "landuse_boxes")
@@ -236,13 +256,13 @@ ACTIVITY = """activity AS (SELECT DISTINCT row, col FROM grid_cells JOIN landuse
 
 @query(ACTIVITY + " SELECT * FROM activity", "grid_cells", "landuse_boxes")
 def rasterize_polygons(d):
-    return V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id")
+    return V.rasterize_polygons(d.activity, d.grid, "feature_id")
 
 
 @query(ACTIVITY.replace("fclass IN ('household', 'machinery')", "fclass IN ('household', 'machinery', 'building')") + " SELECT * FROM activity", "grid_cells", "landuse_boxes")
 def human_activity_layer(d):
     buildings = V.box_edges(d.landuse_boxes.where("fclass = 'building'"), ("feature_id",))
-    return V.human_activity_layer(d.activity, buildings, d.grid, d.grid_cells)
+    return V.human_activity_layer(d.activity, buildings, d.grid)
 
 
 def distance_sql(layer: str) -> str:
@@ -259,9 +279,17 @@ def d_roads(d):
     return rounded(R.distance_to_features(V.rasterize_lines(d.road_segments, d.grid).withColumn("layer", F.lit("d_roads")), d.grid, d.land, ["d_roads"]))
 
 
+RIVERS = touched_sql("river_segments", "rivers")
+
+
+@query(f"{RIVERS}, {LAND} " + distance_sql("d_rivers").format("rivers"), "grid_cells", "river_segments")
+def d_rivers(d):
+    return rounded(R.distance_to_features(V.rasterize_lines(d.river_segments, d.grid).withColumn("layer", F.lit("d_rivers")), d.grid, d.land, ["d_rivers"]))
+
+
 @query(f"{ACTIVITY}, {LAND} " + distance_sql("d_activity").format("activity"), "grid_cells", "landuse_boxes")
 def d_activity(d):
-    cells = V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id")
+    cells = V.rasterize_polygons(d.activity, d.grid, "feature_id")
     return rounded(R.distance_to_features(cells.withColumn("layer", F.lit("d_activity")), d.grid, d.land, ["d_activity"]))
 
 
@@ -275,17 +303,24 @@ def d_fires(d):
 @query(f"{ROADS}, {ACTIVITY}, {LAND} {distance_sql('d_activity').format('activity')} UNION ALL {distance_sql('d_roads').format('roads')}", "grid_cells", "road_segments", "landuse_boxes")
 def distance_to_features(d):
     mark = lambda df, name: df.select(F.lit(name).alias("layer"), "row", "col")
-    both = mark(V.rasterize_lines(d.road_segments, d.grid), "d_roads").union(mark(V.rasterize_polygons(d.activity, d.grid, d.grid_cells, "feature_id"), "d_activity"))
+    both = mark(V.rasterize_lines(d.road_segments, d.grid), "d_roads").union(mark(V.rasterize_polygons(d.activity, d.grid, "feature_id"), "d_activity"))
     return rounded(R.distance_to_features(both, d.grid, d.land, ["d_roads", "d_activity"]))
 
 
 # --- terrain, alignment, series ---
 
-TERRAIN = f"""n AS (SELECT g.row, g.col, g.elevation AS z, e.elevation AS e, w.elevation AS w, s.elevation AS s, u.elevation AS u, {HEIGHT} AS h FROM grid_cells g
-    LEFT JOIN grid_cells e ON e.row = g.row AND e.col = g.col + 1 LEFT JOIN grid_cells w ON w.row = g.row AND w.col = g.col - 1
-    LEFT JOIN grid_cells s ON s.row = g.row + 1 AND s.col = g.col LEFT JOIN grid_cells u ON u.row = g.row - 1 AND u.col = g.col),
-    t AS (SELECT row, col, z, CASE col WHEN 0 THEN (e - z) / 30 WHEN 49 THEN (z - w) / 30 ELSE (e - w) / 60 END AS dx,
+
+
+def terrain_sql(cells: str, height: str, last: str) -> str:
+    """CTEs: ``t`` has the gradient of a cell table by four self joins."""
+    return f"""n AS (SELECT g.row, g.col, g.elevation AS z, e.elevation AS e, w.elevation AS w, s.elevation AS s, u.elevation AS u, {height} AS h, {last} AS last FROM {cells} g
+    LEFT JOIN {cells} e ON e.row = g.row AND e.col = g.col + 1 LEFT JOIN {cells} w ON w.row = g.row AND w.col = g.col - 1
+    LEFT JOIN {cells} s ON s.row = g.row + 1 AND s.col = g.col LEFT JOIN {cells} u ON u.row = g.row - 1 AND u.col = g.col),
+    t AS (SELECT row, col, z, CASE col WHEN 0 THEN (e - z) / 30 WHEN last THEN (z - w) / 30 ELSE (e - w) / 60 END AS dx,
         CASE WHEN row = 0 THEN (s - z) / 30 WHEN row = h - 1 THEN (z - u) / 30 ELSE (s - u) / 60 END AS dy FROM n)"""
+
+
+TERRAIN = terrain_sql("grid_cells", HEIGHT, "49")
 SLOPE = "CASE WHEN z IS NOT NULL THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) END AS slope"
 ASPECT = "CASE WHEN z IS NOT NULL THEN round((degrees(atan2(-dy, dx)) + 360) % 360, 4) END AS aspect"
 
@@ -321,10 +356,10 @@ def seasonal_climate_mean(d):
 
 def bilinear_sql(source: str, keys: str, out: str, land: str = "land") -> str:
     """CTEs: four lookups of the source's neighbours for each land cell."""
-    cells = f"tgt AS (SELECT row, col, (col + 0.5) / 5 - 0.5 AS fx, (row + 0.5) / 5 - 0.5 AS fy FROM {land} WHERE (row + 0.5) / 5 < (SELECT max(row) + 1 FROM {source}) AND (col + 0.5) / 5 < 10)"
-    near = """near AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc, abs(1 - a - (fy - floor(fy))) * abs(1 - b - (fx - floor(fx))) AS w
-        FROM tgt, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))"""
-    return f"""{cells}, {near}, {out} AS (SELECT {keys}, n.row, n.col, sum(w * value) / sum(w) AS value FROM near n JOIN {source} s ON s.row = sr AND s.col = sc WHERE value IS NOT NULL AND w > 0 GROUP BY ALL)"""
+    cells = f"tgt_{out} AS (SELECT row, col, (col + 0.5) / 5 - 0.5 AS fx, (row + 0.5) / 5 - 0.5 AS fy FROM {land} WHERE (row + 0.5) / 5 < (SELECT max(row) + 1 FROM {source}) AND (col + 0.5) / 5 < 10)"
+    near = f"""near_{out} AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc, abs(1 - a - (fy - floor(fy))) * abs(1 - b - (fx - floor(fx))) AS w
+        FROM tgt_{out}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))"""
+    return f"""{cells}, {near}, {out} AS (SELECT {keys}, n.row, n.col, sum(w * value) / sum(w) AS value FROM near_{out} n JOIN {source} s ON s.row = sr AND s.col = sc WHERE value IS NOT NULL AND w > 0 GROUP BY ALL)"""
 
 
 @query(f"{CLIMATE}, {LAND}, {bilinear_sql('mean', 'season, var', 'aligned')} SELECT season, var, row, col, round(value, 6) AS value FROM aligned", "grid_cells", "climate_obs")
@@ -381,21 +416,109 @@ def orient_north_up(d):
     return R.orient_north_up(at, 150.0)
 
 
-@query()
+def steps_sql(source: str, name: str, *steps: dict[str, str]) -> str:
+    """CTEs: ``name`` is the source with columns added step by step."""
+    out, at = [], source
+    for k, step in enumerate(steps):
+        own = name if k == len(steps) - 1 else f"{name}_{k}"
+        out.append(f"{own} AS (SELECT * EXCLUDE ({', '.join(c for c in step if any(c in x for x in steps[:k])) or 'zz'}), " + ", ".join(f"{e} AS {c}" for c, e in step.items()) + f" FROM {at})")
+        out[-1] = out[-1].replace("SELECT * EXCLUDE (zz),", "SELECT *,")
+        at = own
+    return ", ".join(out)
+
+
+def _ellipsoid(axes: tuple[float, float]) -> tuple[float, float]:
+    return axes[0], 1 - axes[1] ** 2 / axes[0] ** 2
+
+
+F0, PHI0, LAM0, E0, N0 = G.PROJECTION
+
+
+def arc_sql(phi: str) -> str:
+    (a, b), (d, t) = G.AIRY, (f"({phi} - {PHI0!r})", f"({phi} + {PHI0!r})")
+    n = (a - b) / (a + b)
+    c0, c1, c2, c3 = 1 + n + 5 / 4 * (n**2 + n**3), 3 * (n + n**2) + 21 / 8 * n**3, 15 / 8 * (n**2 + n**3), 35 / 24 * n**3
+    return f"({b * F0!r} * ({c0!r} * {d} - {c1!r} * sin({d}) * cos({t}) + {c2!r} * sin(2 * {d}) * cos(2 * {t}) - {c3!r} * sin(3 * {d}) * cos(3 * {t})))"
+
+
+def bng_sql(source: str, name: str) -> str:
+    """CTEs: ``name`` is the source (lon, lat) with ``easting`` and ``northing``."""
+    a, e2 = _ellipsoid(G.WGS84)
+    b, f2 = _ellipsoid(G.AIRY)
+    tx, ty, tz, s, *r = G.SHIFT
+    rx, ry, rz = (math.radians(x / 3600) for x in r)
+    turn = {"p": "sqrt(x * x + y * y)"}
+    again = {"phi": f"atan2(z + {f2!r} * {b!r} / sqrt(1 - {f2!r} * sin(phi) ** 2) * sin(phi), p)"}
+    return steps_sql(
+        source, name, {"phi": "radians(lat)", "lam": "radians(lon)"}, {"nu": f"{a!r} / sqrt(1 - {e2!r} * sin(phi) ** 2)"},
+        {"u": "nu * cos(phi) * cos(lam)", "v": "nu * cos(phi) * sin(lam)", "w": f"{1 - e2!r} * nu * sin(phi)"},
+        {"x": f"{tx!r} + {1 + s!r} * u - {rz!r} * v + {ry!r} * w", "y": f"{ty!r} + {rz!r} * u + {1 + s!r} * v - {rx!r} * w", "z": f"{tz!r} - {ry!r} * u + {rx!r} * v + {1 + s!r} * w"},
+        turn, {"phi": f"atan2(z, p * {1 - f2!r})"}, again, again, again,
+        {"nu": f"{b * F0!r} / sqrt(1 - {f2!r} * sin(phi) ** 2)", "rho": f"{b * F0 * (1 - f2)!r} / (1 - {f2!r} * sin(phi) ** 2) ** 1.5", "l": f"atan2(y, x) - {LAM0!r}", "si": "sin(phi)", "co": "cos(phi)", "ta": "tan(phi)"},
+        {"eta": "nu / rho - 1"},
+        {"northing": f"{arc_sql('phi')} + {N0!r} + nu / 2 * si * co * l ** 2 + nu / 24 * si * co ** 3 * (5 - ta ** 2 + 9 * eta) * l ** 4 + nu / 720 * si * co ** 5 * (61 - 58 * ta ** 2 + ta ** 4) * l ** 6",
+         "easting": f"{E0!r} + nu * co * l + nu / 6 * co ** 3 * (nu / rho - ta ** 2) * l ** 3 + nu / 120 * co ** 5 * (5 - 18 * ta ** 2 + ta ** 4 + 14 * eta - 58 * ta ** 2 * eta) * l ** 5"},
+    )
+
+
+def degrees_sql(source: str, name: str) -> str:
+    """CTEs: ``name`` is the source (easting, northing) with ``lon`` and ``lat``."""
+    a, e2 = _ellipsoid(G.AIRY)
+    b, f2 = _ellipsoid(G.WGS84)
+    shift, turn = G._rotation()
+    back = np.linalg.inv(turn).tolist()
+    rows = {k: " + ".join(f"{r[i]!r} * ({c} - {float(shift[i])!r})" for i, c in enumerate("uvw")) for k, r in zip("xyz", back, strict=True)}
+    again = {"phi": f"phi + (northing - {N0!r} - {arc_sql('phi')}) / {a * F0!r}"}
+    turned = {"phi": f"atan2(z + {f2!r} * {b!r} / sqrt(1 - {f2!r} * sin(phi) ** 2) * sin(phi), p)"}
+    return steps_sql(
+        source, name, {"phi": f"(northing - {N0!r}) / {a * F0!r} + {PHI0!r}", "d": f"easting - {E0!r}"}, *[again] * 5,
+        {"nu": f"{a * F0!r} / sqrt(1 - {e2!r} * sin(phi) ** 2)", "rho": f"{a * F0 * (1 - e2)!r} / (1 - {e2!r} * sin(phi) ** 2) ** 1.5", "ta": "tan(phi)", "co": "cos(phi)"}, {"eta": "nu / rho - 1"},
+        {"phi": "phi - ta * d ** 2 / (2 * rho * nu) + ta * d ** 4 / (24 * rho * nu ** 3) * (5 + 3 * ta ** 2 + eta - 9 * ta ** 2 * eta) - ta * d ** 6 / (720 * rho * nu ** 5) * (61 + 90 * ta ** 2 + 45 * ta ** 4)",
+         "l": f"{LAM0!r} + (d / nu - d ** 3 / (6 * nu ** 3) * (nu / rho + 2 * ta ** 2) + d ** 5 / (120 * nu ** 5) * (5 + 28 * ta ** 2 + 24 * ta ** 4) - d ** 7 / (5040 * nu ** 7) * (61 + 662 * ta ** 2 + 1320 * ta ** 4 + 720 * ta ** 6)) / co"},
+        {"nu": f"{a!r} / sqrt(1 - {e2!r} * sin(phi) ** 2)"}, {"u": "nu * cos(phi) * cos(l)", "v": "nu * cos(phi) * sin(l)", "w": f"{1 - e2!r} * nu * sin(phi)"}, rows,
+        {"p": "sqrt(x * x + y * y)"}, {"phi": f"atan2(z, p * {1 - f2!r})"}, *[turned] * 4, {"lon": "degrees(atan2(y, x))", "lat": "degrees(phi)"},
+    )
+
+
+@query("spread AS (SELECT incident_id, easting / 550000.0 - 0.5 AS lon, 51.0 + northing / 440000.0 AS lat FROM incidents), w AS (SELECT incident_id, lon, lat FROM spread), " + bng_sql("w", "placed") + " SELECT incident_id, round(easting, 2) AS east, round(northing, 2) AS north FROM placed", "incidents")
 def to_bng(d):
-    """National grid coordinates of degrees spread by the incidents; tested against published points."""
+    """National grid coordinates of degrees spread by the incidents; tested against published points too."""
     degrees = d.incidents.select("incident_id", (F.col("easting") / 550000.0 - 0.5).alias("lon"), (F.lit(51.0) + F.col("northing") / 440000.0).alias("lat"))
     return G.to_bng(degrees).select("incident_id", F.round("easting", 2).alias("east"), F.round("northing", 2).alias("north"))
 
 
-@query(f"""h AS (SELECT {HEIGHT} // 2 AS h), t AS (SELECT r AS row, c AS col, (c + 0.5) * 2 - 0.5 AS fx, (r + 0.5) * 2 - 0.5 AS fy FROM h, range(0, h) a(r), range(0, 25) b(c)),
-    near AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))
-    SELECT CAST(near.row AS INT) AS row, CAST(near.col AS INT) AS col, round(avg(elevation), 6) AS elevation FROM near JOIN grid_cells g ON g.row = sr AND g.col = sc WHERE elevation IS NOT NULL GROUP BY 1, 2""", "grid_cells")
+@query(degrees_sql("(SELECT incident_id, easting, northing FROM incidents)", "placed") + " SELECT incident_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM placed", "incidents")
+def from_bng(d):
+    return G.from_bng(d.incidents.select("incident_id", "easting", "northing")).select("incident_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+#: The border of the tiles, 21 places a side, on the national grid; the cells of its extent, back in degrees; the first tile with data at four neighbours.
+DEM = f"""border AS (SELECT 0.5::DOUBLE AS west, 51.9::DOUBLE AS north, 0.5::DOUBLE + 50 * (1::DOUBLE / 3600) AS east, 51.9::DOUBLE - (SELECT max(row) + 1 FROM dem_tiles) * (1::DOUBLE / 3600) AS south),
+    places AS (SELECT k::DOUBLE / 20 AS k, * FROM range(21) r(k), border),
+    edge AS (SELECT west + k * (east - west) AS lon, south AS lat FROM places UNION ALL SELECT west + k * (east - west), north FROM places UNION ALL SELECT west, south + k * (north - south) FROM places UNION ALL SELECT east, south + k * (north - south) FROM places),
+    {bng_sql("edge", "outline")}, extent AS (SELECT min(easting) AS x0, max(northing) AS y0, CAST(ceil((max(northing) - min(northing)) / 30) AS BIGINT) AS h, CAST(ceil((max(easting) - min(easting)) / 30) AS BIGINT) AS wide FROM outline),
+    cells AS (SELECT CAST(r AS INT) AS row, CAST(k AS INT) AS col, x0 + (k + 0.5) * 30 AS easting, y0 - (r + 0.5) * 30 AS northing FROM extent, range(0, h) a(r), range(0, wide) b(k)), {degrees_sql("cells", "spot")},
+    spots AS (SELECT row, col, (lon - 0.5) / (1::DOUBLE / 3600) - 0.5 AS fx, (51.9 - lat) / (1::DOUBLE / 3600) - 0.5 AS fy FROM spot),
+    inner_ AS (SELECT * FROM spots WHERE fx >= -0.5 AND fx < 49.5 AND fy >= -0.5 AND fy < (SELECT max(row) + 1 FROM dem_tiles) - 0.5),
+    four AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc, abs(1 - a - (fy - floor(fy))) * abs(1 - b - (fx - floor(fx))) AS wt FROM inner_, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b)),
+    mosaic AS (SELECT row, col, arg_min(value, tile_order) AS value FROM dem_tiles WHERE value IS NOT NULL GROUP BY 1, 2),
+    known AS (SELECT f.row, f.col, sum(wt * value) / sum(wt) AS elevation FROM four f JOIN mosaic m ON m.row = sr AND m.col = sc WHERE wt > 0 GROUP BY 1, 2),
+    dem AS (SELECT cells.row, cells.col, elevation FROM cells LEFT JOIN known USING (row, col))"""
+
+
+@query(DEM + " SELECT row, col, round(elevation, 3) AS elevation FROM dem WHERE elevation IS NOT NULL", "dem_tiles")
 def reproject_resample(d):
-    """Half the resolution in the same system: each new cell lies between four old ones."""
-    g = d.grid
-    half = G.Grid(g.x0, g.y0, 60.0, g.height // 2, 25)
-    return rounded(R.reproject_resample(d.grid_cells, g, half, lambda x, y: (x, y), "elevation"), "elevation")
+    """Tiles on a grid of degrees, as one elevation layer on a national grid of 30 m."""
+    tiles = d.dem_tiles
+    return rounded(L.dem_from_tiles(tiles, tile_grid_of(tiles))[0], "elevation", 3)
+
+
+@query(f"{DEM}, {terrain_sql('dem', '(SELECT h FROM extent)', '(SELECT wide - 1 FROM extent)')} SELECT row, col, round(z, 3) AS elevation, round(degrees(atan(sqrt(dx * dx + dy * dy))), 3) AS slope FROM t WHERE z IS NOT NULL", "dem_tiles")
+def topography_from_tiles(d):
+    """Mosaic, reprojection, and slope of the elevation before it is clipped."""
+    tiles = d.dem_tiles
+    cells, grid = L.dem_from_tiles(tiles, tile_grid_of(tiles))
+    return R.terrain(cells, grid).where("elevation IS NOT NULL").select("row", "col", F.round("elevation", 3).alias("elevation"), F.round("slope", 3).alias("slope"))
 
 
 # --- density and labels ---
@@ -473,9 +596,9 @@ def feature_table(d: Data) -> DataFrame:
 FEATURES = f"{LABELS}, f AS (SELECT g.row, g.col, elevation, label, elevation * 2.0 + g.col AS a, CASE WHEN g.col % 7 <> 0 THEN g.row * CAST(0.5 AS DOUBLE) END AS b FROM grid_cells g LEFT JOIN labels l ON g.row = l.row AND g.col = l.col)"
 
 
-@query(FEATURES + " SELECT label, least(count(*), 100) AS n FROM f WHERE label IS NOT NULL GROUP BY 1", *BOTH)
+@query(FEATURES + " SELECT row, col, label FROM f WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat(row, ',', col)), row, col) <= 100", *BOTH)
 def sample_per_class(d):
-    return C.sample_per_class(feature_table(d), 100).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return C.sample_per_class(feature_table(d), 100).select("row", "col", "label")
 
 
 @query(FEATURES + """ SELECT row, col, round((elevation - avg(elevation) OVER ()) / stddev_pop(elevation) OVER (), 6) AS elevation, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS a FROM f""", *BOTH)
@@ -516,12 +639,12 @@ def drop_labels(d):
 
 @query()
 def kmeans_two(d):
-    return C.kmeans_two(feature_table(d).where("label IN (0, 3)"), ["elevation", "a"], n_init=3).select("row", "col", "cluster")
+    return C.kmeans_two(feature_table(d).where("label IN (0, 3)"), ["elevation", "a"]).select("row", "col", "cluster")
 
 
 @query()
 def clean_labels(d):
-    return C.clean_labels(feature_table(d), ["elevation", "a"], n_init=2).select("row", "col", "label")
+    return C.clean_labels(feature_table(d), ["elevation", "a"]).select("row", "col", "label")
 
 
 # --- datasets, profiles, checks ---
@@ -533,10 +656,12 @@ def stack_layers(d):
     return R.stack_layers(layer(d.grid_cells, "elevation").union(layer(spring_density(d), "density")), d.land, ["elevation", "density"])
 
 
-@query(f"{LABELS} SELECT row, col, elevation, label FROM grid_cells JOIN labels USING (row, col) WHERE elevation IS NOT NULL", *BOTH)
+@query(f"{LABELS} SELECT row, col, CAST(elevation AS FLOAT) AS elevation, CAST(label AS FLOAT) AS label FROM grid_cells JOIN labels USING (row, col) WHERE elevation IS NOT NULL AND label IS NOT NULL", *BOTH)
 def layers_to_arrays(d):
     """Named layers side by side for the cells that have a label."""
-    return d.grid_cells.where("elevation IS NOT NULL").join(D.classify_density(spring_density(d)).select("row", "col", "label"), ["row", "col"])
+    layer = lambda df, name: df.select(F.lit(name).alias("layer"), "row", "col", F.col(name).cast("double").alias("value"))
+    both = layer(d.grid_cells, "elevation").union(layer(D.classify_density(spring_density(d)), "label"))
+    return R.layers_to_arrays(both, d.land, ["elevation", "label"])
 
 
 def describe_sql(source: str, names: list[str]) -> str:
@@ -604,48 +729,197 @@ def check_row_count(d):
 
 
 def sources(d: Data) -> tuple[L.Sources, L.Config]:
-    s = L.Sources(d.grid_cells, d.grid, d.edges, d.incidents, d.road_segments, d.activity, d.climate_obs, d.ndvi_obs, source_grid_of(d.climate_obs))
-    return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"])
+    s = L.Sources(d.grid_cells, d.grid, d.edges, d.incidents, d.road_segments, d.river_segments, d.activity, d.climate_obs, d.ndvi_obs, source_grid_of(d.climate_obs))
+    return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"], density_digits=6, least_incidents=1)
 
 
-RELIEF = f"{TERRAIN}, r AS (SELECT row, col, z AS elevation, {SLOPE}, {ASPECT} FROM t WHERE z IS NOT NULL)"
+#: Land inside the boundary.
+INSIDE = f"""{EDGES}, centres AS (SELECT row, col, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells WHERE elevation IS NOT NULL),
+    {within_sql("centres", "x", "y", "inside")}, land AS (SELECT row, col FROM inside)"""
+RELIEF = f"{INSIDE}, {TERRAIN}, r AS (SELECT row, col, z AS elevation, {SLOPE}, {ASPECT} FROM t SEMI JOIN land USING (row, col))"
 RELIEF_LAYERS = "SELECT 'elevation' AS layer, row, col, elevation AS value FROM r UNION ALL SELECT 'slope', row, col, slope FROM r UNION ALL SELECT 'aspect', row, col, aspect FROM r"
+PLACES = ("grid_cells", "boundary_vertices")
+SHAPES = ("road_segments", "river_segments", "landuse_boxes")
 
 
-@query(f"{RELIEF} {RELIEF_LAYERS}", "grid_cells")
+@query(f"{RELIEF} {RELIEF_LAYERS}", *PLACES)
 def topography_features(d):
     return rounded(L.topography_features(sources(d)[0]), "value", 4)
 
 
-@query(f"{RELIEF}, {ROADS}, {ACTIVITY}, {LAND} {RELIEF_LAYERS} UNION ALL {distance_sql('d_activity').format('activity')} UNION ALL {distance_sql('d_roads').format('roads')}", "grid_cells", "road_segments", "landuse_boxes")
+@query(f"{RELIEF}, {ROADS}, {RIVERS}, {ACTIVITY} {RELIEF_LAYERS} UNION ALL {distance_sql('d_activity').format('activity')} UNION ALL {distance_sql('d_roads').format('roads')} UNION ALL {distance_sql('d_rivers').format('rivers')}", *PLACES, *SHAPES)
 def static_features(d):
     far = F.col("layer").startswith("d_")
     return L.static_features(sources(d)[0]).withColumn("value", F.when(far, F.round("value", 6)).otherwise(F.round("value", 4)))
 
 
-@query()
+CLIMATE_IN = f"{INSIDE}, {CLIMATE}, {bilinear_sql('mean', 'season, var', 'aligned')}"
+
+
+@query(CLIMATE_IN + " SELECT season, var AS layer, row, col, round(value, 6) AS value FROM aligned", *PLACES, "climate_obs")
+def climate_features(d):
+    """From samples with coordinates, which come north up first."""
+    s, c = sources(d)
+    at = d.climate_obs.withColumns({"easting": 550000.0 + F.col("col") * 150.0, "northing": 220000.0 - F.col("row") * 150.0}).drop("row", "col")
+    return rounded(L.climate_features(replace(s, climate=at), c), "value")
+
+
+NDVI_IN = f"""{NDVI_DATED}, green AS (SELECT {OBS_SEASON} AS season, row, col, avg(CAST({NDVI} AS DOUBLE)) AS value FROM dated WHERE month(obs_date) BETWEEN 3 AND 11 AND year(obs_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2, 3),
+    {bilinear_sql('green', 'season', 'greened')}"""
+
+
+@query(f"{CLIMATE_IN}, {NDVI_IN} SELECT season, var AS layer, row, col, round(value, 6) AS value FROM aligned UNION ALL SELECT season, 'ndvi', row, col, round(value, 6) FROM greened", *PLACES, "climate_obs", "ndvi_obs")
 def seasonal_features(d):
-    return L.seasonal_features(*sources(d))
+    return rounded(L.seasonal_features(*sources(d)), "value")
 
 
-#: As SMOOTH, for incidents inside the boundary and each season at once.
-SEASONAL = f"""{inside_sql("incidents", "easting", "northing", "hit")}, {CELL.replace("FROM incidents", "FROM hit")}, {LAND},
-    n AS (SELECT {SEASON} AS season, row, col, count(*) AS n FROM on_grid WHERE month(call_date) BETWEEN 3 AND 11 AND year(call_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2, 3), {weights_sql()},
-    fold AS (SELECT row, col, a.w * b.w AS w, {HEIGHT} AS h, ((row + a.o) % (2 * {HEIGHT}) + 2 * {HEIGHT}) % (2 * {HEIGHT}) AS u, ((col + b.o) % 100 + 100) % 100 AS v FROM grid_cells SEMI JOIN land USING (row, col), k a, k b)
-    SELECT season, f.row, f.col, round(sum(w * n), 6) AS density FROM fold f JOIN n ON n.row = CASE WHEN u < h THEN u ELSE 2 * h - 1 - u END AND n.col = CASE WHEN v < 50 THEN v ELSE 99 - v END GROUP BY 1, 2, 3"""
+#: As SMOOTH and LABELS, for incidents inside the boundary and each season at once.
+SEASONAL = f"""{INSIDE}, {within_sql("incidents", "easting", "northing", "hit")}, {CELL.replace("FROM incidents", "FROM hit")},
+    seasoned AS (SELECT {SEASON} AS season, row, col FROM on_grid WHERE month(call_date) BETWEEN 3 AND 11 AND year(call_date) BETWEEN 1995 AND 1999),
+    counted AS (SELECT season, row, col, count(*) AS n FROM seasoned GROUP BY 1, 2, 3), {weights_sql()},
+    fold AS (SELECT row, col, a.w * b.w AS w, {HEIGHT} AS h, ((row + a.o) % (2 * {HEIGHT}) + 2 * {HEIGHT}) % (2 * {HEIGHT}) AS u, ((col + b.o) % 100 + 100) % 100 AS v FROM grid_cells SEMI JOIN land USING (row, col), k a, k b),
+    dense AS (SELECT season, f.row, f.col, round(sum(w * n), 6) AS density FROM fold f JOIN counted n ON n.row = CASE WHEN u < h THEN u ELSE 2 * h - 1 - u END AND n.col = CASE WHEN v < 50 THEN v ELSE 99 - v END GROUP BY 1, 2, 3),
+    cuts AS (SELECT season, quantile_cont(density, 0.6) AS p60, quantile_cont(density, 0.75) AS p75, quantile_cont(density, 0.9) AS p90 FROM dense WHERE density > 0 GROUP BY 1),
+    labels AS (SELECT season, row, col, density, CASE WHEN density >= p90 THEN 3 WHEN density >= p75 THEN 2 WHEN density >= p60 THEN 1 WHEN density > 0 THEN 0 END AS label FROM dense JOIN cuts USING (season))"""
 
 
-@query(SEASONAL, "grid_cells", "incidents", "boundary_vertices")
+@query(SEASONAL + " SELECT season, row, col, density, label FROM labels", *PLACES, "incidents")
 def seasonal_labels(d):
-    return rounded(L.seasonal_labels(*sources(d)), "density").select("season", "row", "col", "density")
+    return L.seasonal_labels(*sources(d))
+
+
+def km_sql(cells: str, keys: str = "") -> str:
+    own = f"{keys}, " if keys else ""
+    return f"SELECT {own}l.row, l.col, min(sqrt((l.row - p.row) * (l.row - p.row) + (l.col - p.col) * (l.col - p.col))) * 0.03 AS km FROM land l, {cells} p GROUP BY {own}l.row, l.col"
+
+
+def dataset_sql() -> str:
+    far = ", ".join(f"far_{x} AS ({km_sql(x)})" for x in ("roads", "rivers", "activity"))
+    climate = "wide AS (SELECT season, row, col, " + ", ".join(f"max(value) FILTER (var = '{v}') AS {v}" for v in ("tas", "rainfall", "hurs")) + " FROM aligned GROUP BY 1, 2, 3)"
+    columns = {"elevation": "z", "slope": "degrees(atan(sqrt(dx * dx + dy * dy)))", "aspect": "(degrees(atan2(-dy, dx)) + 360) % 360"}
+    columns |= {"d_roads": "a.km", "d_rivers": "b.km", "d_activity": "c.km", "tas": "tas", "rainfall": "rainfall", "hurs": "hurs", "ndvi": "greened.value", "d_fires": "fires.km", "label": "labels.label"}
+    picked = ", ".join(f"CAST({e} AS FLOAT) AS {c}" for c, e in columns.items())
+    return f"""{SEASONAL}, {TERRAIN}, {ROADS}, {RIVERS}, {ACTIVITY}, {far}, fires AS ({km_sql("(SELECT DISTINCT * FROM seasoned)", "season")}),
+        {CLIMATE}, {bilinear_sql('mean', 'season, var', 'aligned')}, {climate}, {NDVI_IN}
+        SELECT x.season, land.row, land.col, {picked} FROM land CROSS JOIN (VALUES ('SPRING'), ('SUMMER'), ('FALL')) x(season) JOIN t USING (row, col)
+        LEFT JOIN far_roads a USING (row, col) LEFT JOIN far_rivers b USING (row, col) LEFT JOIN far_activity c USING (row, col) LEFT JOIN fires ON fires.season = x.season AND fires.row = land.row AND fires.col = land.col
+        LEFT JOIN wide ON wide.season = x.season AND wide.row = land.row AND wide.col = land.col LEFT JOIN greened ON greened.season = x.season AND greened.row = land.row AND greened.col = land.col
+        LEFT JOIN labels ON labels.season = x.season AND labels.row = land.row AND labels.col = land.col"""
 
 
-@query(f"{LAND} SELECT season, count(*) AS rows, round(sum(CAST(elevation AS DOUBLE)), 3) AS elevation FROM land JOIN grid_cells USING (row, col), (VALUES ('SPRING'), ('SUMMER'), ('FALL')) s(season) GROUP BY 1", "grid_cells")
+ALL = (*PLACES, "incidents", *SHAPES, "climate_obs", "ndvi_obs")
+
+
+@query(dataset_sql(), *ALL)
 def assemble_dataset(d):
-    """Rows by season of the assembled dataset, and the sum of a layer that all seasons share."""
-    return L.assemble_dataset(*sources(d)).groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("elevation").cast("double")), 3).alias("elevation"))
+    """The whole dataset: eleven features and d_fires here, as the sample has three climate variables, and the label."""
+    return L.assemble_dataset(*sources(d))
 
 
-@query()
+@query(dataset_sql(), *ALL)
 def full_pipeline(d):
-    return L.full_pipeline(*sources(d))
+    """The same by way of its files, one folder a season."""
+    return L.full_pipeline(*sources(d), path=T.shared_path(d.spark, "dataset"))
+
+
+PROFILE = f"""s AS (SELECT {SEASON} AS season, year(call_date) AS year FROM incidents), names(season) AS (VALUES ('WINTER'), ('SPRING'), ('SUMMER'), ('FALL')),
+    years AS (SELECT year, count(*) AS total FROM s GROUP BY 1), n AS (SELECT season, year, count(*) AS n FROM s GROUP BY 1, 2), asked AS (SELECT CAST(y AS INT) AS year FROM range(1995, 2002) r(y))"""
+
+
+@query(f"""{PROFILE} SELECT 'share' AS measure, season, CAST(NULL AS INT) AS year, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s) AS value FROM s GROUP BY season
+    UNION ALL SELECT 'count', names.season, asked.year, CAST(coalesce(n, 0) AS DOUBLE) FROM names CROSS JOIN asked LEFT JOIN n ON n.season = names.season AND n.year = asked.year
+    UNION ALL SELECT 'percent', names.season, years.year, 100.0 * coalesce(n, 0) / total FROM names CROSS JOIN years LEFT JOIN n ON n.season = names.season AND n.year = years.year""", "incidents")
+def season_profile(d):
+    return L.season_profile(d.incidents, YEARS)
+
+
+def profile_sql(source: str, season: str) -> str:
+    part = f"(SELECT * FROM {source} WHERE season = '{season}')"
+    lacking = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(100.0 * count(*) FILTER ({c} IS NULL) / nullif(count(*), 0), 1) AS lacking_pct FROM {part} WHERE {MISSING}" for c in NAMES)
+    return f"SELECT '{season}' AS season, a.*, b.lacking_pct FROM ({describe_sql(part, NAMES)}) a LEFT JOIN ({lacking}) b USING (feature)"
+
+
+@query(f"{SEASONED} {profile_sql('s', 'SPRING')} UNION ALL {profile_sql('s', 'FALL')}", *BOTH)
+def dataset_profile(d):
+    df = feature_table(d).withColumn("season", F.when(F.col("row") % 2 == 0, "SPRING").otherwise("FALL"))
+    out = L.dataset_profile(df, NAMES)
+    return out.select("season", "feature", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("season", "feature", "n", "lacking_pct")], "lacking_pct")
+
+
+# --- sources and sinks: what is written and read again ---
+
+
+@query("SELECT call_date, easting, northing, vehicles FROM incidents", "incidents")
+def read_incidents(d):
+    """From a file with the source's column names, one more column, and dates as text."""
+    path = T.shared_path(d.spark, "incidents")
+    names = {v: k for k, v in T.INCIDENT_COLUMNS.items()}
+    raw = d.incidents.select(F.col("incident_id").alias("Other"), *[(F.date_format(c, "dd/MM/yyyy") if c == "call_date" else F.col(c)).alias(n) for c, n in names.items()])
+    T.write_csv(raw, path)
+    return T.read_incidents(d.spark, path)
+
+
+@query("SELECT row, col, CAST(elevation AS FLOAT) AS value FROM grid_cells", "grid_cells")
+def read_cells(d):
+    """A layer out of two, with NaN for what is missing in the file."""
+    path = T.shared_path(d.spark, "cells")
+    layer = d.grid_cells.select(F.lit("elevation").alias("layer"), "row", "col", F.coalesce("elevation", F.lit(float("nan"))).alias("value"))
+    T.write_cells(layer.union(layer.withColumns({"layer": F.lit("other"), "value": F.lit(1.0)})), path)
+    return T.read_cells(d.spark, path, "elevation").select("row", "col", "value")
+
+
+@query("SELECT CAST(feature_id AS VARCHAR) AS feature_id, fclass, easting, northing FROM (" + bng_sql("(SELECT feature_id, fclass, xmin / 550000.0 - 0.5 AS lon, 51.0 + ymin / 440000.0 AS lat FROM landuse_boxes WHERE fclass IN ('household', 'machinery'))", "placed").join(["WITH ", " SELECT feature_id, fclass, round(easting, 2) AS easting, round(northing, 2) AS northing FROM placed)"]), "landuse_boxes")
+def read_vector_layer(d):
+    """One layer of a vertex table, filtered by class, from degrees to the national grid."""
+    path = T.shared_path(d.spark, "vertices")
+    v = d.landuse_boxes.select(F.lit("landuse").alias("layer"), F.col("feature_id").cast("string").alias("feature_id"), "fclass", (F.col("xmin") / 550000.0 - 0.5).alias("x"), (F.lit(51.0) + F.col("ymin") / 440000.0).alias("y"))
+    v.union(v.withColumn("layer", F.lit("buildings"))).write.parquet(path)
+    got = T.read_layer(d.spark, path, "landuse", "fclass", FCLASSES, degrees=True)
+    return got.select("feature_id", "fclass", F.round("x", 2).alias("easting"), F.round("y", 2).alias("northing"))
+
+
+@query("SELECT name AS feature_id, name, 'Polygon' AS kind, 0 AS part, 0 AS ring, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM regions UNION ALL SELECT CAST(feature_id AS VARCHAR), NULL, 'LineString', 0, 0, 0, x1, y1 FROM road_segments UNION ALL SELECT CAST(feature_id AS VARCHAR), NULL, 'LineString', 0, 0, 1, x2, y2 FROM road_segments", "regions", "road_segments")
+def read_geojson(d):
+    """Polygons and lines, written as GeoJSON features and read again."""
+    path = T.shared_path(d.spark, "geojson")
+    polygons = d.regions.select(F.col("name").alias("feature_id"), "name", F.lit("Polygon").alias("kind"), F.lit(0).alias("part"), "ring", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    end = lambda k: d.road_segments.select(F.col("feature_id").cast("string"), F.lit(None).cast("string").alias("name"), F.lit("LineString").alias("kind"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(k - 1).alias("seq"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    T.write_geojson(polygons.union(end(1)).union(end(2)), path)
+    return T.read_geojson(d.spark, path, lines=True)
+
+
+@query("SELECT row, col, elevation FROM grid_cells", "grid_cells")
+def read_csv(d):
+    path = T.shared_path(d.spark, "csv")
+    T.write_csv(d.grid_cells, path)
+    return T.read_csv(d.spark, path, d.grid_cells.schema)
+
+
+@query(SPLITS_SQL, "incidents", "boundary_vertices")
+def write_splits(d):
+    path = T.shared_path(d.spark, "splits")
+    T.write_splits(I.incident_splits(d.incidents, d.edges, SPLITS).where("split IS NOT NULL"), path)
+    return d.spark.read.parquet(path).select("incident_id", "season", "split")
+
+
+@query("SELECT row, col, elevation, CAST(NULL AS DOUBLE) AS twice FROM grid_cells UNION ALL SELECT row, col, NULL, elevation * 2 FROM grid_cells", "grid_cells")
+def open_many(d):
+    """Two folders, each with a column that the other one lacks."""
+    a, b = T.shared_path(d.spark, "one"), T.shared_path(d.spark, "two")
+    d.grid_cells.write.parquet(a)
+    d.grid_cells.select("row", "col", (F.col("elevation") * 2).alias("twice")).write.parquet(b)
+    return T.open_many(d.spark, [a, b]).select("row", "col", "elevation", "twice")
+
+
+@query("SELECT 'a' AS name, row, col FROM grid_cells UNION ALL SELECT 'b', row, col FROM grid_cells WHERE elevation IS NOT NULL", "grid_cells")
+def write_if_absent(d):
+    """A set of two outputs, made once: the second call finds both complete and doesn't make them."""
+    paths = {name: T.shared_path(d.spark, name) for name in ("a", "b")}
+    T.write_if_absent(d.spark, paths, lambda: {"a": d.grid_cells.select("row", "col"), "b": d.land})
+    got = T.write_if_absent(d.spark, paths, lambda: {name: d.land.limit(0) for name in paths})
+    return got["a"].select(F.lit("a").alias("name"), "row", "col").union(got["b"].select(F.lit("b").alias("name"), "row", "col"))
+
+
+@query(f"SELECT incident_id, concat('fires_', {SEASON}) AS name FROM incidents", "incidents")
+def seasonal_name(d):
+    return d.incidents.select("incident_id", G.seasonal_name(F.lit("fires"), G.season_of_month(F.month("call_date"))).alias("name"))

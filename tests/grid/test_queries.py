@@ -5,7 +5,7 @@ import pytest
 
 from gridfire.queries import ORACLE_SQL, QUERIES
 
-TABLES = ["customer", "lineitem", "orders", "part", "supplier"]
+TABLES = ["customer", "lineitem", "nation", "orders", "part", "supplier"]
 
 
 @pytest.fixture(scope="module")
