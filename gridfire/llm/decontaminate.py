@@ -146,11 +146,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Seeds are all word n-grams of an item: a common one may be all that a partial copy shares with it. Texts with a
     seed are aligned with the item around it; the score is that of the best alignment (match 2, mismatch -1, gap -1)
-    divided by that of a full copy. Nothing is shuffled: items go to the tasks in blocks of bounded size, and each
-    block passes over all texts. Null and empty texts and
-    items match nothing; repeated rows are reported as often as they come; empty tables give no rows.
+    divided by that of a full copy. An alignment is found if it holds a run of ``n`` words of its item; one of score over
+    0.5 without words put in always does, for the default n. Nothing is shuffled: items go to the tasks in blocks of
+    bounded size, and each block passes over all texts once. Null and empty texts and items match nothing; repeated rows
+    are reported as often as they come; empty tables give no rows. If both ids have one name, the item's gets an underscore.
     """
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_id, items.schema[item_id].dataType)]).add("score", "double").add("first_word", "long").add("end_word", "long")
+    (item_name,) = fresh([id_col], item_id)
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_name, items.schema[item_id].dataType)]).add("score", "double").add("first_word", "long").add("end_word", "long")
     schema = to_arrow_schema(out)
     rows = docs.select(f"`{id_col}`", text_of(text_col).alias("text_"))
     found = None
@@ -172,7 +174,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, least: float = 0.5, block_chars: int = 4 << 20) -> DataFrame:
-    """``docs``, in the columns it has, without the documents in which ``find_leaks`` finds an item."""
+    """``docs``, in the columns it has, without the documents in which ``find_leaks`` finds an item.
+
+    Null and empty texts stay, as does each of repeated rows without a match; without items all rows stay.
+    """
     (text,) = fresh(docs, "text_")
     out = docs
     for block in blocks(items, item_id, item_text, n, block_chars):

@@ -57,9 +57,9 @@ def features(text: str, lexicon: Lexicon, reach: int = 5) -> list[float]:
     bare = {w: w.strip(MARKS) for w in set(words)}
     insults = {w for w, x in bare.items() if x in _INSULTS}
     known = {w: s for w, x in bare.items() if (s := lexicon.stem(x))}
-    odd = [w for w, x in bare.items() if x and not x.isalpha() and len(x) < 40]
+    odd = [w for w, x in bare.items() if x and not x.isalpha()]
     triple = bool(((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & _LETTERS[raw[2:]]).any()) if len(raw) > 2 else False
-    stretched = [w for w in bare if len(w) < 40 and STRETCHED.search(w)] if triple else []
+    stretched = [w for w in bare if STRETCHED.search(w)] if triple else []
     disguised = {w for w in {*odd, *stretched} if w not in insults and w not in known and ((x := plain(bare[w])) in _INSULTS or lexicon.stem(x))}
     singles = [i for i, w in enumerate(words) if len(bare[w]) == 1] if sum(len(x) == 1 for x in bare.values()) >= 3 else []
     spelled, k = 0, 0
@@ -231,7 +231,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int =
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[Trees, Lexicon], text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the score, 0 to 1, of the whole text; null text counts as empty."""
+    """``docs`` with the score, 0 to 1, of the whole text, in ``_name`` if the column is there already; null text counts as empty."""
     (text,) = fresh(docs, "text_")
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
