@@ -384,10 +384,10 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", name: str
     return map_batches(rows, ids_col, run, T.StructType().add(name, "string"), keep=keep, rows=256, arrow_in=True)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, derive: Callable[[pa.ListArray, list[bytes]], dict], schema: T.StructType, text_col: str = "text", keep: list[str] | None = None, table: int = 600_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str, derive: Callable[[pa.Array, pa.ListArray, list[bytes]], dict], schema: T.StructType, text_col: str = "text", keep: list[str] | None = None, table: int = 600_000) -> DataFrame:
     """``docs`` with columns made from the ids of ``bpe_encode`` and the text of ``bpe_decode`` (as UTF-8), in one pass over the texts.
 
-    ``derive`` gets the texts of a slice as lists of ids and as decoded bytes, and returns the columns of ``schema``.
+    ``derive`` gets the texts of a slice, their lists of ids and the decoded bytes, and returns the columns of ``schema``.
     """
     shared = _shared(docs.sparkSession, vocabulary)
     rows, text, keep = _texts(docs, text_col, keep)
@@ -397,12 +397,21 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, derive: Callable[[pa.ListAr
         if not made:
             made.append(Encoder(shared.value, table))
         ids = lists_of(*made[0](texts))
-        return derive(ids, [x.decode("utf-8", "replace").encode() for x in decoded_bytes(ids, shared.value).to_pylist()])
+        return derive(texts, ids, [x.decode("utf-8", "replace").encode() for x in decoded_bytes(ids, shared.value).to_pylist()])
 
     return map_batches(rows, text, run, schema, keep=keep, rows=4096, most_bytes=BATCH_BYTES, arrow_in=True)
 
 
-def digests(ids: pa.ListArray, decoded: list[bytes]) -> dict:
+def checked(texts: pa.Array, ids: pa.ListArray, decoded: list[bytes]) -> dict:
+    """``n_tokens``, ``ids``, and whether these decode to the text."""
+    same = [t.encode() == d for t, d in zip(texts.to_pylist(), decoded, strict=True)]
+    return {"n_tokens": ids.value_lengths().cast("int64"), "ids": ids, "round_trip": same}
+
+
+CHECKED = T.StructType().add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
+
+
+def digests(texts: pa.Array, ids: pa.ListArray, decoded: list[bytes]) -> dict:
     """``n_tokens``, SHA-256 of the decimal ids joined by commas, and of the decoded text."""
     n = int(pc.max(ids.values).as_py() or 0) + 1 if len(ids.values) else 1
     decimal = pa.array(map(str, range(n)), pa.string()).take(ids.values)

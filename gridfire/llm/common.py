@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +33,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared checkpoint folder; its lineage ends there."""
-    scratch(df.sparkSession, "unused")
-    return df.checkpoint()
-
-
 #: Spark's own setting: shuffle files go when the query that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's own setting: rows of an Arrow batch.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs inside; what was set before comes back."""
+    keys = {CLEANUP: "true"} | {BATCH_ROWS if k == "batch_rows" else k: v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def checkpointed(df: DataFrame, batch_rows: int = 10_000) -> DataFrame:
+    """``df`` computed and kept in the shared checkpoint folder; its lineage ends there."""
+    scratch(df.sparkSession, "unused")
+    with settings(df.sparkSession, batch_rows=str(batch_rows)):
+        return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads don't run its plan again, and its shuffle files go."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,8 @@ from .common import checkpointed, map_batches, text_of
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, or 2 in 100,000; of 0.85, 4 in 100 million.
 BANDS, ROWS = 36, 6
+#: Rows of an Arrow batch where rows hold whole texts.
+SMALL = 500
 _RANDOM = np.random.default_rng(42)
 FLIPS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -77,7 +79,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets = [shingle_hashes(t, width) for t in texts]
         return {"set": [xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s) if len(s) else None for s in sets]}
 
-    known = checkpointed(map_batches(rows, "text", digest, T.StructType().add("set", "binary").add("bands", T.ArrayType(T.LongType())), keep=["id"], rows=64))
+    known = checkpointed(map_batches(rows, "text", digest, T.StructType().add("set", "binary").add("bands", T.ArrayType(T.LongType())), keep=["id"], rows=64), SMALL)
     classes = known.groupBy("set").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("bands").alias("bands"))
     copies = known.select("id", "set").join(classes.where("rep <> last").select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     banded = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
@@ -92,7 +94,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         inner = small.join(small.select("band", "value", F.col("id").alias("other")), ["band", "value"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
         meets = large.join(heads, ["band", "value"])
         outer = meets.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-        links = checkpointed(similar(inner.union(outer).distinct(), texts, width, least))
+        links = checkpointed(similar(inner.union(outer).distinct(), texts, width, least), SMALL)
         edges = edges.union(links)
         settled = meets.join(links, (F.col("a") == F.least("id", "head")) & (F.col("b") == F.greatest("id", "head"))).select("band", "value", "id")
         gone = settled.union(heads.select("band", "value", F.col("head").alias("id"))).distinct()

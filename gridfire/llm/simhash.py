@@ -39,7 +39,7 @@ def fingerprint(text: str, width: int = 3, block: int = 8192) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", width: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with a long column of fingerprints; null text counts as empty."""
+    """``docs`` with a long column of fingerprints, ``_name`` if there is such a column already; null text counts as empty."""
     (text,) = fresh(docs, "text_")
     keep = docs.columns if keep is None else keep
     rows = docs.withColumn(text, text_of(text_col)).select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
@@ -93,7 +93,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest id. Null text counts as empty, and empty texts have fingerprint zero, which links like any other. Rows
     with a null id take part in no link and have a null component; repeated rows are returned as often as they come.
     """
-    fps = checkpointed(fingerprints(docs, text_col, "fingerprint", width, keep=[id_col]))
+    fps = checkpointed(fingerprints(docs, text_col, "fingerprint", width, keep=[id_col]), 1000)
     ids = fps.where(F.col(f"`{id_col}`").isNotNull())
     classes = ids.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("rep"))
     pairs = near_pairs(classes.select("fp"))

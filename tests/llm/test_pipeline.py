@@ -3,6 +3,7 @@ import pytest
 from gridfire.llm import decontaminate, gam, queries
 from gridfire.llm.bpe import Encoder, Vocabulary
 
+from .test_jaccard import groups_of, similar_pairs
 from .test_simhash_bpe import components_of, plain_fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -19,7 +20,9 @@ def test_stages_match_brute_force(spark):
     for i in sorted(good):
         first.setdefault(rows[i].text, i)
     unique = sorted(first.values())
-    component = components_of({i: plain_fingerprint(rows[i].text or "") for i in unique})
+    texts = {i: rows[i].text or "" for i in unique}
+    linked = [*components_of({i: plain_fingerprint(t) for i, t in texts.items()}).items(), *similar_pairs(texts)]  # 2 bits, or 0.8 of the shingles of five words
+    component = groups_of(texts, linked)
     alone = [i for i in unique if component[i] == i]
     items = decontaminate.find_leaks(docs.where(docs.doc_id.isin(alone)), queries.table(spark, sf_dir, "benchmark"))
     leaks = {r.doc_id for r in items.collect()}
