@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridfire.llm import bpe, decontaminate, exact, gam, queries, simhash
 from gridfire.llm.common import written
@@ -31,10 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    vocabulary = queries.vocabulary_path()
-    decoded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return bpe.bpe_round_trip(docs, queries.vocabulary_path(), bpe.checked, bpe.CHECKED, keep=["doc_id"])
 
 
 STAGES = [

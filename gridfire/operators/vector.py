@@ -84,9 +84,11 @@ def cells_inside(edges: DataFrame, grid: Grid, name: str = "name", by: tuple[str
     )
     runs = lines.select(name, *by, "row", F.explode(F.filter(F.transform(F.sequence(F.lit(0), (F.size("x_") / 2).cast("int") - 1), pair), lambda p: p["l"] <= p["r"])).alias("p"))
     inside = runs.select(name, *by, "row", F.explode(F.sequence("p.l", "p.r")).alias("col"))
-    # centres on a level edge are on the outline
+    # centres on a level edge or on a vertex are on the outline
     left, right = F.greatest(F.lit(0), F.ceil(col(F.least("x1", "x2")))).cast("int"), F.least(F.lit(grid.width - 1), F.floor(col(F.greatest("x1", "x2")))).cast("int")
-    level = edges.where((F.col("y1") == F.col("y2")) & (at(F.col("y1")) == F.floor(at(F.col("y1"))))).select(name, *by, at(F.col("y1")).cast("int").alias("row"), left.alias("l_"), right.alias("r_")).where("l_ <= r_")
+    on_line = edges.where(at(F.col("y1")) == F.floor(at(F.col("y1")))).select(name, *by, at(F.col("y1")).cast("int").alias("row"), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    vertex = on_line.where(col(F.col("x1")) == F.floor(col(F.col("x1")))).select(name, *by, "row", col(F.col("x1")).cast("int").alias("l_"), col(F.col("x1")).cast("int").alias("r_"))
+    level = on_line.where("y1 = y2").select(name, *by, "row", left.alias("l_"), right.alias("r_")).where("l_ <= r_").union(vertex)
     return inside.join(level.select(name, *by, "row", F.explode(F.sequence("l_", "r_")).alias("col")), [name, *by, "row", "col"], "left_anti")
 
 
