@@ -67,9 +67,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Edges (``a``, ``b``) of ids, which join documents of similarity ``least`` or more; they give the groups, not all pairs.
 
     Documents of equal shingles form a class first, named by its smallest id. Classes that share a band are candidates.
-    In a band of ``few`` classes or less all pairs are verified. In a larger one each class is verified against some
-    classes of the band, the smallest id of each of a few slots; what is similar to none of them meets twice as many in
-    the next round, until nothing is left. So a large group makes pairs in proportion to its size. Two classes of one
+    In a band of ``few`` classes or less all pairs are verified. In a larger one each class is verified against the
+    smallest id of the band; what isn't similar to it meets the smallest ids of two slots in the next round, then of
+    four, and so on, until nothing is left. So a large group makes pairs in proportion to its size. Two classes of one
     large band that each were similar to another one are not compared there. Texts without a word are one class; rows
     with a null id have no edge.
     """
@@ -86,7 +86,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = checkpointed(banded.join(full.select("band", "value"), ["band", "value"]))
     texts = checkpointed(rows.join(open_.select("id").distinct(), "id", "left_semi"))
-    edges, slots = copies, 4
+    edges, slots = copies, 1
     while not open_.isEmpty():
         sized = open_.join(open_.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["band", "value"])
         small, large = sized.where(F.col("n") <= few).drop("n"), sized.where(F.col("n") > few).drop("n")
