@@ -6,13 +6,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import checkpointed, map_batches, text_of
+from .components import connected_components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, or 2 in 100,000; of 0.85, 4 in 100 million.
 BANDS, ROWS = 36, 6
@@ -63,15 +64,46 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return both.mapInArrow(run, out).distinct()
 
 
+def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float, step: float = 1.02) -> DataFrame:
+    """Pairs (``a``, ``b``) of different labels that may have a similarity of ``least`` or more: none that has is missing.
+
+    ``sets`` has ``id`` and ``shingles`` (hashes, each once); ``labels`` (``node``, ``component``) may leave ids out.
+    Sets of n and m shingles at that similarity share least / (1 + least) * (n + m), so in any order of all shingles,
+    rare ones first, each side holds a shared one among its first. How many are the first depends on the size of the
+    other side, hence keys are a shingle with a class of sizes (each ``step`` times the one before) of the smaller set;
+    a set stands for its own class and looks into the classes of what it may be similar to. Where one label holds most
+    rows of a key, only what is of another label meets them, so a large group of known copies makes no pairs.
+    """
+    size_class = lambda n: F.floor(F.log(n) / F.lit(float(np.log(step))) + 1e-9)
+    share = least / (1 + least)
+    first = lambda n, other: n - F.ceil(share * (n + other) - 1e-9) + 1
+    lowest = lambda k: F.greatest(F.lit(1), F.ceil(F.pow(F.lit(step), k) * (1 - 1e-9) - 1e-6))
+    n = F.col("n")
+    named = sets.join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    ranked = named.join(named.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
+    smallest = F.ceil(least * n - 1e-9)
+    ranked = checkpointed(ranked.where((F.col("at") <= n - smallest + 1) & (F.col("df") > 1)).drop("df"))
+    short = ranked.withColumn("k", size_class(n)).where(F.col("at") <= first(n, lowest(F.col("k")))).drop("at")
+    long = ranked.withColumn("k", F.explode(F.sequence(size_class(smallest), size_class(n)))).where(F.col("at") <= first(n, F.greatest(lowest(F.col("k")), smallest))).drop("at")
+    counts = short.union(long.select(short.columns)).groupBy("k", "s", "label").agg(F.count(F.lit(1)).alias("rows"))
+    main = counts.groupBy("k", "s").agg(F.max_by("label", "rows").alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("k", "s", "main")
+    short, long = short.join(main, ["k", "s"]), long.join(main, ["k", "s"]).select("k", "s", "main", F.col("id").alias("id_"), F.col("label").alias("label_"), F.col("n").alias("n_"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        fits = (F.col("label") != F.col("label_")) & (least * F.greatest("n", "n_") <= F.least("n", "n_") + 1e-9)
+        return x.drop("main").join(y.drop("main"), ["k", "s"]).where(fits).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+
+    return meet(short.where("label <> main"), long).union(meet(short.where("label = main"), long.where("label_ <> main"))).distinct()
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, few: int = 16) -> DataFrame:
     """Edges (``a``, ``b``) of ids, which join documents of similarity ``least`` or more; they give the groups, not all pairs.
 
     Documents of equal shingles form a class first, named by its smallest id. Classes that share a band are candidates.
     In a band of ``few`` classes or less all pairs are verified. In a larger one each class is verified against the
-    smallest id of the band; what isn't similar to it meets the smallest ids of two slots in the next round, then of
-    four, and so on, until nothing is left. So a large group makes pairs in proportion to its size. Two classes of one
-    large band that each were similar to another one are not compared there. Texts without a word are one class; rows
-    with a null id have no edge.
+    band's hub, the class that is in the largest bands; that joins nearly all of a group of copies, in proportion to
+    its size. What is not joined then is found by ``prefix_pairs`` over all classes of large bands, so no link between
+    two groups is lost there. Texts without a word are one class; rows with a null id have no edge.
     """
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
@@ -84,20 +116,18 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = known.select("id", "set").join(classes.where("rep <> last").select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     banded = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
     full = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = checkpointed(banded.join(full.select("band", "value"), ["band", "value"]))
-    texts = checkpointed(rows.join(open_.select("id").distinct(), "id", "left_semi"))
-    edges, slots = copies, 1
-    while not open_.isEmpty():
-        sized = open_.join(open_.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["band", "value"])
-        small, large = sized.where(F.col("n") <= few).drop("n"), sized.where(F.col("n") > few).drop("n")
-        heads = checkpointed(large.groupBy("band", "value", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min("id").alias("head")).drop("slot"))
-        inner = small.join(small.select("band", "value", F.col("id").alias("other")), ["band", "value"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        meets = large.join(heads, ["band", "value"])
-        outer = meets.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-        links = checkpointed(similar(inner.union(outer).distinct(), texts, width, least), SMALL)
-        edges = edges.union(links)
-        settled = meets.join(links, (F.col("a") == F.least("id", "head")) & (F.col("b") == F.greatest("id", "head"))).select("band", "value", "id")
-        gone = settled.union(heads.select("band", "value", F.col("head").alias("id"))).distinct()
-        open_ = checkpointed(large.join(gone, ["band", "value", "id"], "left_anti"))
-        slots *= 2
-    return edges
+    shared = checkpointed(banded.join(full, ["band", "value"]))
+    texts = checkpointed(rows.join(shared.select("id").distinct(), "id", "left_semi"), SMALL)
+    small, large = shared.where(F.col("n") <= few).drop("n"), shared.where(F.col("n") > few)
+    inner = small.join(small.select("band", "value", F.col("id").alias("other")), ["band", "value"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    weights = large.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = large.join(weights, "id").groupBy("band", "value").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
+    outer = large.join(hubs, ["band", "value"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    links = checkpointed(similar(inner.union(outer).distinct(), texts, width, least), SMALL)
+    members = checkpointed(weights.select("id"))
+    if members.isEmpty():
+        return copies.union(links)
+    shingles = T.StructType().add("shingles", T.ArrayType(T.LongType()))
+    sets = map_batches(texts.join(members, "id", "left_semi").dropDuplicates(["id"]), "text", lambda xs: {"shingles": [shingle_hashes(x, width).view(np.int64) for x in xs]}, shingles, keep=["id"])
+    rest = similar(prefix_pairs(checkpointed(sets, SMALL), connected_components(links), least), texts, width, least)
+    return copies.union(links).union(checkpointed(rest, SMALL))

@@ -69,3 +69,24 @@ def test_near_copies_go_at_any_distance(spark):
     want = groups_of(texts, [*pairs, *components_of(fps).items()])
     frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_copies(frame).collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    """Every link between two labels is a candidate, at all sizes; one label alone makes no candidates."""
+    rnd = random.Random(3)
+    sets = {}
+    for base in (1, 2, 5, 6, 40, 150, 400):
+        core = [rnd.randrange(10**12) for _ in range(base)]
+        for _ in range(12):
+            kept = rnd.sample(core, rnd.randint(max(1, base * 7 // 10), base))
+            sets[len(sets)] = list({*kept, *(rnd.randrange(10**12) for _ in range(rnd.randint(0, base // 8)))})
+    rows = spark.createDataFrame([*sets.items()], "id long, shingles array<long>")
+    labels = {i: i - i % 3 for i in sets}
+    want = {(a, b) for b in sets for a in range(b) if 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})}
+    for names in ({}, labels):
+        named = spark.createDataFrame([*names.items()], "node long, component long")
+        found = {(r.a, r.b) for r in jaccard.prefix_pairs(rows, named, 0.8).collect()}
+        apart = {p for p in want if names.get(p[0], p[0]) != names.get(p[1], p[1])}
+        assert apart and apart <= found
+    one = spark.createDataFrame([(i, 0) for i in sets], "node long, component long")
+    assert jaccard.prefix_pairs(rows, one, 0.8).count() == 0
