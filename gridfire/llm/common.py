@@ -62,11 +62,11 @@ def checkpointed(df: DataFrame, batch_rows: int = 10_000) -> DataFrame:
         return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int = 10_000) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads don't run its plan again, and its shuffle files go."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with settings(spark):
+    with settings(spark, batch_rows=str(batch_rows)):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import dropped, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -13,11 +13,11 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Each step finds the smallest neighbour of a node by an aggregation with map-side combine and joins it back, so no
     node's neighbours meet in one row or group; Spark splits a hub in the join. Edges are kept distinct. Steps go on
-    until no edge changes: O(log^2 n) of them at most, few in practice. Each step's edges go to the shared checkpoint
-    folder, which ends the lineage. Edges with a null end and loops are left out; no edges give no rows.
+    until no edge changes: O(log^2 n) of them at most, few in practice. Each step's edges are a table in the shared
+    folder, which ends the lineage; the table and shuffle files of the step before go. Edges with a null end and loops are left out; no edges give no rows.
     """
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = checkpointed(pairs)  # u > v: every edge points to the smaller node
+    pairs = written(pairs, "edges")  # u > v: every edge points to the smaller node
     before = None
     for _ in range(rounds):
         both = pairs.union(pairs.select("v", "u"))
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         # small-star: a node and its smaller neighbours go to the smallest of these
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pairs = checkpointed(small)
+        last, pairs = pairs, written(small, "edges")
+        dropped(last)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

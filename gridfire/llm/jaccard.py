@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import checkpointed, map_batches, text_of
+from .common import map_batches, text_of, written
 from .components import connected_components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, or 2 in 100,000; of 0.85, 4 in 100 million.
@@ -82,7 +82,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float, step: float =
     named = sets.join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = named.join(named.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
     smallest = F.ceil(least * n - 1e-9)
-    ranked = checkpointed(ranked.where((F.col("at") <= n - smallest + 1) & (F.col("df") > 1)).drop("df"))
+    ranked = written(ranked.where((F.col("at") <= n - smallest + 1) & (F.col("df") > 1)).drop("df"), "ranked")
     short = ranked.withColumn("k", size_class(n)).where(F.col("at") <= first(n, lowest(F.col("k")))).drop("at")
     long = ranked.withColumn("k", F.explode(F.sequence(size_class(smallest), size_class(n)))).where(F.col("at") <= first(n, F.greatest(lowest(F.col("k")), smallest))).drop("at")
     counts = short.union(long.select(short.columns)).groupBy("k", "s", "label").agg(F.count(F.lit(1)).alias("rows"))
@@ -96,14 +96,15 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float, step: float =
     return meet(short.where("label <> main"), long).union(meet(short.where("label = main"), long.where("label_ <> main"))).distinct()
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, few: int = 16) -> DataFrame:
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, few: int = 16, joined: DataFrame | None = None) -> DataFrame:
     """Edges (``a``, ``b``) of ids, which join documents of similarity ``least`` or more; they give the groups, not all pairs.
 
     Documents of equal shingles form a class first, named by its smallest id. Classes that share a band are candidates.
     In a band of ``few`` classes or less all pairs are verified. In a larger one each class is verified against the
     band's hub, the class that is in the largest bands; that joins nearly all of a group of copies, in proportion to
     its size. What is not joined then is found by ``prefix_pairs`` over all classes of large bands, so no link between
-    two groups is lost there. Texts without a word are one class; rows with a null id have no edge.
+    two groups is lost there. Edges that are known already can be given as ``joined``: what they join isn't compared
+    again in that step. Texts without a word are one class; rows with a null id have no edge.
     """
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
@@ -111,23 +112,24 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets = [shingle_hashes(t, width) for t in texts]
         return {"set": [xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s) if len(s) else None for s in sets]}
 
-    known = checkpointed(map_batches(rows, "text", digest, T.StructType().add("set", "binary").add("bands", T.ArrayType(T.LongType())), keep=["id"], rows=64), SMALL)
+    known = written(map_batches(rows, "text", digest, T.StructType().add("set", "binary").add("bands", T.ArrayType(T.LongType())), keep=["id"], rows=64), "known", SMALL)
     classes = known.groupBy("set").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("bands").alias("bands"))
     copies = known.select("id", "set").join(classes.where("rep <> last").select("set", "rep"), "set").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     banded = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value")).distinct()
     full = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpointed(banded.join(full, ["band", "value"]))
-    texts = checkpointed(rows.join(shared.select("id").distinct(), "id", "left_semi"), SMALL)
+    shared = written(banded.join(full, ["band", "value"]), "shared")
+    texts = written(rows.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
     small, large = shared.where(F.col("n") <= few).drop("n"), shared.where(F.col("n") > few)
     inner = small.join(small.select("band", "value", F.col("id").alias("other")), ["band", "value"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
     weights = large.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = large.join(weights, "id").groupBy("band", "value").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
     outer = large.join(hubs, ["band", "value"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    links = checkpointed(similar(inner.union(outer).distinct(), texts, width, least), SMALL)
-    members = checkpointed(weights.select("id"))
+    links = written(similar(inner.union(outer).distinct(), texts, width, least), "links", SMALL)
+    members = written(weights.select("id"), "members")
     if members.isEmpty():
         return copies.union(links)
     shingles = T.StructType().add("shingles", T.ArrayType(T.LongType()))
     sets = map_batches(texts.join(members, "id", "left_semi").dropDuplicates(["id"]), "text", lambda xs: {"shingles": [shingle_hashes(x, width).view(np.int64) for x in xs]}, shingles, keep=["id"])
-    rest = similar(prefix_pairs(checkpointed(sets, SMALL), connected_components(links), least), texts, width, least)
-    return copies.union(links).union(checkpointed(rest, SMALL))
+    sets = written(sets, "sets", SMALL)
+    rest = similar(prefix_pairs(sets, connected_components(links.union(joined) if joined else links), least), texts, width, least)
+    return copies.union(links).union(written(rest, "rest", SMALL))

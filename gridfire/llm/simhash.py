@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, fresh, map_batches, text_of
+from .common import checkpointed, fresh, map_batches, text_of, written
 from .components import connected_components
 from .jaccard import similar_links
 
@@ -85,6 +85,14 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return fetch(exact, exact, F.col("x") < F.col("y")).union(fetch(probes, table, F.lit(True))).distinct()
 
 
+def simhash_links(fps: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal ``fingerprint`` (``fp``, ``rep``: the smallest id) and the links (``a``, ``b``) between their ids."""
+    classes = fps.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("rep"))
+    pairs = near_pairs(classes.select("fp"))
+    name = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
+    return classes, pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (long), ``component_id``.
 
@@ -94,11 +102,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id take part in no link and have a null component; repeated rows are returned as often as they come.
     """
     fps = checkpointed(fingerprints(docs, text_col, "fingerprint", width, keep=[id_col]), 1000)
-    ids = fps.where(F.col(f"`{id_col}`").isNotNull())
-    classes = ids.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("rep"))
-    pairs = near_pairs(classes.select("fp"))
-    name = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
-    edges = pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    classes, edges = simhash_links(fps, id_col)
     roots = connected_components(edges)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, (F.col("fingerprint") == F.col("fp")) & F.col(f"`{id_col}`").isNotNull(), "left").select(F.col(f"`{id_col}`"), "fingerprint", "component_id")
@@ -110,8 +114,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents are near copies if their fingerprints link as in ``simhash_groups``, or if their shingles of
     ``words`` words have a Jaccard similarity of ``least`` or more, at whatever distance their fingerprints are.
     """
-    groups = simhash_groups(docs, id_col, text_col, width).select(F.col("component_id").alias("a"), F.col(f"`{id_col}`").alias("b"))
-    roots = connected_components(groups.union(similar_links(docs, id_col, text_col, words, least)))
+    fps = checkpointed(fingerprints(docs, text_col, "fingerprint", width, keep=[id_col]), 1000)
+    classes, edges = simhash_links(fps, id_col)
+    copies = fps.join(classes, F.col("fingerprint") == F.col("fp")).select(F.col("rep").alias("a"), F.col(f"`{id_col}`").alias("b")).where("a <> b")
+    links = written(edges.union(copies), "near")
+    roots = connected_components(links.union(similar_links(docs, id_col, text_col, words, least, joined=links)))
     gone = roots.where("component <> node").select(F.col("node").alias("gone_"))
     kept = docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
     return kept.select(*[f"`{c}`" for c in docs.columns])
