@@ -131,5 +131,5 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles = T.StructType().add("shingles", T.ArrayType(T.LongType()))
     sets = map_batches(texts.join(members, "id", "left_semi").dropDuplicates(["id"]), "text", lambda xs: {"shingles": [shingle_hashes(x, width).view(np.int64) for x in xs]}, shingles, keep=["id"])
     sets = written(sets, "sets", SMALL)
-    rest = similar(prefix_pairs(sets, connected_components(links.union(joined) if joined else links), least), texts, width, least)
+    rest = similar(prefix_pairs(sets, connected_components(links if joined is None else links.union(joined)), least), texts, width, least)
     return copies.union(links).union(written(rest, "rest", SMALL))
