@@ -26,7 +26,7 @@ LETTERS = regex.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").full
 WIDEST = 64
 SPREAD = 0x9E3779B97F4A7C15
 #: Bytes of the texts that are worked on together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -238,7 +238,7 @@ class Encoder:
     Words met before, and what stands between two spaces, come from tables that are emptied at ``table`` entries.
     """
 
-    def __init__(self, vocabulary: Vocabulary, table: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, table: int = 300_000):
         self.v, self.table = vocabulary, table
         self.split = regex.compile(PATTERN).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
@@ -352,7 +352,7 @@ def _texts(docs: DataFrame, text_col: str, keep: list[str] | None) -> tuple[Data
     return docs.withColumn(text, text_of(text_col)).select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])]), text, keep
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 600_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", name: str = "ids", keep: list[str] | None = None, table: int = 300_000) -> DataFrame:
     """``docs`` with the token ids of the whole text in array column ``name`` (``_name`` if the column is there already).
 
     The ids are those of the vocabulary's own library without added special tokens; a special token's string within
@@ -384,7 +384,7 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", name: str
     return map_batches(rows, ids_col, run, T.StructType().add(name, "string"), keep=keep, rows=256, arrow_in=True)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str, derive: Callable[[pa.Array, pa.ListArray, list[bytes]], dict], schema: T.StructType, text_col: str = "text", keep: list[str] | None = None, table: int = 600_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str, derive: Callable[[pa.Array, pa.ListArray, list[bytes]], dict], schema: T.StructType, text_col: str = "text", keep: list[str] | None = None, table: int = 300_000) -> DataFrame:
     """``docs`` with columns made from the ids of ``bpe_encode`` and the text of ``bpe_decode`` (as UTF-8), in one pass over the texts.
 
     ``derive`` gets the texts of a slice, their lists of ids and the decoded bytes, and returns the columns of ``schema``.
