@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_length(extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten, by its id, repeat a stretch of them to the end."""
+    h = crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * ((n - a) // len(unit) + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, run_digests
+
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -93,8 +111,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_text": op10_html_text,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
+
 def words_sql(text: str) -> str:
     return f"[x FOR x IN regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
 
