@@ -100,6 +100,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_text": op10_html_text,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 
@@ -127,6 +134,11 @@ def shingles_sql(words: str) -> str:
     return f"[array_to_string({words}[i + 1:i + 5], ' ') FOR i IN range(len({words}) - 4)]"
 
 
+def terms_sql(text: str) -> str:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{capitals}', '{capitals.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": f"""
         WITH known AS (SELECT license, t, list_distinct({shingles_sql("w")}) AS s FROM (SELECT license, t, {words_sql("t")} AS w FROM (VALUES {", ".join(f"('{name}', '{quoted(text)}')" for name, text in TEMPLATES)}) AS v(license, t))),
@@ -149,4 +161,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms_sql("text")} AS w FROM documents),
+        q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({terms_sql("text")}) AS t FROM benchmark) GROUP BY item_id, t),
+        total AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+        held AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY r, doc_id, n, t),
+        weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY t),
+        impacts AS (SELECT r, doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) AS impact FROM held, total),
+        scores AS (SELECT item_id, doc_id, r, CAST(sum(times * w * impact) AS BIGINT) AS score FROM q JOIN weights USING (t) JOIN impacts USING (t) WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, r)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores
+        WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
