@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, cell_center, from_bng
-from ..sources.tables import written
+from ..functions.grid import Grid
+from .resample import resampled
 
 
 def land_mask(cells: DataFrame, land: DataFrame) -> DataFrame:
@@ -39,36 +39,17 @@ def orient_north_up(samples: DataFrame, res: float, anchor: str = "reference") -
     }).drop("e0_", "n0_")
 
 
-def _bilinear(targets: DataFrame, x, y, source: DataFrame, grid: Grid, by: tuple[str, ...], value: str) -> DataFrame:
-    fx, fy = (x - grid.x0) / grid.res, (F.lit(grid.y0) - y) / grid.res
-    inside = targets.withColumns({"fx_": fx - 0.5, "fy_": fy - 0.5}).where((fx >= 0) & (fx < grid.width) & (fy >= 0) & (fy < grid.height))
-    corner = lambda dr, dc: F.struct(
-        (F.floor("fy_") + dr).cast("int").alias("src_row"), (F.floor("fx_") + dc).cast("int").alias("src_col"),
-        ((F.col("fy_") - F.floor("fy_") if dr else 1 - (F.col("fy_") - F.floor("fy_"))) * (F.col("fx_") - F.floor("fx_") if dc else 1 - (F.col("fx_") - F.floor("fx_")))).alias("w"),
-    )
-    near = inside.select("row", "col", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("p")).select("row", "col", "p.*").where("w > 0")
-    known = source.where(F.col(value).isNotNull()).select(*by, F.col("row").alias("src_row"), F.col("col").alias("src_col"), F.col(value).alias("v"))
-    return near.join(known, ["src_row", "src_col"]).groupBy(*by, "row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
+def align_to_reference(source: DataFrame, source_grid: Grid, land: DataFrame, grid: Grid, by: tuple[str, ...] = (), value: str = "value", system: str = "bng", kernel: str = "bilinear", layers: list[tuple] | None = None) -> DataFrame:
+    """The source at the centres of ``land``: see ``resampled`` for coordinate systems, kernels and missing cells.
 
-
-def align_to_reference(source: DataFrame, source_grid: Grid, land: DataFrame, grid: Grid, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
-    """The source at the centres of ``land``, bilinear; missing neighbours give their weight to the others.
-
-    Cells whose centre is off the source, or without any neighbour, have no row. The four neighbours of a cell are
-    found once for all layers named by ``by``.
+    The neighbours of a cell are found once for all layers named by ``by``.
     """
-    x, y = cell_center(grid, F.col("row"), F.col("col"))
-    return _bilinear(land.select("row", "col"), x, y, source, source_grid, by, value)
+    return resampled(source, source_grid, land, grid, by, value, system, kernel, layers)
 
 
-def reproject_resample(source: DataFrame, source_grid: Grid, grid: Grid, inverse=from_bng, value: str = "value") -> DataFrame:
-    """The source on a new grid, bilinear. ``inverse`` sets the columns ``lon``, ``lat`` of a table with ``easting``,
-    ``northing`` of the new grid's system to coordinates of the source's; by default degrees of the national grid.
-    They are written to a table first: a filter on them would else be pushed down with all their steps written out.
-    """
-    x, y = cell_center(grid, F.col("row"), F.col("col"))
-    cells = written(inverse(grid.cells(source.sparkSession).withColumns({"easting": x, "northing": y})).select("row", "col", "lon", "lat"), "coordinates")
-    return _bilinear(cells, F.col("lon"), F.col("lat"), source, source_grid, (), value)
+def reproject_resample(source: DataFrame, source_grid: Grid, grid: Grid, system: str = "degrees", kernel: str = "bilinear", value: str = "value") -> DataFrame:
+    """The source, in a coordinate system of its own, on every cell of a national grid."""
+    return resampled(source, source_grid, grid.cells(source.sparkSession), grid, (), value, system, kernel)
 
 
 def mosaic_tiles(tiles: DataFrame, order: str = "tile_order", value: str = "value") -> DataFrame:

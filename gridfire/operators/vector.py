@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, point_to_cell
+from .resample import crop_window, on_window
 
 #: Edges, counted once for each tile that they are sent to, up to which tiles are broadcast; more are joined by a shuffle on the tile.
 BROADCAST_EDGES = 100_000
@@ -97,6 +98,17 @@ def clip_cells_to_boundary(cells: DataFrame, grid: Grid, edges: DataFrame, name:
     return cells.join(cells_inside(edges, grid, name).select("row", "col"), ["row", "col"], "left_semi")
 
 
+def crop_to_boundary(cells: DataFrame, grid: Grid, edges: DataFrame, name: str = "name") -> tuple[DataFrame, Grid]:
+    """Cells whose centre is inside the boundary, and the grid that is left: the part that the boundary's extent touches.
+
+    ``row`` and ``col`` are counted from the new grid's corner. A boundary off the grid raises.
+    """
+    window = crop_window(edges, grid)
+    if window is None:
+        raise ValueError("the boundary is off the grid")
+    return on_window(clip_cells_to_boundary(cells, grid, edges, name), grid, window), window
+
+
 def rasterize_points(points: DataFrame, grid: Grid, by: tuple[str, ...] = ()) -> DataFrame:
     return point_to_cell(points, grid).select(*by, "row", "col").distinct()
 

@@ -16,6 +16,7 @@ from .operators import density as D
 from .operators import incidents as I
 from .operators import profile as P
 from .operators import raster as R
+from .operators import resample as Z
 from .operators import series as S
 from .operators import vector as V
 from .plans import pipeline as L
@@ -60,7 +61,8 @@ def query(sql: str | None = None, *views: str, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
         if sql is not None:
-            ORACLE_SQL[key] = with_views(*views) + ("\n" if sql.lstrip().startswith("SELECT") else ", ") + sql.strip()
+            head = with_views(*views)
+            ORACLE_SQL[key] = head + ("\n" if sql.lstrip().startswith("SELECT") else " " if head == "WITH " else ", ") + sql.strip()
         return f
 
     return add
@@ -923,3 +925,99 @@ def write_if_absent(d):
 @query(f"SELECT incident_id, concat('fires_', {SEASON}) AS name FROM incidents", "incidents")
 def seasonal_name(d):
     return d.incidents.select("incident_id", G.seasonal_name(F.lit("fires"), G.season_of_month(F.month("call_date"))).alias("name"))
+
+
+# --- resampling across projections and cell sizes, tiles with origins of their own, cropping ---
+
+GREEN = f"green AS (SELECT {OBS_SEASON} AS season, row, col, avg(CAST({NDVI} AS DOUBLE)) AS value FROM dated WHERE month(obs_date) BETWEEN 3 AND 11 AND year(obs_date) BETWEEN 1995 AND 1999 GROUP BY 1, 2, 3)"
+#: The land's centres as degrees, in ``spot``.
+SPOTS = f"places AS (SELECT row, col, 550000.0 + (col + 0.5) * 30 AS easting, 220000.0 - (row + 0.5) * 30 AS northing FROM grid_cells WHERE elevation IS NOT NULL), {degrees_sql('places', 'spot')}"
+DEGREES, SINUSOIDAL = (0.1765, 51.8585, 0.002), (12100.0, 5766450.0, 231.65)
+SPHERE_X, SPHERE_Y = f"{Z.SPHERE!r} * radians(lon) * cos(radians(lat))", f"{Z.SPHERE!r} * radians(lat)"
+
+
+def centres_sql(x: str, y: str, corner: tuple[float, float, float]) -> str:
+    """CTE: the places of ``spot`` that are on the vegetation's grid, as cells from the centre of its first one."""
+    x0, y0, res = corner
+    return f"""at_ AS (SELECT * FROM (SELECT row, col, ({x} - {x0!r}::DOUBLE) / {res!r}::DOUBLE - 0.5 AS fx, ({y0!r}::DOUBLE - {y}) / {res!r}::DOUBLE - 0.5 AS fy FROM spot)
+        WHERE fx >= -0.5 AND fx < 9.5 AND fy >= -0.5 AND fy < (SELECT max(row) + 0.5 FROM ndvi_obs))"""
+
+
+FOUR = "four AS (SELECT row, col, CAST(floor(fy) AS INT) + a AS sr, CAST(floor(fx) AS INT) + b AS sc, abs(1 - a - (fy - floor(fy))) * abs(1 - b - (fx - floor(fx))) AS w FROM at_, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))"
+MEANS = "SELECT season, f.row, f.col, round(sum(w * value) / sum(w), 6) AS value FROM four f JOIN green g ON g.row = sr AND g.col = sc WHERE value IS NOT NULL AND w > 1e-9 GROUP BY ALL"
+
+
+def vegetation_at(d, corner: tuple[float, float, float], system: str, kernel: str = "bilinear") -> DataFrame:
+    """Seasonal vegetation of composites in a coordinate system of their own, at the land."""
+    x0, y0, res = corner
+    source = G.Grid(x0, y0, res, source_grid_of(d.ndvi_obs).height, 10)
+    dated = d.ndvi_obs.withColumn("obs_date", S.composite_date(F.col("file")))
+    mean = S.mean_ndvi(I.training_window(dated, TRAIN, ALL3), ("season", "row", "col"))
+    return rounded(R.align_to_reference(mean, source, d.land, d.grid, ("season",), system=system, kernel=kernel), "value")
+
+
+@query(f"{NDVI_DATED}, {GREEN}, {SPOTS}, {centres_sql('lon', 'lat', DEGREES)}, {FOUR} {MEANS}", "grid_cells", "ndvi_obs")
+def align_from_degrees(d):
+    return vegetation_at(d, DEGREES, "degrees")
+
+
+@query(f"{NDVI_DATED}, {GREEN}, {SPOTS}, {centres_sql(SPHERE_X, SPHERE_Y, SINUSOIDAL)}, {FOUR} {MEANS}", "grid_cells", "ndvi_obs")
+def align_from_sinusoidal(d):
+    return vegetation_at(d, SINUSOIDAL, "sinusoidal")
+
+
+@query(f"""{NDVI_DATED}, {GREEN}, {SPOTS}, {centres_sql(SPHERE_X, SPHERE_Y, SINUSOIDAL)}
+    SELECT season, a.row, a.col, round(value, 6) AS value FROM at_ a JOIN green g ON g.row = floor(fy + 0.5) AND g.col = floor(fx + 0.5) WHERE value IS NOT NULL""", "grid_cells", "ndvi_obs")
+def resample_nearest(d):
+    return vegetation_at(d, SINUSOIDAL, "sinusoidal", "nearest")
+
+
+def coarser(d, kernel: str) -> DataFrame:
+    """Elevation at a fourth of its resolution."""
+    g = d.grid
+    coarse = G.Grid(g.x0, g.y0, 4 * g.res, g.height // 4, g.width // 4)
+    return rounded(R.align_to_reference(d.grid_cells, g, coarse.cells(d.spark), coarse, value="elevation", kernel=kernel), "elevation")
+
+
+@query(f"SELECT CAST(row // 4 AS INT) AS row, CAST(col // 4 AS INT) AS col, round(avg(elevation), 6) AS elevation FROM grid_cells WHERE row // 4 < {HEIGHT} // 4 AND col < 48 GROUP BY 1, 2 HAVING count(elevation) > 0", "grid_cells")
+def resample_average(d):
+    """The mean by area of 16 cells each."""
+    return coarser(d, "average")
+
+
+@query(f"""coarse AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 4 * r + 2.0 AS fy, 4 * c + 2.0 AS fx FROM range(0, {HEIGHT} // 4) a(r), range(0, 12) b(c)),
+    w AS (SELECT coarse.row, coarse.col, elevation, (1 - abs(g.row + 0.5 - fy) / 4) * (1 - abs(g.col + 0.5 - fx) / 4) AS w FROM coarse JOIN grid_cells g ON abs(g.row + 0.5 - fy) < 4 AND abs(g.col + 0.5 - fx) < 4 WHERE elevation IS NOT NULL)
+    SELECT row, col, round(sum(w * elevation) / sum(w), 6) AS elevation FROM w GROUP BY 1, 2""", "grid_cells")
+def resample_triangle(d):
+    """Bilinear weights whose support grows with the cell size: 64 cells each."""
+    return coarser(d, "triangle")
+
+
+#: Five overlapping tiles, each counted from its own corner.
+OWN_TILES = """SELECT CAST(p_partkey % 5 AS INT) AS tile, CAST(floor(p_partkey / 200.0) AS INT) AS row, CAST(floor(p_partkey / 5.0) AS INT) % 40 AS col,
+    CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value FROM part"""
+CORNERS = [(k, 5 - k, 0.5 + c / 3600, 51.9 - r / 3600) for k, (c, r) in enumerate([(20, 3), (0, 0), (35, 1), (50, 6), (12, 9)])]
+
+
+def own_tiles(d) -> tuple[DataFrame, DataFrame]:
+    """Tiles and their catalogue; heights follow the table."""
+    tiles = d.spark.sql(OWN_TILES.replace("FROM part", f"FROM parquet.`{d.dir}/part.parquet`"))
+    names = d.spark.createDataFrame([(k, o, x, y, 1 / 3600, 40) for k, o, x, y in CORNERS], "tile int, tile_order int, x0 double, y0 double, res double, width int")
+    return tiles, names.join(tiles.groupBy("tile").agg((F.max("row") + 1).alias("height")), "tile")
+
+
+@query(f"""tiles AS ({OWN_TILES}), corners(tile, tile_order, x0, y0) AS (VALUES {", ".join(f"({k}, {o}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for k, o, x, y in CORNERS)}),
+    spots AS (SELECT CAST(round((51.9 - (y0 - (row + 0.5) / 3600)) * 3600 - 0.5) AS INT) AS row, CAST(round((x0 + (col + 0.5) / 3600 - 0.5) * 3600 - 0.5) AS INT) AS col, tile_order, value FROM tiles JOIN corners USING (tile))
+    SELECT row, col, arg_min(value, tile_order) AS value FROM spots WHERE value IS NOT NULL GROUP BY 1, 2""", "part")
+def mosaic_own_origins(d):
+    """The lattice of all tiles, by their corners; where tiles overlap the first in order with data counts."""
+    return R.mosaic_tiles(Z.place_tiles(*own_tiles(d))[0])
+
+
+@query(f"""centres AS (SELECT row, col, elevation, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells WHERE elevation IS NOT NULL), {inside_sql("centres", "x", "y", "hit")},
+    ends AS (SELECT greatest(0, floor((220000.0 - max(y)) / 30)) AS r0, least({HEIGHT}, ceil((220000.0 - min(y)) / 30)) AS r1, greatest(0, floor((min(x) - 550000.0) / 30)) AS c0, least(50, ceil((max(x) - 550000.0) / 30)) AS c1 FROM boundary_vertices)
+    SELECT CAST(row - r0 AS INT) AS row, CAST(col - c0 AS INT) AS col, elevation, CAST(550000.0 + c0 * 30 AS DOUBLE) AS x0, CAST(220000.0 - r0 * 30 AS DOUBLE) AS y0, CAST(r1 - r0 AS INT) AS height, CAST(c1 - c0 AS INT) AS width FROM hit, ends""", "grid_cells", "boundary_vertices")
+def crop_to_boundary(d):
+    """The cells inside the boundary on the part of the grid that the boundary's extent touches, with that grid."""
+    cells, g = V.crop_to_boundary(d.grid_cells.where("elevation IS NOT NULL"), d.grid, d.edges)
+    return cells.select("row", "col", "elevation", F.lit(g.x0).alias("x0"), F.lit(g.y0).alias("y0"), F.lit(g.height).alias("height"), F.lit(g.width).alias("width"))

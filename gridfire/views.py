@@ -65,4 +65,5 @@ def source_grid_of(obs: DataFrame) -> Grid:
 
 
 def with_views(*names: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    """WITH clause of the views; a table of its own name needs none."""
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names if n in VIEWS)
