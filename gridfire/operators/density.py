@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, cell_center, point_to_cell
+from ..sources.tables import written
 from .profile import exact_percentiles
 from .raster import land_mask
 
 QUANTILES = (0.6, 0.75, 0.9)
 
 
-def fire_counts(points: DataFrame, grid: Grid, by: tuple[str, ...] = ()) -> DataFrame:
-    return point_to_cell(points, grid).groupBy(*by, "row", "col").agg(F.count(F.lit(1)).alias("n"))
+def fire_counts(points: DataFrame, grid: Grid, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Points by cell, or the sum of their ``weight``; a missing weight counts as none."""
+    return point_to_cell(points, grid).groupBy(*by, "row", "col").agg(how_many(weight).alias("n"))
+
+
+def how_many(weight: str | None) -> Column:
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -46,15 +52,15 @@ def gaussian_smooth(counts: DataFrame, grid: Grid, sigma: float = 3.0, truncate:
     return both.withColumnRenamed("v", "density")
 
 
-def kde_density(points: DataFrame, land: DataFrame, grid: Grid, bandwidth: float = 500.0, cutoff: float = 8.0, by: tuple[str, ...] = ()) -> DataFrame:
+def kde_density(points: DataFrame, land: DataFrame, grid: Grid, bandwidth: float = 500.0, cutoff: float = 8.0, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Gaussian kernel density at land cells, normalised by all points; terms beyond ``cutoff`` bandwidths are below rounding.
 
     Points and cells meet by equal square buckets of the cut-off's size; a point goes to the nine around it. Points
-    at one place are counted first, so a hot spot is one row.
+    at one place are counted first, so a hot spot is one row. With ``weight``, each point counts as often as it says.
     """
     size = cutoff * bandwidth
-    places = points.groupBy(*by, "easting", "northing").agg(F.count(F.lit(1)).alias("n"))
-    totals = points.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    places = points.groupBy(*by, "easting", "northing").agg(how_many(weight).alias("n"))
+    totals = points.groupBy(*by).agg(how_many(weight).alias("total"))
     near = F.array(*[F.struct((F.floor(F.col("easting") / size) + a).alias("bx"), (F.floor(F.col("northing") / size) + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     spread = places.select(*by, "easting", "northing", "n", F.explode(near).alias("b")).select(*by, "easting", "northing", "n", "b.bx", F.col("b.by").alias("by_"))
     x, y = cell_center(grid, F.col("row"), F.col("col"))
@@ -65,11 +71,11 @@ def kde_density(points: DataFrame, land: DataFrame, grid: Grid, bandwidth: float
     return joined.select(*by, "row", "col", (F.col("s") / (F.col("total") * 2 * math.pi * bandwidth**2)).alias("density"))
 
 
-def compute_density(points: DataFrame, land: DataFrame, grid: Grid, method: str = "convolution", by: tuple[str, ...] = (), **options) -> DataFrame:
+def compute_density(points: DataFrame, land: DataFrame, grid: Grid, method: str = "convolution", by: tuple[str, ...] = (), weight: str | None = None, **options) -> DataFrame:
     if method == "convolution":
-        return land_mask(gaussian_smooth(fire_counts(points, grid, by), grid, by=by, **options), land)
+        return land_mask(gaussian_smooth(fire_counts(points, grid, by, weight), grid, by=by, **options), land)
     if method == "kde":
-        return kde_density(points, land, grid, by=by, **options)
+        return kde_density(points, land, grid, by=by, weight=weight, **options)
     raise ValueError(f"unknown density method: {method}")
 
 
@@ -78,8 +84,12 @@ def density_percentiles(density: DataFrame, quantiles: tuple[float, ...] = QUANT
     return exact_percentiles(density.where(F.col("density") > threshold), "density", {f"p{round(100 * q)}": q for q in quantiles}, by)
 
 
-def classify_density(density: DataFrame, threshold: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``label``: 0 below the 60th percentile, 1 from it, 2 from the 75th, 3 from the 90th; missing at or under the threshold."""
+def classify_density(density: DataFrame, threshold: float = 0.0, by: tuple[str, ...] = (), kept: bool = False) -> DataFrame:
+    """Adds ``label``: 0 below the 60th percentile, 1 from it, 2 from the 75th, 3 from the 90th; missing at or under the threshold.
+
+    The densities are read three times, so they are written first, unless they are ``kept`` in a table already.
+    """
+    density = density if kept else written(density, "density")
     cuts = density_percentiles(density, threshold=threshold, by=by)
     joined = density.join(F.broadcast(cuts), list(by), "left") if by else density.join(F.broadcast(cuts))  # a row for each season
     d = F.col("density")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
+from ..sources.tables import observed
 
 
 def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -114,7 +118,41 @@ def require(df: DataFrame, least: int, what: str) -> DataFrame:
 
 def require_each(df: DataFrame, by: str, wanted: list, least: int, what: str) -> DataFrame:
     """``df``, or an error if one of the ``wanted`` values of ``by`` has fewer than ``least`` rows."""
-    counts = dict.fromkeys(wanted, 0) | {r[0]: r[1] for r in df.where(F.col(by).isin(wanted)).groupBy(by).count().collect()}
+    counts = {r[0]: r[1] for r in df.where(F.col(by).isin(wanted)).groupBy(by).count().collect()}
+    require_counts({k: counts.get(k, 0) for k in wanted}, least, what)
+    return df
+
+
+def require_counts(counts: dict, least: int, what: str) -> None:
+    """An error that names what has fewer than ``least`` rows."""
     if short := {k: n for k, n in counts.items() if n < least}:
         raise ValueError(f"{what}: {least} needed, but there are {', '.join(f'{n} in {k}' for k, n in short.items())}")
-    return df
+
+
+def written_with_each(df: DataFrame, name: str, by: Column, wanted: list[str], least: int, what: str, where: Column | None = None) -> DataFrame:
+    """``df`` as a table, or an error if one of the ``wanted`` values of ``by`` has fewer than ``least`` rows (that fulfil ``where``).
+
+    The rows are counted by the job that writes them.
+    """
+    fits = F.lit(True) if where is None else where
+    table, n = observed(df, name, {f"n{i}": F.count_if((by == v) & fits) for i, v in enumerate(wanted)})
+    require_counts({v: n[f"n{i}"] for i, v in enumerate(wanted)}, least, what)
+    return table
+
+
+def report_empty(df: DataFrame, by: str, values: list, what: str) -> tuple[DataFrame, Callable[[], list]]:
+    """``df``, and a function that names, once the job that reads it is done, the ``values`` of ``by`` without a row.
+
+    It warns of each, as of classes that no cell got. Rows are counted by that job.
+    """
+    seen = Observation()
+    told = df.observe(seen, *[F.count_if(F.col(by) == v).alias(f"n{i}") for i, v in enumerate(values)])
+
+    def empty() -> list:
+        found = seen.get
+        none = [v for i, v in enumerate(values) if not found[f"n{i}"]]
+        for v in none:
+            warnings.warn(f"{what}: no row of {by} {v}", stacklevel=2)
+        return none
+
+    return told, empty

@@ -117,6 +117,8 @@ def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None
     presence has null distances. ``layers`` names them; without it, those present.
     """
     spark = presence.sparkSession
+    if (grid.width - 1).bit_length() + FAR.bit_length() > 63 or grid.height >= 1 << 20:
+        raise OverflowError("distances are kept in 64 bits: grids of up to 2 ** 20 rows and columns")
     marks = presence.select("layer", "row", "col").distinct().withColumn("here", F.col("row"))
     names = spark.createDataFrame([(x,) for x in layers], "layer string") if layers else marks.select("layer").distinct()
     lines = names.select("layer", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col"))

@@ -14,15 +14,23 @@ def seasonal_climate_mean(obs: DataFrame, years: tuple[int, int], seasons: list[
     return training_window(obs, years, seasons).groupBy("season", "var", "row", "col").agg(F.avg("value").alias("value"))
 
 
+def dated(obs: DataFrame, col: str = "file", name: str = "obs_date") -> DataFrame:
+    """Adds the date in the file's name, null if there is none.
+
+    It is generated, so a row's name is read once; as a plain column it would be written out wherever a filter uses it.
+    """
+    return obs.withColumn(name, F.explode(F.array(composite_date(F.col(col)))))
+
+
 def select_files_by_date(files: DataFrame, years: tuple[int, int] | None = None, seasons: list[str] | None = None, col: str = "file") -> DataFrame:
     """Rows of files whose dated name is in the seasons and years; undated names stay, and without seasons all do."""
     if seasons is None:
         return files
-    date = composite_date(F.col(col))
+    date = F.col("date_")
     fits = season_of_month(F.month(date)).isin(seasons)
     if years:
         fits = fits & (F.year(date) >= years[0]) & (F.year(date) < years[1])
-    return files.where(date.isNull() | fits)
+    return dated(files, col, "date_").where(date.isNull() | fits).drop("date_")
 
 
 def select_files_by_year(files: DataFrame, years: list[int], col: str = "file") -> DataFrame:

@@ -732,7 +732,7 @@ def check_row_count(d):
 
 def sources(d: Data) -> tuple[L.Sources, L.Config]:
     s = L.Sources(d.grid_cells, d.grid, d.edges, d.incidents, d.road_segments, d.river_segments, d.activity, d.climate_obs, d.ndvi_obs, source_grid_of(d.climate_obs))
-    return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"], density_digits=6, least_incidents=1)
+    return s, L.Config(splits=SPLITS, variables=["tas", "rainfall", "hurs"], density_digits=6)
 
 
 #: Land inside the boundary.
@@ -951,8 +951,7 @@ def vegetation_at(d, corner: tuple[float, float, float], system: str, kernel: st
     """Seasonal vegetation of composites in a coordinate system of their own, at the land."""
     x0, y0, res = corner
     source = G.Grid(x0, y0, res, source_grid_of(d.ndvi_obs).height, 10)
-    dated = d.ndvi_obs.withColumn("obs_date", S.composite_date(F.col("file")))
-    mean = S.mean_ndvi(I.training_window(dated, TRAIN, ALL3), ("season", "row", "col"))
+    mean = S.mean_ndvi(I.training_window(S.dated(d.ndvi_obs), TRAIN, ALL3), ("season", "row", "col"))
     return rounded(R.align_to_reference(mean, source, d.land, d.grid, ("season",), system=system, kernel=kernel), "value")
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``df`` as a table of ``written``, and aggregates of its rows, which the job that writes it finds by the way.
+
+    A task that Spark runs again may count its rows twice, so use them as guards, not as results.
+    """
+    seen = Observation()
+    table = written(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return table, seen.get
+
+
 def read_incidents(spark: SparkSession, path: str, fmt: str = "dd/MM/yyyy") -> DataFrame:
     """The configured columns of an incident file, whatever others it has; a malformed date raises when it is read."""
     raw = spark.read.option("header", True).csv(path)
