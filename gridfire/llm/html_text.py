@@ -35,6 +35,10 @@ NO_TEXT = frozenset(
 #: Elements that stand beside the paragraphs of an article on their own.
 TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figure figcaption table dl ol ul details time address header".split())
 WHOLE = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = frozenset("p blockquote pre table dl ol ul figure article main".split())
+#: The end of a sentence.
+SENTENCE = re.compile(r"\w\W?[.!?\u2026\u3002](?:\s|$)")
 #: Words in a class, id or role that name what is no part of an article.
 NO_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion popup modal overlay lightbox "
@@ -218,68 +222,89 @@ def path_up(page: Page, node: int) -> list[int]:
     return path
 
 
+def inside(page: Page, marks: list[bool]) -> list[bool]:
+    """Whether a node or one around it is marked."""
+    held = list(marks)
+    for node in range(1, len(held)):
+        held[node] = held[node] or held[page.parent[node]]
+    return held
+
+
 def left_out(page: Page) -> list[bool]:
-    """Nodes that are no content: those that HTML says so of, and those that say so themselves where densities agree.
+    """Nodes that are no content: those that HTML says so of, and those that say so themselves.
 
-    They agree if a fifth of the page's unlinked characters or more is elsewhere. If not, the names of the nodes around
-    the largest density sum of the whole page don't count.
+    How much text is in them doesn't matter: long comments below a short article are comments. Names don't count for
+    what must be the article's own: where all titles (h1, main) of the page are in named nodes, the ones around a
+    title; and where nothing outside named nodes is text of an article (a paragraph, list, table or quotation, or a
+    sentence), so that names would leave headings and scraps at most, the ones around the largest density sum.
     """
-    named, most = list(page.named), len(page.parent)
-    inside = list(page.named)
-    for node in range(1, most):
-        inside[node] = inside[node] or inside[page.parent[node]]
-    total = elsewhere = 0
-    for node, text in page.pieces:
-        if text is not None and not page.out[node] and not page.link[node]:
-            size = letters(text)
-            total += size
-            elsewhere += 0 if inside[node] else size
-    if 5 * elsewhere < total:
+    named, n = list(page.named), len(page.parent)
+    within = inside(page, named)
+    titles = [k for k in range(n) if page.tags[k] in ("h1", "main") and not page.out[k]]
+    if titles and all(within[k] for k in titles):
+        for k in titles:
+            for node in path_up(page, k):
+                named[node] = False
+        within = inside(page, named)
+    head, prose = inside(page, [t in HEADINGS for t in page.tags]), inside(page, [t in PROSE for t in page.tags])
+    own = any(
+        text is not None and letters(text) and not (page.out[k] or page.link[k] or within[k] or head[k]) and (prose[k] or SENTENCE.search(text)) for k, text in page.pieces
+    )
+    if not own and any(named):
         _, sums = densities(page, page.out)
-        for node in path_up(page, max(range(most), key=lambda k: (sums[k], -k))):
+        for node in path_up(page, max(range(n), key=lambda k: (sums[k], -k))):
             named[node] = False
-    out = [a or b for a, b in zip(page.out, named, strict=True)]
-    for node in range(1, most):
-        out[node] = out[node] or out[page.parent[node]]
-    return out
+    return inside(page, [a or b for a, b in zip(page.out, named, strict=True)])
 
 
 def main_nodes(page: Page, out: list[bool]) -> list[int]:
     """The nodes whose subtrees are the article, in page order.
 
-    The first is the node of the largest density sum. The smallest density on its path up to the body is the threshold
-    for what joins it from the levels above: text-level elements that aren't mostly links, and other elements that reach
-    the threshold, outside an article or main element only with a quarter of the largest sum (at the body's level half).
-    The levels end at an article or main element; from an article in a main one, only text-level elements join.
+    The first is the node of the largest density sum; where the page has one main element, or else one article that is
+    in no other, only nodes in it count. The smallest density on the path up to the body is the threshold for what
+    joins from the levels above: text-level elements; sections, which are elements with a heading and more text-level
+    elements; and what reaches the threshold and holds a text-level element, at the body's level two. Nothing joins
+    that is mostly links. The levels end at an article or main element; from an article in a main one, only text-level
+    elements join.
     """
     density, sums = densities(page, out)
     n = len(density)
     nodes = [k for k in range(n) if not out[k] and density[k] > 0]
+    for tag in ("main", "article"):
+        held = [k for k in nodes if page.tags[k] == tag and not (tag == "article" and page.nested[page.parent[k]])]
+        if held:
+            if len(held) == 1:
+                nodes = [k for k in nodes if held[0] <= k <= page.last[held[0]]]
+            break
     if not nodes:
         return []
     best = max(nodes, key=lambda k: (sums[k], -k))
     path = path_up(page, best)
     threshold = min(density[k] for k in path)
-    unlinked, linked, children = [0] * n, [0] * n, [[] for _ in range(n)]
+    unlinked, linked, level, heads, children = [0] * n, [0] * n, [0] * n, [0] * n, [[] for _ in range(n)]
     for node, text in page.pieces:
         if text is not None and not out[node]:
             (linked if page.link[node] else unlinked)[node] += letters(text)
     for node in range(n - 1, 0, -1):
-        unlinked[page.parent[node]] += unlinked[node]
-        linked[page.parent[node]] += linked[node]
-        children[page.parent[node]].append(node)
+        p = page.parent[node]
+        unlinked[p] += unlinked[node]
+        linked[p] += linked[node]
+        if unlinked[node]:
+            level[p] += level[node] + (page.tags[node] in TEXT_LEVEL)
+            heads[p] += heads[node] + (page.tags[node] in HEADINGS)
+        children[p].append(node)
     chosen, whole = [best], page.tags[best] == "article"
     if page.tags[best] == "main":
         return chosen
     for below, up in zip(path, path[1:], strict=False):
         if whole and page.tags[up] != "main":
             break
-        share = 0.0 if page.article[up] else 0.5 if page.tags[up] in ("body", "html", "#root") else 0.25
+        least = 1 if page.article[up] or page.tags[up] not in ("body", "html", "#root") else 2
         for k in children[up]:
-            if k == below or out[k] or not unlinked[k]:
+            if k == below or out[k] or not unlinked[k] or unlinked[k] < linked[k]:
                 continue
-            plain = page.tags[k] in TEXT_LEVEL and unlinked[k] >= linked[k]
-            if plain or (not whole and density[k] >= threshold and sums[k] >= share * sums[best]):
+            section = 0 < heads[k] < level[k] or (density[k] >= threshold and level[k] >= least)
+            if page.tags[k] in TEXT_LEVEL or (section and not whole):
                 chosen.append(k)
         if page.tags[up] == "main":
             break
