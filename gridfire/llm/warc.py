@@ -62,7 +62,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16384, chunk_by
     own (a number that is unique in the job is part of each record id). A revisit record has the HTTP headers, but
     no payload.
     """
-    urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
+    urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.concat(F.lit("="), F.url_encode(F.col("page_id").cast("string"))), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
     rows = mark_revisits(pages.select("page_id", "url", "html"), least_bytes).withColumn("rid", urn)
     revisit = F.col("first_id").isNotNull()
     block = F.when(revisit, F.lit(HTTP).cast("binary")).otherwise(F.concat(F.lit(HTTP).cast("binary"), chunked(F.col("payload"), chunk_bytes)))
@@ -214,9 +214,8 @@ def reassemble(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_id_of(record_id: str) -> Column:
-    """The page id in a record id of ``write_warc``, as text; null if there is none."""
-    got = F.url_decode(F.regexp_extract(record_id, "^<urn:page:([^:>]*):", 1))
-    return F.when(got != "", got)
+    """The page id in a record id of ``write_warc``, as text: an empty one stands after its sign, a null one has none."""
+    return F.when(F.col(record_id).rlike("^<urn:page:="), F.url_decode(F.regexp_extract(record_id, "^<urn:page:=([^:>]*):", 1)))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
