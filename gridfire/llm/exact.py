@@ -43,16 +43,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     h, sha, keep_id, size, kept = fresh(docs, "h", "text_sha256", "keep_id", "group_size", "kept")
     rows = docs.withColumns({h: digest(text_of(text_col)), sha: F.sha2(text_of(text_col).cast("binary"), 256)})
-    classes = exact_classes(docs, id_col, text_col, keep, digest).toDF("h", "sha", "k", "n").select(
-        F.col("h").alias("class_h"), F.col("sha").alias("class_sha"), F.col("k").alias("class_keep"), F.col("n").alias("class_n")
-    )
-    on = (F.col(f"`{h}`") == F.col("class_h")) & (F.col(f"`{sha}`") == F.col("class_sha"))
+    class_h, class_sha, class_keep, class_n = fresh(rows, "class_h", "class_sha", "class_keep", "class_n")
+    classes = exact_classes(docs, id_col, text_col, keep, digest).toDF(class_h, class_sha, class_keep, class_n)
+    on = (F.col(f"`{h}`") == F.col(f"`{class_h}`")) & (F.col(f"`{sha}`") == F.col(f"`{class_sha}`"))
     joined = rows.join(classes, on, "inner")
     return joined.select(
         *[f"`{c}`" for c in docs.columns],
-        F.col("class_keep").alias(keep_id),
-        F.col("class_n").alias(size),
-        F.col(f"`{id_col}`").eqNullSafe(F.col("class_keep")).alias(kept),
+        F.col(f"`{class_keep}`").alias(keep_id),
+        F.col(f"`{class_n}`").alias(size),
+        F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{class_keep}`")).alias(kept),
         F.col(f"`{sha}`").alias(sha),
     )
 

@@ -47,6 +47,22 @@ def test_round_trip(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_ids_that_are_empty_or_null(spark):
+    """Text ids: an empty one is the smallest and stays empty; equal payloads without an id are all responses."""
+    long, other = "x" * 200, "y" * 200
+    rows = [("", "u", long), ("a:b>c=", "u", long), (None, "u", long), ("=", "u", "z" * 150), (None, "u", other), (None, "u", other)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got.collect()), key=str) == sorted(
+        [("", "response", None, 200), ("a:b>c=", "revisit", "", 200), (None, "revisit", "", 200), ("=", "response", None, 150), (None, "response", None, 200), (None, "response", None, 200)], key=str
+    )
+
+
+def test_names_of_the_join_may_be_taken(spark):
+    taken = spark.createDataFrame([(1, "t", "a", "b", 3, 4), (2, "t", "c", "d", 5, 6)], "doc_id long, text string, class_h string, class_sha string, class_keep int, class_n int")
+    got = exact.exact_dedup(taken)
+    assert sorted((r.doc_id, r.class_h, r.class_n, r.keep_id, r.group_size) for r in got.collect()) == [(1, "a", 4, 1, 2), (2, "c", 6, 1, 2)]
+
+
 def test_reassembly_reports_faults():
     assert warc.join_segments([(2, b"b", 2), (1, b"a", None), (2, b"b", 2)]) == (b"ab", "ok")
     for parts in ([(1, b"a", None), (3, b"c", 2)], [(1, b"a", None), (2, b"b", None)], [(1, b"a", None), (2, b"b", 3)], [(1, b"a", 1), (1, b"b", 1)]):
