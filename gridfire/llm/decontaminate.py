@@ -15,12 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import fresh, text_of
 
 WORDS = re.compile(r"\w+")
+#: An odd factor of 63 bits, for hashes of long grams.
+ODD = 0x1E3779B97F4A7C15
 
 
 class Items:
     """A block of benchmark items as word numbers, and where their n-grams occur.
 
     A gram is one number made of its word numbers; an item of fewer than ``n`` words has one gram, of all its words.
+    Where that number doesn't fit 64 bits it is a hash. Grams are seeds only, so two of one hash cost an alignment.
     """
 
     def __init__(self, rows: list[tuple[object, str | None]], n: int):
@@ -31,8 +34,7 @@ class Items:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
         self.base = len(self.vocab) + 1
-        if self.base**n >= 2**63:
-            raise ValueError("a block of items has too many different words; use smaller blocks")
+        self.factor = self.base if self.base**n < 2**63 else ODD
         self.items = [np.array([self.vocab[x] for x in w], np.int64) for _, w in words]
         self.sizes = sorted({min(n, len(x)) for x in self.items})
         places = [(k, g, i, at) for i, x in enumerate(self.items) for k in [min(n, len(x))] for at, g in enumerate(self.codes(x, k).tolist())]
@@ -49,9 +51,9 @@ class Items:
         out, known = np.zeros(m, np.int64), np.ones(m, bool)
         for j in range(k):
             part = x[j : j + m]
-            out = out * self.base + part
+            out = out * self.factor + part
             known &= part > 0
-        return np.where(known, out, 0)
+        return np.where(known, np.where(out == 0, 1, out), 0)
 
     def numbers(self, text: str) -> np.ndarray:
         get = self.vocab.get
