@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -26,22 +24,63 @@ def standardize(df: DataFrame, features: list[str]) -> DataFrame:
     return df.join(F.broadcast(stats)).withColumns(z).select(*df.columns)  # one row of statistics
 
 
+def first_centres(rows: DataFrame, features: list[str], k: int, n_init: int, seed: int) -> list[list[list[float]]]:
+    """For each start, ``k`` rows of different features as centres: those with the smallest hash (MD5) of seed, start and cell.
+
+    Rows of equal features count as the one of the smallest cell, so that no two centres are one.
+    """
+    places = rows.groupBy(*[F.col(c).cast("double").alias(c) for c in features]).agg(F.min(F.struct("row", "col")).alias("cell_"))
+    key = lambda i: F.md5(F.concat_ws(",", F.lit(seed + i), "cell_.row", "cell_.col").cast("binary"))
+    picked = [places.withColumns({"start_": F.lit(i), "key_": key(i)}).orderBy("key_").limit(k) for i in range(n_init)]
+    found = reduce(DataFrame.union, picked).collect()  # k rows for each start
+    return [[[r[c] for c in features] for r in sorted((r for r in found if r.start_ == i), key=lambda r: r.key_)] for i in range(n_init)]
+
+
+def centre_steps(rows: DataFrame, features: list[str], centres: list[list[list[float]]]) -> tuple[list[list[list[float]]], list[float]]:
+    """The next centres of each start, and the cost of those it has: one aggregation for all starts.
+
+    Of each row the nearest centre of every start is found, and sums by start and cluster are all that is shuffled. A
+    centre without rows stays where it is.
+    """
+    distances = lambda cs: F.array(*[squared(features, c) for c in cs])
+    each = [F.struct(F.lit(i).alias("start"), F.array_position(d := distances(cs), F.array_min(d)).cast("int").alias("at"), F.array_min(d).alias("cost")) for i, cs in enumerate(centres)]
+    sums = rows.select(*features, F.explode(F.array(*each)).alias("p")).groupBy("p.start", "p.at").agg(F.sum("p.cost").alias("cost"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)])
+    after, costs = [[list(c) for c in cs] for cs in centres], [0.0] * len(centres)
+    for r in sums.collect():  # k rows for each start
+        after[r.start][r["at"] - 1] = [r[f"m{i}"] for i in range(len(features))]
+        costs[r.start] += r.cost
+    return after, costs
+
+
+def squared(features: list[str], centre: list[float]) -> Column:
+    return reduce(lambda a, b: a + b, [(F.col(c) - x) ** 2 for c, x in zip(features, centre, strict=True)])
+
+
 def kmeans_two(df: DataFrame, features: list[str], k: int = 2, n_init: int = 10, max_iter: int = 300, seed: int = 42) -> DataFrame:
-    """Adds ``cluster``: of ``n_init`` runs, the one of the least cost. Rows with a missing feature are left out."""
-    rows = written(df.dropna(subset=features), "clustered")  # the runs read it again and again
-    if rows.limit(k).count() < k:
+    """Adds ``cluster``: of ``n_init`` starts, the one of the least cost. Rows with a missing feature are left out.
+
+    ``df`` has ``row`` and ``col``. All starts go on together, each until its centres stay or for ``max_iter`` steps.
+    Costs that agree to nine digits are equal, and of those the smallest centres count; clusters are numbered by their
+    centres in ascending order. So nothing hangs on the order of a sum. Fewer than ``k`` different rows are one cluster.
+    """
+    rows = written(df.dropna(subset=features), "clustered")  # every step reads it
+    centres = first_centres(rows, features, k, n_init, seed)
+    if any(len(cs) < k for cs in centres):
         return rows.withColumn("cluster", F.lit(0))
-    assemble = VectorAssembler(inputCols=features, outputCol="v_")
-    ready = assemble.transform(rows).persist()
-    models = [KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="v_", predictionCol="cluster").fit(ready) for i in range(n_init)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    ready.unpersist()
-    return best.transform(assemble.transform(rows)).drop("v_")
+    done: list[tuple[float, list[list[float]]]] = []
+    for step in range(max_iter + 1):
+        after, costs = centre_steps(rows, features, centres)
+        still = [step < max_iter and any(abs(x - y) > 1e-12 * max(1.0, abs(x)) for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True)) for a, b in zip(centres, after, strict=True)]
+        done += [(float(f"{cost:.8e}"), sorted(cs)) for cost, cs, on in zip(costs, centres, still, strict=True) if not on]
+        centres = [cs for cs, on in zip(after, still, strict=True) if on]
+        if not centres:
+            break
+    return assign_clusters(rows, features, min(done)[1])
 
 
 def assign_clusters(df: DataFrame, features: list[str], centers: list[list[float]]) -> DataFrame:
     """Adds ``cluster``: the nearest of the given centres; of equal ones the first."""
-    d = [reduce(lambda a, b: a + b, [(F.col(c) - x) ** 2 for c, x in zip(features, center, strict=True)]) for center in centers]
+    d = [squared(features, center) for center in centers]
     return df.withColumn("cluster", F.array_position(F.array(*d), F.array_min(F.array(*d))).cast("int") - 1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from .operators import resample as Z
 from .operators import series as S
 from .operators import vector as V
 from .plans import pipeline as L
+from .sources import files as E
 from .sources import tables as T
 from .views import FCLASSES, SPLITS, TRAIN, grid_of, source_grid_of, tile_grid_of, view, with_views
 
@@ -639,12 +641,40 @@ def drop_labels(d):
     return C.drop_labels(feature_table(d), C.flag_low_in_high_cluster(clustered(d), 3)).select("row", "col", "label")
 
 
-@query()
+def kmeans_sql(source: str, name: str, steps: int = 40) -> str:
+    """CTEs: ``name`` is the source (row, col, label, x, y) with ``cluster``, by ten starts of two centres, each some steps unrolled."""
+    t = f"{name}_"
+    near = lambda c: f"(CASE WHEN (x - {c}.x0) ** 2 + (y - {c}.y0) ** 2 <= (x - {c}.x1) ** 2 + (y - {c}.y1) ** 2 THEN 0 ELSE 1 END)"
+    first = f"""{t}rows AS MATERIALIZED (SELECT row, col, label, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL),
+        {t}places AS (SELECT x, y, min((row, col)) AS cell FROM {t}rows GROUP BY x, y),
+        {t}ranked AS (SELECT i, x, y, row_number() OVER (PARTITION BY i ORDER BY md5(concat_ws(',', 42 + i, cell[1], cell[2]))) AS k FROM {t}places, range(10) r(i)),
+        {t}0 AS MATERIALIZED (SELECT a.i, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM {t}ranked a JOIN {t}ranked b ON a.i = b.i AND a.k = 1 AND b.k = 2)"""
+    out = [first]
+    for n in range(steps):
+        mean = lambda v, k: f"coalesce(avg({v}) FILTER ({near('c')} = {k}), any_value(c.{v}{k})) AS {v}{k}"
+        out.append(f"{t}{n + 1} AS MATERIALIZED (SELECT i, {mean('x', 0)}, {mean('y', 0)}, {mean('x', 1)}, {mean('y', 1)} FROM {t}rows, {t}{n} c GROUP BY i)")
+    out.append(f"{t}costs AS (SELECT i, any_value(least((x0, y0), (x1, y1))) AS p, any_value(greatest((x0, y0), (x1, y1))) AS q, round(sum(least((x - x0) ** 2 + (y - y0) ** 2, (x - x1) ** 2 + (y - y1) ** 2)), 4) AS cost FROM {t}rows, {t}{steps} GROUP BY i)")
+    out.append(f"{t}best AS (SELECT p[1] AS x0, p[2] AS y0, q[1] AS x1, q[2] AS y1 FROM {t}costs ORDER BY cost, p, q LIMIT 1)")
+    out.append(f"{name} AS (SELECT row, col, label, {near('c')} AS cluster FROM {t}rows, {t}best c)")
+    return ", ".join(out)
+
+
+@query(f"{FEATURES}, two AS (SELECT row, col, label, elevation AS x, a AS y FROM f WHERE label IN (0, 3)), {kmeans_sql('two', 'parted')} SELECT row, col, cluster FROM parted", *BOTH)
 def kmeans_two(d):
     return C.kmeans_two(feature_table(d).where("label IN (0, 3)"), ["elevation", "a"]).select("row", "col", "cluster")
 
 
-@query()
+def cleaned_sql() -> str:
+    """CTEs ``gone1`` to ``gone3``: low cells in the cluster of most cells of each higher class, of standardised features."""
+    out = []
+    for high in (1, 2, 3):
+        z = lambda c: f"({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0)"
+        out.append(f"z{high} AS (SELECT row, col, label, {z('elevation')} AS x, {z('a')} AS y FROM f WHERE label IN (0, {high})), {kmeans_sql(f'z{high}', f'parted{high}')}")
+        out.append(f"gone{high} AS (SELECT row, col FROM parted{high} WHERE label = 0 AND cluster = (SELECT cluster FROM parted{high} WHERE label = {high} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))")
+    return ", ".join(out)
+
+
+@query(f"{FEATURES}, {cleaned_sql()}, gone AS (SELECT * FROM gone1 UNION SELECT * FROM gone2 UNION SELECT * FROM gone3) SELECT f.row, f.col, CASE WHEN gone.row IS NULL THEN f.label END AS label FROM f LEFT JOIN gone ON gone.row = f.row AND gone.col = f.col", *BOTH)
 def clean_labels(d):
     return C.clean_labels(feature_table(d), ["elevation", "a"]).select("row", "col", "label")
 
@@ -1020,3 +1050,54 @@ def crop_to_boundary(d):
     """The cells inside the boundary on the part of the grid that the boundary's extent touches, with that grid."""
     cells, g = V.crop_to_boundary(d.grid_cells.where("elevation IS NOT NULL"), d.grid, d.edges)
     return cells.select("row", "col", "elevation", F.lit(g.x0).alias("x0"), F.lit(g.y0).alias("y0"), F.lit(g.height).alias("height"), F.lit(g.width).alias("width"))
+
+
+# --- files: pruned by name, combined by coordinates, missing ---
+
+MONTH = "CAST(date_trunc('month', obs_date) AS DATE)"
+
+
+@query(f"""{NDVI_DATED}, m AS (SELECT *, {MONTH} AS first_day FROM dated) SELECT concat('doy', year(first_day), lpad(CAST(dayofyear(first_day) AS VARCHAR), 3, '0')) AS month_file, count(*) AS n, CAST(sum(dn) AS BIGINT) AS total
+    FROM m WHERE month(first_day) IN (6, 7, 8) AND year(first_day) BETWEEN 1995 AND 1999 GROUP BY 1""", "ndvi_obs")
+def read_dated_files(d):
+    """Vegetation in a folder for each month, read again for the summers of the training years: other files aren't opened."""
+    path = T.shared_path(d.spark, "composites")
+    first = F.trunc("obs_date", "month")
+    monthly = S.dated(d.ndvi_obs).withColumn("month_file", F.concat(F.lit("doy"), F.year(first), F.lpad(F.dayofyear(first).cast("string"), 3, "0")))
+    monthly.select("row", "col", "dn", F.col("month_file").alias("name"), "month_file").repartition("month_file").write.partitionBy("month_file").parquet(path)
+    got = E.read_dated(d.spark, path, "row int, col int, dn int, name string", TRAIN, ["SUMMER"], dated="path")
+    return got.groupBy(F.col("name").alias("month_file")).agg(F.count(F.lit(1)).alias("n"), F.sum("dn").alias("total"))
+
+
+def daily(d) -> DataFrame:
+    return d.climate_obs.groupBy("var", "obs_date", "row", "col").agg(F.round(F.avg("value"), 6).alias("value"))
+
+
+@query("SELECT var, obs_date, row, col, round(avg(value), 6) AS value FROM climate_obs GROUP BY 1, 2, 3, 4", "climate_obs")
+def combine_by_coords(d):
+    """Two files whose dates overlap by three years, as one."""
+    both = daily(d).where("obs_date < '1997-07-01'").withColumn("file", F.lit("a")).union(daily(d).where("obs_date >= '1994-07-01'").withColumn("file", F.lit("b")))
+    return E.combine_by_coords(T.written(both, "climate"), ["obs_date", "row", "col"], by=("var",))
+
+
+YEARLY = "yearly AS (SELECT var, CAST(year(obs_date + 45 * (row % 3)) AS INT) AS file, obs_date FROM climate_obs)"
+
+
+@query(f"""{YEARLY}, ranges AS (SELECT var, file, min(obs_date) AS a, max(obs_date) AS b FROM yearly GROUP BY 1, 2)
+    SELECT x.var, x.file AS a, y.file AS b FROM ranges x JOIN ranges y ON x.var = y.var AND x.file < y.file AND x.a <= y.b AND y.a <= x.b""", "climate_obs")
+def overlapping_files(d):
+    """Yearly files that take some weeks of the year before."""
+    yearly = d.climate_obs.select("var", F.year(F.date_add("obs_date", 45 * (F.col("row") % 3))).alias("file"), "obs_date")
+    return E.overlapping_files(E.coordinate_ranges(yearly, ["obs_date"], ("var",)), ["obs_date"], ("var",))
+
+
+@query("SELECT 'cells' AS name, count(elevation) > 0 AS ok, CASE WHEN count(elevation) > 0 THEN 'ok' ELSE 'all cells are missing' END AS message FROM grid_cells UNION ALL SELECT x, false, 'missing path' FROM (VALUES ('raster'), ('vector'), ('table')) t(x)", "grid_cells")
+def checked_paths(d):
+    """A table that is there, and for each kind of check one that isn't."""
+    path = T.shared_path(d.spark, "cells")
+    d.grid_cells.write.parquet(path)
+    read = lambda s, p: s.read.parquet(p)
+    checks = {"raster": P.validate_raster, "vector": P.validate_vector, "table": P.validate_table}
+    rows = [E.checked_path(d.spark, path, read, lambda df: P.validate_raster(df, "elevation")).select(F.lit("cells").alias("name"), "ok", "message")]
+    rows += [E.checked_path(d.spark, f"{path}-none", read, check).select(F.lit(name).alias("name"), "ok", F.substring_index("message", ":", 1).alias("message")) for name, check in checks.items()]
+    return reduce(DataFrame.union, rows)
