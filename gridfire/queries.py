@@ -15,6 +15,7 @@ from .functions import grid as G
 from .operators import cleaning as C
 from .operators import density as D
 from .operators import incidents as I
+from .operators import parts as W
 from .operators import profile as P
 from .operators import raster as R
 from .operators import resample as Z
@@ -60,10 +61,13 @@ def query(sql: str | None = None, *views: str, name: str | None = None):
     """Registers ``f(Data)`` under its name, with SQL after a WITH clause of the views."""
 
     def add(f):
+        nonlocal sql
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
         if sql is not None:
             head = with_views(*views)
+            if sql.startswith("RECURSIVE "):
+                head, sql = head.replace("WITH ", "WITH RECURSIVE ", 1), sql.removeprefix("RECURSIVE ")
             ORACLE_SQL[key] = head + ("\n" if sql.lstrip().startswith("SELECT") else " " if head == "WITH " else ", ") + sql.strip()
         return f
 
@@ -1101,3 +1105,40 @@ def checked_paths(d):
     rows = [E.checked_path(d.spark, path, read, lambda df: P.validate_raster(df, "elevation")).select(F.lit("cells").alias("name"), "ok", "message")]
     rows += [E.checked_path(d.spark, f"{path}-none", read, check).select(F.lit(name).alias("name"), "ok", F.substring_index("message", ":", 1).alias("message")) for name, check in checks.items()]
     return reduce(DataFrame.union, rows)
+
+
+# --- parts of the activity layer, and the branches of the composite jobs ---
+
+PRESENT = ACTIVITY.replace("fclass IN ('household', 'machinery')", "fclass IN ('household', 'machinery', 'building')")
+
+
+@query(f"""RECURSIVE {PRESENT}, reach AS (SELECT row, col, row * 50 + col AS part FROM activity UNION
+    SELECT a.row, a.col, least(r.part, a.row * 50 + a.col) FROM reach r JOIN activity a ON abs(a.row - r.row) + abs(a.col - r.col) = 1 WHERE r.part < a.row * 50 + a.col)
+    SELECT row, col, CAST(min(part) AS BIGINT) AS part FROM reach GROUP BY 1, 2""", "grid_cells", "landuse_boxes")
+def activity_parts(d):
+    """Land use and buildings dissolved into connected parts."""
+    boxes = V.box_edges(d.landuse_boxes.where(F.col("fclass").isin(*FCLASSES, "building")), ("feature_id",))
+    return W.connected_parts(V.rasterize_polygons(boxes, d.grid, "feature_id"), d.grid)
+
+
+@query(f"""{LAND}, p AS (SELECT easting, northing, vehicles AS w FROM incidents WHERE month(call_date) IN (3, 4, 5) AND year(call_date) BETWEEN 1995 AND 1999),
+    d AS (SELECT row, col, sum(w * exp(-((550000.0 + (col + 0.5) * 30 - easting) ** 2 + (220000.0 - (row + 0.5) * 30 - northing) ** 2) / 500000.0)) / ((SELECT sum(w) FROM p) * {2 * math.pi * 250000!r}) AS density FROM land, p GROUP BY 1, 2)
+    SELECT row, col, round(density * 1e9, 4) AS density FROM d""", *BOTH)
+def kde_weighted(d):
+    """Kernel density of the default bandwidth, each incident counted by its vehicles."""
+    out = D.kde_density(spring_train(d), d.land, d.grid, weight="vehicles")
+    return out.select("row", "col", F.round(F.col("density") * 1e9, 4).alias("density"))
+
+
+def plain_dataset_sql() -> str:
+    """The dataset without clipping, seasonal vegetation and distance to incidents."""
+    whole = dataset_sql().replace(INSIDE, f"{EDGES}, {LAND}").replace(NDVI_IN, f"mean_all AS (SELECT row, col, avg(CAST({NDVI} AS DOUBLE)) AS value FROM ndvi_obs GROUP BY 1, 2), {bilinear_sql('mean_all', '0 AS every', 'greened').replace('GROUP BY ALL', 'GROUP BY n.row, n.col')}")
+    whole = whole.replace("LEFT JOIN greened ON greened.season = x.season AND greened.row", "LEFT JOIN greened ON greened.row")
+    return whole.replace("CAST(fires.km AS FLOAT) AS d_fires, ", "")
+
+
+@query(plain_dataset_sql(), *ALL)
+def dataset_unclipped(d):
+    """All land, one vegetation layer for all seasons, and nothing of the incidents among the features."""
+    s, c = sources(d)
+    return L.assemble_dataset(s, replace(c, clip=False, seasonal_ndvi=False, d_fires=False))
