@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import fresh, map_batches, text_of, written
+from .common import dropped, fresh, map_batches, text_of, written
 from .components import connected_components
 from .jaccard import shingle_hashes
 
-#: Sets that go to all tasks at most, as ids (32 bytes each at most).
+#: Ids of candidates that go to all tasks at most; more meet the texts in a shuffle.
 BROADCAST_IDS = 500_000
 #: Fragments for each power of two of document counts (a power of two itself), and the ratio of two size classes.
 SLICES, STEP = 4, 1.02
@@ -71,9 +71,10 @@ def digested(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 def candidates(known: DataFrame) -> DataFrame:
     """Ids of ``digested`` rows with enough shared n-grams among their lowest ones."""
-    low = known.where("n > 0").select("id", "enough", F.explode("low").alias("h"))
+    low = known.where("n > 0").select("id", F.explode("low").alias("h"))
     shared = low.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    return low.join(shared, "h").groupBy("id", "enough").agg(F.count(F.lit(1)).alias("shared")).where("shared >= enough").select("id").distinct()
+    found = low.join(shared, "h").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    return found.join(known.select("id", "enough"), "id").where("shared >= enough").select("id").distinct()
 
 
 def segments(sets: DataFrame, percent: int) -> DataFrame:
@@ -175,11 +176,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return {"set": [xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "shingles": [s.view("int64") for s in sets]}
 
     sets = written(map_batches(texts, "text", sets_of, whole, keep=[], rows=64).where("n > 0").groupBy("set", "n").agg(F.first("shingles").alias("shingles")), "sets", SMALL)
+    dropped(live)
     cut = written(segments(sets, percent), "segments")
+    dropped(sets)
     first = written(prefixes(cut, percent), "first")
     near = written(linked(hub_pairs(first, percent), cut, percent), "near")
     rest = written(linked(apart_pairs(first, connected_components(near), percent), cut, percent), "rest")
+    dropped(cut)
+    dropped(first)
     groups = connected_components(near.union(rest)).select(F.col("node").alias("set"), F.col("component").alias("group"))
+    dropped(near)
+    dropped(rest)
     # of each set the smallest id, of each group the smallest of those
     least = known.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("own"))
     named = least.join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
