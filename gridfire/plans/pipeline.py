@@ -23,7 +23,7 @@ from ..operators import raster as R
 from ..operators import resample as Z
 from ..operators import series as S
 from ..operators import vector as V
-from ..sources.tables import observed, written
+from ..sources.tables import observed, scratch_tables, written
 
 
 @dataclass(frozen=True)
@@ -254,15 +254,19 @@ def clean_seasons(dataset: DataFrame, c: Config, features: list[str]) -> DataFra
 
 
 def full_pipeline(s: Sources, c: Config, path: str | None = None) -> DataFrame:
-    """The whole dataset; with a path, it is written there with a folder for each season, and classes that no cell of a season got are warned of."""
-    out = assemble_dataset(s, c)
-    if path:
+    """The whole dataset. With a path it is written there, with a folder for each season, and the tables on the way are
+    deleted; classes that no cell of a season got are warned of.
+    """
+    if not path:
+        return assemble_dataset(s, c)
+    spark = s.cells.sparkSession
+    with scratch_tables(spark):
+        out = assemble_dataset(s, c)
         classes = [f"{season} {k}" for season in c.seasons for k in range(4)]
         told, empty = P.report_empty(out.withColumn("class_", F.concat_ws(" ", "season", F.col("label").cast("int"))), "class_", classes, "labels")
         told.drop("class_").write.mode("overwrite").partitionBy("season").parquet(path)
         empty()
-        return s.cells.sparkSession.read.parquet(path).select(*out.columns)
-    return out
+    return spark.read.parquet(path).select(*out.columns)
 
 
 def season_profile(incidents: DataFrame, years: list[int]) -> DataFrame:

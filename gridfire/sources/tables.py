@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables of ``written``, for each ``scratch_tables`` that is open.
+OWNED: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that jobs write inside, and deletes them at the end; so results are to be written or collected inside."""
+    mine: list[str] = []
+    OWNED.append(mine)
+    try:
+        yield
+    finally:
+        OWNED[:] = [paths for paths in OWNED if paths is not mine]
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: what reads it doesn't run its plan again."""
+    """``df`` as a table in the shared folder: what reads it doesn't run its plan again. ``scratch_tables`` deletes it."""
     path = shared_path(df.sparkSession, name)
+    if OWNED:
+        OWNED[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -124,3 +124,17 @@ def test_jobs_together():
     assert pipeline.together(lambda: 1, lambda: 2) == [1, 2]
     with pytest.raises(ZeroDivisionError):
         pipeline.together(lambda: 1 // 0, lambda: 2)
+
+
+def test_scratch_tables_go(spark):
+    """Tables written inside, by any thread, are deleted at the end, also after an error; others stay."""
+    before = tables.written(spark.range(2), "kept")
+    with tables.scratch_tables(spark):
+        inner = pipeline.together(lambda: tables.written(spark.range(3), "a"), lambda: tables.observed(spark.range(4), "b", {"n": F.count(F.lit(1))})[0])
+        assert [t.count() for t in inner] == [3, 4]
+        files = [f for t in inner for f in t.inputFiles()]
+    assert not any(spark._jvm.java.io.File(spark._jvm.java.net.URI(f)).exists() for f in files)
+    with pytest.raises(ZeroDivisionError), tables.scratch_tables(spark):
+        files = tables.written(spark.range(1), "c").inputFiles()
+        1 // 0
+    assert not spark._jvm.java.io.File(spark._jvm.java.net.URI(files[0])).exists() and before.count() == 2 and not tables.OWNED
