@@ -355,6 +355,8 @@ def mosaic_tiles(d):
 
 CLIMATE = f"mean AS (SELECT {OBS_SEASON} AS season, var, row, col, avg(value) AS value FROM climate_obs WHERE year(obs_date) BETWEEN 1995 AND 1999 AND month(obs_date) BETWEEN 3 AND 11 GROUP BY ALL)"
 ALL3 = ["SPRING", "SUMMER", "FALL"]
+#: The layers of the climate means, named so that they needn't be read from them first.
+CLIMATE_LAYERS = [(season, var) for season in ALL3 for var in ("tas", "rainfall", "hurs")]
 
 
 @query(CLIMATE + " SELECT season, var, row, col, round(value, 6) AS value FROM mean", "climate_obs")
@@ -373,7 +375,7 @@ def bilinear_sql(source: str, keys: str, out: str, land: str = "land") -> str:
 @query(f"{CLIMATE}, {LAND}, {bilinear_sql('mean', 'season, var', 'aligned')} SELECT season, var, row, col, round(value, 6) AS value FROM aligned", "grid_cells", "climate_obs")
 def align_to_reference(d):
     mean = S.seasonal_climate_mean(d.climate_obs, TRAIN, ALL3)
-    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), d.land, d.grid, ("season", "var")), "value")
+    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), d.land, d.grid, ("season", "var"), layers=CLIMATE_LAYERS), "value")
 
 
 @query(f"""{CLIMATE}, c AS (SELECT row, col, 550000.0 + (col + 0.5) * 30 AS x, 220000.0 - (row + 0.5) * 30 AS y FROM grid_cells WHERE elevation IS NOT NULL), {inside_sql("c", "x", "y", "hit")},
@@ -382,7 +384,7 @@ def to_reference(d):
     """Climate features on the land inside the boundary."""
     inside = V.clip_cells_to_boundary(d.land, d.grid, d.edges)
     mean = S.seasonal_climate_mean(d.climate_obs, TRAIN, ALL3)
-    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), inside, d.grid, ("season", "var")), "value")
+    return rounded(R.align_to_reference(mean, source_grid_of(d.climate_obs), inside, d.grid, ("season", "var"), layers=CLIMATE_LAYERS), "value")
 
 
 NDVI_DATED = """dated AS (SELECT *, CAST(make_date(CAST(regexp_extract(file, 'doy(\\d{4})', 1) AS INT), 1, 1) + CAST(regexp_extract(file, 'doy\\d{4}(\\d{3})', 1) AS INT) - 1 AS DATE) AS obs_date FROM ndvi_obs)"""
