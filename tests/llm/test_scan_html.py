@@ -111,12 +111,12 @@ def test_leaks(spark):
     docs += [(100 + i, items[7][1]) for i in range(30)] + [(1, docs[0][1])]
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, score string")
     items_frame = spark.createDataFrame(items, "item_id long, text string")
-    for block_chars in (1 << 20, 600):
-        rows = decontaminate.find_leaks(frame, items_frame, block_chars=block_chars).collect()
+    for bits in (24, 6):
+        rows = decontaminate.find_leaks(frame, items_frame, bits=bits).collect()
         got = sorted((r.doc_id, r.item_id) for r in rows)
         assert got == sorted([(1, 0), (1, 0), (2, 3), (6, 1), (6, 2), (8, 50)] + [(100 + i, 7) for i in range(30)])
         assert {(r.first_word, r.end_word) for r in rows if r.doc_id == 1} == {(50, 80)}
-        kept = decontaminate.drop_leaks(frame, items_frame, block_chars=block_chars)
+        kept = decontaminate.drop_leaks(frame, items_frame, bits=bits)
         assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7]
     assert decontaminate.find_leaks(frame.limit(0), items_frame).count() == 0
     assert decontaminate.find_leaks(frame, items_frame.limit(0)).count() == 0
