@@ -14,13 +14,13 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``y``, ``text``) of at most ``rows`` labelled documents for which ``train`` holds.
+    """(``y``, ``text``) of at most ``rows`` labelled ids for which ``train`` holds, one text for each.
 
     The sample is those with the smallest hash of the id, so it is the same in every run. Ids and labels only are
     sorted and sent to the tasks, ``rows`` of them at most. Null labels are left out; of labels that differ the
-    largest counts.
+    largest counts. Of the texts of a repeated id the smallest counts, so the sample is bounded whatever repeats.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id_")).agg(F.max(label).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("id_"), "id_").limit(rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_"), text_of(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), F.col("doc_") == F.col("id_")).select("y", "text")
+    return texts.join(F.broadcast(picked), F.col("doc_") == F.col("id_")).groupBy("id_", "y").agg(F.min("text").alias("text")).select("y", "text")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridfire.llm import gam, queries, toxicity
-from gridfire.llm.labels import fold
+from gridfire.llm.labels import fold, training_sample
 
 
 def auc(y, x):
@@ -95,3 +95,10 @@ def test_classifier_cases(spark):
         assert classify(docs.limit(0), labels).count() == 0
     assert gam.keep_good(docs, labels.limit(0)).columns == docs.columns
     assert docs.where(F.coalesce(fold("doc_id", 5) == 0, F.lit(True))).count() >= 1
+
+
+def test_sample_has_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1), (4, 1)], "doc_id long, quality int")
+    got = training_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r.y, r.text) for r in got) == [(0, ""), (1, "a")]
