@@ -53,22 +53,27 @@ def gaussian_smooth(counts: DataFrame, grid: Grid, sigma: float = 3.0, truncate:
 
 
 def kde_density(points: DataFrame, land: DataFrame, grid: Grid, bandwidth: float = 500.0, cutoff: float = 8.0, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
-    """Gaussian kernel density at land cells, normalised by all points; terms beyond ``cutoff`` bandwidths are below rounding.
+    """Gaussian kernel density at every land cell, normalised by all points; terms beyond ``cutoff`` bandwidths are below rounding.
 
     Points and cells meet by equal square buckets of the cut-off's size; a point goes to the nine around it. Points
     at one place are counted first, so a hot spot is one row. With ``weight``, each point counts as often as it says.
+    Cells with no point within reach have 0; a group without points has no row, and one whose weights sum to nothing
+    has missing densities.
     """
     size = cutoff * bandwidth
     places = points.groupBy(*by, "easting", "northing").agg(how_many(weight).alias("n"))
-    totals = points.groupBy(*by).agg(how_many(weight).alias("total"))
+    totals = points.groupBy(*by).agg(how_many(weight).alias("total"), F.count(F.lit(1)).alias("points_")).where("points_ > 0")
+    totals = totals.dropna(subset=list(by)) if by else totals
     near = F.array(*[F.struct((F.floor(F.col("easting") / size) + a).alias("bx"), (F.floor(F.col("northing") / size) + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     spread = places.select(*by, "easting", "northing", "n", F.explode(near).alias("b")).select(*by, "easting", "northing", "n", "b.bx", F.col("b.by").alias("by_"))
     x, y = cell_center(grid, F.col("row"), F.col("col"))
     cells = land.select("row", "col", x.alias("x"), y.alias("y")).withColumns({"bx": F.floor(F.col("x") / size), "by_": F.floor(F.col("y") / size)})
     d2 = (F.col("x") - F.col("easting")) ** 2 + (F.col("y") - F.col("northing")) ** 2
     sums = cells.join(spread, ["bx", "by_"]).where(d2 <= size**2).groupBy(*by, "row", "col").agg(F.sum(F.col("n") * F.exp(-d2 / (2 * bandwidth**2))).alias("s"))
-    joined = sums.join(totals, list(by)) if by else sums.join(F.broadcast(totals))  # one row for each group
-    return joined.select(*by, "row", "col", (F.col("s") / (F.col("total") * 2 * math.pi * bandwidth**2)).alias("density"))
+    every = land.select("row", "col").join(F.broadcast(totals))  # one row for each group
+    joined = every.join(sums, [*by, "row", "col"], "left")
+    density = F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("total") * 2 * math.pi * bandwidth**2)
+    return joined.select(*by, "row", "col", density.alias("density"))
 
 
 def compute_density(points: DataFrame, land: DataFrame, grid: Grid, method: str = "convolution", by: tuple[str, ...] = (), weight: str | None = None, **options) -> DataFrame:
