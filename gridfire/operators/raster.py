@@ -107,27 +107,36 @@ def nearest(g: np.ndarray) -> np.ndarray:
 
 #: A squared distance that no grid has.
 FAR = 1 << 42
+#: Cells of a band of rows (64 rows at least), and of a partition, in distances.
+BAND_CELLS, PART_CELLS = 1 << 14, 1 << 17
 
 
 def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None = None, layers: list[str] | None = None) -> DataFrame:
     """(``layer``, ``row``, ``col``, ``km``): exact distance from each cell to the nearest presence cell of the layer.
 
-    Two passes over lines of the whole grid: rows to the nearest presence in each column by windows, then along each
-    row in numpy, some lines at a time. No partition grows with the layer. Land is masked last. A layer without
-    presence has null distances. ``layers`` names them; without it, those present.
+    Along columns, neighbouring presence cells share the rows between them out at the middle; so each stands for one run
+    of rows, known from its two neighbours. Runs are cut into bands of rows, which are what is shuffled; their cells are
+    listed where the band is, and lines of a band go through numpy, some at a time. So the work is that of the cells,
+    and no partition grows with the layer. Land is masked last. A layer without presence has null distances. ``layers``
+    names them; without it, those present.
     """
     spark = presence.sparkSession
     if (grid.width - 1).bit_length() + FAR.bit_length() > 63 or grid.height >= 1 << 20:
         raise OverflowError("distances are kept in 64 bits: grids of up to 2 ** 20 rows and columns")
-    marks = presence.select("layer", "row", "col").distinct().withColumn("here", F.col("row"))
-    names = spark.createDataFrame([(x,) for x in layers], "layer string") if layers else marks.select("layer").distinct()
+    marks = presence.where(F.col("row").between(0, grid.height - 1)).select("layer", "col", F.col("row").alias("here")).distinct()
+    names = spark.createDataFrame([(x,) for x in layers], "layer string") if layers else presence.select("layer").distinct()
     lines = names.select("layer", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col"))
-    dense = lines.select("layer", "col", F.explode(F.sequence(F.lit(0), F.lit(grid.height - 1))).alias("row"))
-    dense = dense.join(marks, ["layer", "row", "col"], "left")
-    w = Window.partitionBy("layer", "col").orderBy("row")
-    up = F.last("here", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("here", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = dense.select("layer", "row", "col", F.least(F.col("row") - up, down - F.col("row")).alias("g"))
+    w = Window.partitionBy("layer", "col").orderBy("here")
+    middle = lambda a, b: F.floor((a + b) / 2).cast("int")
+    first = F.coalesce(middle(F.lag("here").over(w), F.col("here")) + 1, F.lit(0))
+    last = F.coalesce(middle(F.col("here"), F.lead("here").over(w)), F.lit(grid.height - 1))
+    runs = lines.join(marks, ["layer", "col"], "left").select("layer", "col", "here", first.alias("a_"), last.alias("b_"))
+    high = max(64, BAND_CELLS // max(1, grid.width))
+    bands = runs.withColumn("band_", F.explode(F.sequence(F.floor(F.col("a_") / high), F.floor(F.col("b_") / high))))
+    n = -(-grid.height * grid.width * len(layers or [""]) // PART_CELLS)
+    placed = bands.repartition(min(max(n, 1), 10_000), "layer", "band_")
+    own = F.sequence(F.greatest("a_", F.col("band_") * high).cast("int"), F.least("b_", (F.col("band_") + 1) * high - 1).cast("int"))
+    near = placed.select("layer", F.explode(own).alias("row"), "col", "here").select("layer", "row", "col", F.abs(F.col("row") - F.col("here")).alias("g"))
     width, res = grid.width, grid.res
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +159,7 @@ def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None
         if sum(b.num_rows for b in held):
             yield lines_of(pa.Table.from_batches(held))
 
-    sorted_ = near.repartition("layer", "row").sortWithinPartitions("layer", "row", "col")
+    sorted_ = near.sortWithinPartitions("layer", "row", "col")  # a band's lines are whole
     out = sorted_.mapInArrow(along, "layer string, row int, col int, km double")
     return land_mask(out, land) if land is not None else out
 

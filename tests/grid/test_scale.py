@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from gridfire.functions.grid import Grid
-from gridfire.operators import density
+from gridfire.operators import density, raster
 
 
 def test_kernel_density_of_cells_out_of_reach(spark):
@@ -22,3 +23,25 @@ def test_kernel_density_of_cells_out_of_reach(spark):
     assert len(each) == 9 and each["a", 399] == 0 and each["b", 0] == 0 and each["b", 399] == pytest.approx(1 / scale)
     assert each["a", 3] == pytest.approx(want[3]) and each["c", 0] is None
     assert density.kde_density(points.limit(0), land, g).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_distances_on_tall_grids(spark, monkeypatch, small):
+    """No window goes through all rows below each row; runs over several bands and partitions, marks off the grid."""
+    g = Grid(0.0, 0.0, 100.0, 700 if small else 60_000, 3)
+    if small:
+        monkeypatch.setattr(raster, "BAND_CELLS", 1)
+        monkeypatch.setattr(raster, "PART_CELLS", 100)
+    rng = np.random.default_rng(5)
+    marks = [(int(rng.integers(g.height)), int(rng.integers(2))) for _ in range(40)] + [(10, 1), (11, 1), (13, 1)]
+    off = [("a", -1, 2), ("a", g.height, 2), ("a", 5, 3), ("other", 5, 2)]
+    presence = spark.createDataFrame([("a", r, c) for r, c in marks] + off + [("b", 7, 2)], "layer string, row int, col int")
+    out = raster.distance_to_features(presence, g, layers=["a", "b", "none"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString()
+    got = out.toPandas()
+    assert len(got) == 3 * g.height * g.width == len(got[["layer", "row", "col"]].drop_duplicates())
+    assert got[got.layer == "none"].km.isna().all()
+    for layer, held in (("a", marks), ("b", [(7, 2)])):
+        x = got[got.layer == layer]
+        want = np.min([np.hypot(x.row - r, x.col - c) for r, c in held], axis=0) * 0.1
+        assert np.allclose(x.km, want, rtol=1e-12, atol=0)
