@@ -7,6 +7,7 @@ import pytest
 
 from gridfire.functions.grid import Grid
 from gridfire.operators import density, raster
+from gridfire.queries import QUERIES
 
 
 def test_kernel_density_of_cells_out_of_reach(spark):
@@ -45,3 +46,17 @@ def test_distances_on_tall_grids(spark, monkeypatch, small):
         x = got[got.layer == layer]
         want = np.min([np.hypot(x.row - r, x.col - c) for r, c in held], axis=0) * 0.1
         assert np.allclose(x.km, want, rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("name", ["assemble_dataset", "dataset_unclipped", "full_pipeline", "static_features"])
+def test_composites_have_no_window_to_the_end(spark, sf_dir, monkeypatch, name):
+    plans, real = [], raster.distance_to_features
+
+    def seen(*args, **options):
+        out = real(*args, **options)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(raster, "distance_to_features", seen)
+    QUERIES[name](spark, sf_dir)
+    assert plans and not any("unboundedfollowing" in p for p in plans)
