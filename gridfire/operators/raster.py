@@ -117,8 +117,8 @@ def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None
     Along columns, neighbouring presence cells share the rows between them out at the middle; so each stands for one run
     of rows, known from its two neighbours. Runs are cut into bands of rows, which are what is shuffled; their cells are
     listed where the band is, and lines of a band go through numpy, some at a time. So the work is that of the cells,
-    and no partition grows with the layer. Land is masked last. A layer without presence has null distances. ``layers``
-    names them; without it, those present.
+    and no partition grows with the layer. Bands without land are left out, land is masked last. A layer without presence
+    has null distances. ``layers`` names them; without it, those present.
     """
     spark = presence.sparkSession
     if (grid.width - 1).bit_length() + FAR.bit_length() > 63 or grid.height >= 1 << 20:
@@ -133,6 +133,9 @@ def distance_to_features(presence: DataFrame, grid: Grid, land: DataFrame | None
     runs = lines.join(marks, ["layer", "col"], "left").select("layer", "col", "here", first.alias("a_"), last.alias("b_"))
     high = max(64, BAND_CELLS // max(1, grid.width))
     bands = runs.withColumn("band_", F.explode(F.sequence(F.floor(F.col("a_") / high), F.floor(F.col("b_") / high))))
+    if land is not None:
+        held = land.select(F.floor(F.col("row") / high).alias("band_")).distinct()
+        bands = bands.join(F.broadcast(held), "band_", "left_semi")  # a row for each band, of 64 rows of cells at least
     n = -(-grid.height * grid.width * len(layers or [""]) // PART_CELLS)
     placed = bands.repartition(min(max(n, 1), 10_000), "layer", "band_")
     own = F.sequence(F.greatest("a_", F.col("band_") * high).cast("int"), F.least("b_", (F.col("band_") + 1) * high - 1).cast("int"))

@@ -48,6 +48,30 @@ def test_distances_on_tall_grids(spark, monkeypatch, small):
         assert np.allclose(x.km, want, rtol=1e-12, atol=0)
 
 
+def test_distances_are_found_where_land_is(spark, monkeypatch, tmp_path):
+    """Bands of rows without land don't reach the step along rows; presence there counts for land elsewhere."""
+    g = Grid(0.0, 0.0, 100.0, 60_000, 3)
+
+    def counted(lines, folder=str(tmp_path)):
+        import uuid
+
+        from gridfire.operators.raster import nearest
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(lines)))
+        return nearest(lines)
+
+    monkeypatch.setattr(raster, "nearest", counted)
+    land = spark.createDataFrame([(0, 1), (3, 2), (59_999, 2)], "row int, col int")
+    presence = spark.createDataFrame([("a", 30_000, 0), ("b", 2, 2)], "layer string, row int, col int")
+    got = {(r.layer, r.row, r.col): r.km for r in raster.distance_to_features(presence, g, land, ["a", "b"]).collect()}
+    far = {("a", 0, 1): (30_000, 1), ("a", 3, 2): (29_997, 2), ("a", 59_999, 2): (29_999, 2), ("b", 0, 1): (2, 1), ("b", 3, 2): (1, 0), ("b", 59_999, 2): (59_997, 0)}
+    assert got == pytest.approx({k: math.hypot(*v) * 0.1 for k, v in far.items()})
+    high = raster.BAND_CELLS // g.width
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 2 * (high + g.height % high)
+    assert raster.distance_to_features(presence, g, land.limit(0), ["a", "b"]).count() == 0
+
+
 @pytest.mark.parametrize("name", ["assemble_dataset", "dataset_unclipped", "full_pipeline", "static_features"])
 def test_composites_have_no_window_to_the_end(spark, sf_dir, monkeypatch, name):
     plans, real = [], raster.distance_to_features
