@@ -67,10 +67,18 @@ def ndvi_scale_mask(dn: Column, scale: float = 1e-4, low: float = -0.2, high: fl
     return F.when((dn * scale).between(low, high), dn * scale)
 
 
+def composite_digits(file: Column) -> Column:
+    """Year and day of the year in a file name's part doyYYYYDDD, as one number; null if there is none."""
+    return F.regexp_extract(file, r"doy(\d{7})", 1).try_cast("int")
+
+
+def date_of_digits(digits: Column) -> Column:
+    return F.date_add(F.make_date(F.floor(digits / 1000).cast("int"), F.lit(1), F.lit(1)), (digits % 1000).cast("int") - 1)
+
+
 def composite_date(file: Column) -> Column:
     """The date in a file name's part doyYYYYDDD; null if there is none."""
-    year, day = F.regexp_extract(file, r"doy(\d{4})(\d{3})", 1), F.regexp_extract(file, r"doy(\d{4})(\d{3})", 2)
-    return F.when(year != "", F.date_add(F.make_date(F.nullif(year, F.lit("")).cast("int"), F.lit(1), F.lit(1)), F.nullif(day, F.lit("")).cast("int") - 1))
+    return date_of_digits(composite_digits(file))
 
 
 #: Ellipsoids, datum shift and map projection of the British national grid.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import composite_date, ndvi_scale_mask, season_of_month
+from ..functions.grid import composite_digits, date_of_digits, ndvi_scale_mask, season_of_month
 from .incidents import training_window
 
 
@@ -17,9 +17,11 @@ def seasonal_climate_mean(obs: DataFrame, years: tuple[int, int], seasons: list[
 def dated(obs: DataFrame, col: str = "file", name: str = "obs_date") -> DataFrame:
     """Adds the date in the file's name, null if there is none.
 
-    It is generated, so a row's name is read once; as a plain column it would be written out wherever a filter uses it.
+    The number in the name is generated, so a row's name is searched once; as a plain column the search would be written
+    out wherever the date is used.
     """
-    return obs.withColumn(name, F.explode(F.array(composite_date(F.col(col)))))
+    read = obs.withColumn("digits_", F.explode(F.array(composite_digits(F.col(col)))))
+    return read.withColumn(name, date_of_digits(F.col("digits_"))).drop("digits_")
 
 
 def select_files_by_date(files: DataFrame, years: tuple[int, int] | None = None, seasons: list[str] | None = None, col: str = "file") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gridfire.functions.grid import Grid
-from gridfire.operators import density, raster
+from gridfire.operators import density, incidents, raster, series
 from gridfire.queries import QUERIES
 
 
@@ -84,3 +84,13 @@ def test_composites_have_no_window_to_the_end(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(raster, "distance_to_features", seen)
     QUERIES[name](spark, sf_dir)
     assert plans and not any("unboundedfollowing" in p for p in plans)
+
+
+def test_dates_are_read_from_a_name_once(spark):
+    """Wherever the date is used, also by filters that are pushed down."""
+    files = ["a_doy2019059x", "doy2020366", "doy2020999", "doy202006", "", None]
+    obs = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, dn int")
+    kept = incidents.training_window(series.dated(obs), (2019, 2021), ["WINTER"])
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert sorted((str(r.obs_date), r.dn) for r in kept.collect()) == [("2019-02-28", 0), ("2020-12-31", 1)]
+    assert [str(r.obs_date) for r in series.dated(obs).orderBy("dn").collect()] == ["2019-02-28", "2020-12-31", "2022-09-25", "None", "None", "None"]
